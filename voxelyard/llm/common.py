@@ -218,24 +218,57 @@ def distinct_sorted(values: np.ndarray, offsets: np.ndarray):
 
 
 # ------------------------------------------------------------------ packed exchange
-def pack_rows(bucket: np.ndarray, record: np.ndarray, n: int, field: str = "payload"):
-    """One row for each bucket that occurs: its records (a structured array) as bytes."""
+#: Text bytes to a bucket of the packed exchange. The count follows the data alone.
+BUCKET_BYTES = 2e6
+
+
+def buckets_for(size: float) -> int:
+    return max(64, math.ceil(size / BUCKET_BYTES))
+
+
+def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
+    return (((h >> U64(32)) * U64(n)) >> U64(32)).astype(np.int64)
+
+
+def squeeze(rec: np.ndarray, more: bytes = b"") -> bytes:
+    """Records column by column, then further bytes, compressed."""
+    import zstandard
+
+    body = len(rec).to_bytes(8, "little") + b"".join(np.ascontiguousarray(rec[f]).tobytes() for f in rec.dtype.names) + more
+    return zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unsqueeze(x: bytes, dtype: np.dtype) -> tuple[np.ndarray, bytes]:
+    import zstandard
+
+    body = zstandard.ZstdDecompressor().decompress(x)
+    n, at = int.from_bytes(body[:8], "little"), 8
+    rec = np.empty(n, dtype)
+    for f in dtype.names:
+        rec[f] = np.frombuffer(body, dtype[f], n, at)
+        at += n * dtype[f].itemsize
+    return rec, body[at:]
+
+
+def grouped(bucket: np.ndarray):
+    """(bucket, positions) for each bucket that occurs."""
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
-    rec = record[order]
     cuts = np.flatnonzero(np.diff(b)) + 1
-    starts = np.concatenate([[0], cuts]) if len(b) else np.zeros(0, np.int64)
-    ends = np.concatenate([cuts, [len(b)]]) if len(b) else starts
-    return pa.RecordBatch.from_arrays(
-        [pa.array(b[starts].astype(np.int32) if len(b) else np.zeros(0, np.int32)), pa.array([rec[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())],
-        names=["bucket", field],
-    )
-
-
-def unpack(batches, dtype: np.dtype, field: str = "payload") -> np.ndarray:
-    """All records that a task was dealt; the exchange sizes its partitions to fit."""
-    parts = [np.frombuffer(x, dtype) for b in batches for x in b.column(field).to_pylist()]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+    starts = [0, *cuts.tolist()] if len(b) else []
+    for s, e in zip(starts, [*starts[1:], len(b)], strict=True):
+        yield int(b[s]), order[s:e]
+
+
+def with_uid(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(uid, doc_id, text): uid is doc_id where that is unique and not null; otherwise the rows
+    are numbered in the order of (doc_id, text), nulls first. Null texts are empty."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    odd = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").limit(1).count()
+    if not odd:
+        return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text")
+    numbered = running_start(rows.withColumn("one", F.lit(1).cast("long")), [F.col("doc_id").asc(), F.col("text").asc()], "one", "uid", scratch)
+    return scratch.keep(numbered.select("uid", "doc_id", "text"))
 
 
 # ------------------------------------------------------------------ prefix sums over an order

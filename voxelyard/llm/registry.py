@@ -12,6 +12,7 @@ from .fingerprints import op3_fingerprints
 from .language_id import op8_language_id
 from .license_scan import op2_license_scan
 from .packing import op4_curve_packing
+from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op7_token_counts
 from .token_store import op6_token_store
 
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_store": op6_token_store,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
