@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat_format, license_scan
 from .chat_format import op5_chat_format
 from .fingerprints import op3_fingerprints
+from .jaccard_join import op1_jaccard_join
 from .language_id import op8_language_id
 from .license_scan import op2_license_scan
 from .packing import op4_curve_packing
@@ -17,6 +18,7 @@ from .token_counts import op7_token_counts
 from .token_store import op6_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_license_scan": op2_license_scan,
     "op3_fingerprints": op3_fingerprints,
     "op4_curve_packing": op4_curve_packing,
