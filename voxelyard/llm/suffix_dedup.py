@@ -38,9 +38,11 @@ PLACES = MATCH - GRAM + 1
 BLOCK = 1 << 18  # bytes of a text that are looked at together
 FLUSH = 1_500_000  # strands a task holds before it sends them
 CROWD_TASK, CROWD = 16, 64  # distinct strands of one anchor hash in a task, or altogether, beyond which it is split
-COLLECTION = 16_000  # strands to a transform
+COLLECTION = 400  # strands to a transform, and the rest of the last one's anchor hash
+TAPE = 4_000_000
+SIDE = (MATCH - GRAM) // 2  # bytes beside the anchor that one half of the windows has in common
 
-STRAND = np.dtype([("key", "<u4"), ("same", "<u8"), ("uid", "<i8"), ("at", "<u4"), ("n", "u1"), ("kind", "u1")])
+STRAND = np.dtype([("key", "<u4"), ("same", "<u8"), ("uid", "<i8"), ("at", "<u4"), ("n", "u1"), ("kind", "u1"), ("rel", "u1"), ("left", "<u2"), ("right", "<u2")])
 GONE = np.dtype([("uid", "<i8"), ("at", "<u4"), ("len", "<u4")])
 ASKED = np.dtype([("uid", "<i8"), ("at", "<u4"), ("n", "u1"), ("key", "<u8"), ("split", "u1")])
 SENT = np.dtype([("key", "<u8"), ("uid", "<i8"), ("at", "<u4"), ("len", "u1")])
@@ -48,11 +50,13 @@ SENT = np.dtype([("key", "<u8"), ("uid", "<i8"), ("at", "<u4"), ("len", "u1")])
 
 # ---------------------------------------------------------------- strands
 def strands(data: np.ndarray, off: np.ndarray):
-    """First window, windows, anchor hash and content hash of all strands of some rows."""
+    """First window, windows, anchor hash, content hash, anchor's offset and the hashes of the
+    anchor with SIDE bytes to its left and right, of all strands of some rows."""
     n = len(data)
+    z = np.zeros(0, np.int64)
+    none = z, z, z.astype(U64), z.astype(U64), z, z, z
     if n < MATCH:
-        z = np.zeros(0, np.int64)
-        return z, z, z.astype(U64), z.astype(U64)
+        return none
     s = prefix_hash(BYTE_CODE[data])
     inv = _powers("down", BASE_INV, n)
     gram = mix((s[GRAM:] - s[: n - GRAM + 1]) * inv[: n - GRAM + 1])
@@ -69,15 +73,19 @@ def strands(data: np.ndarray, off: np.ndarray):
     np.add.at(step, last, -1)
     at = np.flatnonzero(np.cumsum(step[: len(m)]) == 0)
     if not len(at):
-        z = np.zeros(0, np.int64)
-        return z, z, z.astype(U64), z.astype(U64)
+        return none
     anchor = (m[at] & low).astype(np.int64)
     new = np.ones(len(at), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
     heads = np.flatnonzero(new)
     start = at[heads]
     count = np.diff(np.append(heads, len(at)))
-    return start, count, gram[anchor[heads]], span_hash(s, start, start + count + MATCH - 1)
+    a = anchor[heads]
+    # windows from a - SIDE on hold the right side, those before hold the left side
+    right, left = start + count - 1 >= a - SIDE, start < a - SIDE
+    r = span_hash(s, a, np.where(right, a + GRAM + SIDE, a)) & U64(0xFFFF)
+    f = span_hash(s, np.where(left, a - SIDE, a), a + GRAM) & U64(0xFFFF)
+    return start, count, gram[a], span_hash(s, start, start + count + MATCH - 1), a - start, f, r
 
 
 def row_blocks(uids: np.ndarray, data: np.ndarray, off: np.ndarray):
@@ -135,17 +143,21 @@ def _by_uid(rec: np.ndarray, n: int, kind: int) -> list:
 
 # ---------------------------------------------------------------- the transform
 class Tape:
-    """An array in a file of the task's own folder, read and written from front to back."""
+    """An array that is read and written whole, from front to back: in a file of the task's own
+    folder where it is longer than TAPE bytes."""
 
     def __init__(self, folder: str, name: str):
-        self.path, self.turn = os.path.join(folder, name), 0
+        self.path, self.turn, self.held = os.path.join(folder, name), 0, None
 
     def write(self, a: np.ndarray) -> None:
-        self.turn ^= 1
-        a.tofile(f"{self.path}.{self.turn}")
+        self.held = a
+        if len(a) > TAPE:
+            self.turn ^= 1
+            a.tofile(f"{self.path}.{self.turn}")
+            self.held = None
 
     def read(self) -> np.ndarray:
-        return np.fromfile(f"{self.path}.{self.turn}", np.uint8)
+        return np.fromfile(f"{self.path}.{self.turn}", np.uint8) if self.held is None else self.held
 
 
 NONE = 255  # no byte of UTF-8; stands where a document has no further symbol
@@ -158,34 +170,38 @@ def transform(blob: np.ndarray, start: np.ndarray, size: np.ndarray, folder: str
     bwt, lcp = Tape(folder, "bwt"), Tape(folder, "lcp")
     bwt.write(blob[start + size - 1])
     lcp.write(np.zeros(n, np.uint8))
-    pos = np.arange(n)
+    long_first = np.argsort(-size, kind="stable")  # documents still going on come first
+    where, left, end = long_first.copy(), size[long_first], (start + size)[long_first]
     for j in range(1, int(size.max(initial=0)) + 1):
         b, old = bwt.read(), lcp.read()
-        act = np.flatnonzero(size >= j)
+        m, act = len(b), int(np.searchsorted(-left, -j, side="right"))
         order = np.argsort(b, kind="stable")
-        rank = np.empty(len(b), np.int64)
-        rank[order] = np.arange(len(b))
-        k = rank[pos[act]]
+        rank = np.empty(m, np.int32)
+        rank[order] = np.arange(m, dtype=np.int32)
+        k = rank[where[:act]].astype(np.int64)
         new = n + k
-        mask = np.zeros(len(b) + len(act), bool)
-        mask[new] = True
-        nb, nl = np.empty(len(mask), np.uint8), np.empty(len(mask), np.uint8)
-        nb[~mask], nl[~mask] = b, old
-        nb[new] = np.where(size[act] > j, blob[np.maximum(start[act] + size[act] - j - 1, 0)], NONE)
-        nl[new] = 0
-        pair = np.unique(np.concatenate([k, k + 1]))
-        pair = pair[(pair > 0) & (pair < len(b))]
+        stays = np.ones(m + act, bool)
+        stays[new] = False
+        nb, nl = np.empty(m + act, np.uint8), np.zeros(m + act, np.uint8)
+        nb[stays], nl[stays] = b, old
+        nb[new] = np.where(left[:act] > j, blob[np.maximum(end[:act] - j - 1, 0)], NONE)
+        near = np.zeros(m + 1, bool)  # new rows, and the rows after them
+        near[k] = True
+        near[k + 1] = True
+        near[0] = near[m] = False
+        pair = np.flatnonzero(near)
         lo, hi = order[pair - 1], order[pair]
-        like = (b[lo] == b[hi]) & (b[hi] != NONE)
-        nl[n + pair[~like & (b[hi] != NONE)]] = 0
+        symbol = b[hi]
+        like = (b[lo] == symbol) & (symbol != NONE)
+        nl[n + pair[~like & (symbol != NONE)]] = 0
         pair, lo, hi = pair[like], lo[like], hi[like]
         if len(pair):
-            by = np.argsort(lo, kind="stable")
+            by = np.argsort(lo.astype(np.int32), kind="stable")
             ends = np.empty(2 * len(pair), np.int64)
             ends[0::2], ends[1::2] = lo[by] + 1, hi[by] + 1
             least = np.minimum.reduceat(np.append(old, np.uint8(0)), ends)[0::2]
             nl[n + pair[by]] = np.minimum(least, 253) + 1
-        pos[act] = new
+        where[:act] = new
         bwt.write(nb)
         lcp.write(nl)
     return bwt.read(), lcp.read()
@@ -241,12 +257,13 @@ def _find(b_n: int, d_n: int):
             data, off = string_buffers(b.column("text"))
             uids = b.column("uid").to_numpy()
             for who, base, d, o in row_blocks(uids, data, off):
-                start, count, key, same = strands(d, o)
+                start, count, key, same, rel, left, right = strands(d, o)
                 r = np.searchsorted(o, start, side="right") - 1
                 rec = np.zeros(len(start), STRAND)
                 rec["key"] = key >> U64(32)
                 rec["same"] = mix(same ^ mix(key + count.astype(U64)))
                 rec["uid"], rec["at"], rec["n"] = who[r], start - o[r] + base[r], count
+                rec["rel"], rec["left"], rec["right"] = rel, left, right
                 parts.append(rec)
                 held += len(rec)
                 if held >= FLUSH:
@@ -258,6 +275,25 @@ def _find(b_n: int, d_n: int):
     return run
 
 
+def _halves(rec: np.ndarray, key: np.ndarray, split: np.ndarray):
+    """Strands without the half of their windows that no other strand of the anchor hash can
+    equal, as its side differs from all others'; and whether any window is left."""
+    n, rel = rec["n"].astype(np.int64), rec["rel"].astype(np.int64)
+    before = np.clip(rel - SIDE, 0, n)  # windows of the left half
+
+    def shared(side, has):
+        own = mix(key ^ mix(rec[side].astype(U64) + U64(7)))
+        own[~has] = mix(np.arange(int((~has).sum()), dtype=U64)) | U64(1)
+        _, back, times = np.unique(own, return_inverse=True, return_counts=True)
+        return has & (times[back] > 1)
+
+    left, right = shared("left", before > 0) | split, shared("right", before < n) | split
+    rec = rec.copy()
+    rec["at"] += np.where(left, 0, before).astype(np.uint32)
+    rec["n"] = np.where(left, np.where(right, n, before), np.where(right, n - before, 0))
+    return rec, rec["n"] > 0
+
+
 def _meet(d_n: int):
     """Packed strands to what goes at once and what the transform is asked about."""
 
@@ -294,6 +330,8 @@ def _meet(d_n: int):
         many |= hot
         split |= hot
         rec, key, split = rec[many], key[many], split[many]
+        rec, keep = _halves(rec, key, split)
+        rec, key, split = rec[keep], key[keep], split[keep]
         asked = np.empty(len(rec), ASKED)
         asked["uid"], asked["at"], asked["n"], asked["key"], asked["split"] = rec["uid"], rec["at"], rec["n"], key, split
         yield _rows(out + _by_uid(asked, d_n, K_ASKED))
