@@ -252,10 +252,12 @@ def unsqueeze(x: bytes, dtype: np.dtype) -> tuple[np.ndarray, bytes]:
 
 def grouped(bucket: np.ndarray):
     """(bucket, positions) for each bucket that occurs."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     cuts = np.flatnonzero(np.diff(b)) + 1
-    starts = [0, *cuts.tolist()] if len(b) else []
+    starts = [0, *cuts.tolist()]
     for s, e in zip(starts, [*starts[1:], len(b)], strict=True):
         yield int(b[s]), order[s:e]
 

@@ -11,12 +11,14 @@ similarity of at least 0.8 differ in at most D = (a + b) // 9 shingles.
    that share a block's sketch are candidates. A set takes part in each band that a partner's
    size can call for.
 3. Of each block's documents, the smallest is tried first, best shared first; exact verification
-   gives links, links give components. Then every pair of one block whose documents are still in
-   different components is verified, so no link between components is lost.
-4. A block whose documents are still in more than CROWD components is set aside, and counted
-   against each of its documents. Empty blocks say nothing either. A document whose empty and
-   set-aside blocks reach the slack is loose: pairs with a document that isn't loose are found
-   all the same, and pairs of two loose ones by a join on their rarest shingles.
+   gives links, links give components. Then the pairs of one block whose documents are still in
+   different components are counted: a near pair agrees in slack blocks, of which those that are
+   empty in both say nothing, so it shares at least slack less the empty blocks of either. Pairs
+   that reach this are verified, and no link between components is lost.
+4. A block whose documents are still in more than CROWD components is set aside, and a pair may
+   then share one block less. A document whose empty and set-aside blocks reach the slack is
+   loose: pairs with a document that isn't loose are found all the same, and pairs of two loose
+   ones by a join on their rarest shingles.
 
 Defined results: a null text, or one without words, has 0 shingles and is alone; fewer words than
 WORDS make one shingle; repeated rows and equal ids are separate rows, linked as equal texts are;
@@ -32,14 +34,17 @@ from pyspark.sql import functions as F
 from .common import U64, Scratch, bucket_of, buckets_for, components, distinct_sorted, grouped, mix, partitions, shingles_of, slices, small_batches, squeeze, string_buffers, table, text_bytes, unsqueeze, with_uid, words_of
 
 WORDS = 5
-CROWD = 64
+CROWD = 8
 BROADCAST_ROWS = 500_000  # ids of 8 bytes: a few MB; more are joined by a shuffle
-CHUNK = 1 << 19
+CHUNK = 1 << 18
+FLUSH = 400_000  # sketches a task holds before it sends them
+DEALT = 8e6  # bytes of text whose sketches a task is dealt
 
-ENTRY = np.dtype([("key", "<u4"), ("sig", "<u4"), ("sig2", "<u2"), ("uid", "<i8"), ("band", "u1")])
+ENTRY = np.dtype([("key", "<u4"), ("sig", "<u4"), ("sig2", "<u2"), ("uid", "<i8"), ("band", "u1"), ("need", "u1")])
 EDGE = np.dtype([("uid", "<i8"), ("pivot", "<i8"), ("n", "<u4")])
-MEMBER = np.dtype([("gid", "<u8"), ("uid", "<i8"), ("comp", "<i8"), ("band", "u1")])
-LOOSE = np.dtype([("uid", "<i8"), ("all", "u1")])
+MEMBER = np.dtype([("gid", "<u8"), ("uid", "<i8"), ("comp", "<i8"), ("band", "u1"), ("need", "u1")])
+LOOSE = np.dtype([("uid", "<i8")])
+TRIPLE = np.dtype([("a", "<i8"), ("b", "<i8"), ("band", "<i4"), ("need", "<i4")])
 _PACKED = "bucket int, kind int, payload binary"
 K_COMP, K_ENTRY, K_EDGE, K_MEMBER, K_LOOSE, K_PAIR = 0, 1, 2, 3, 4, 5
 
@@ -102,12 +107,12 @@ def _rows(out: list):
 
 
 def block_sketches(v: np.ndarray, off: np.ndarray):
-    """For the sets of some rows: (row, band, sketch) of all blocks that aren't empty; and the rows
-    whose empty blocks reach half a band's slack, with whether they reach all of it."""
+    """For the sets of some rows: (row, band, sketch, blocks that a near pair shares at least) of all
+    blocks that aren't empty; and the rows whose empty blocks reach a band's slack."""
     n = np.diff(off)
     first = np.searchsorted(LOW, np.maximum(n // 5, 1), side="right") - 1
     last = np.searchsorted(LOW, n // 4, side="right") - 1  # below 0 where no other set can be near
-    rows, tags, keys, loose_r, loose_b = [], [], [], [], []
+    rows, tags, keys, needs, loose = [], [], [], [], []
     code = mix(v ^ U64(0xABCDEF))
     for t in range(int(first.min(initial=0)), int(last.max(initial=-1)) + 1):
         who = np.flatnonzero((first <= t) & (t <= last) & (n > 0))
@@ -127,13 +132,11 @@ def block_sketches(v: np.ndarray, off: np.ndarray):
         rows.append(r)
         tags.append(np.full(len(r), t, np.uint8))
         keys.append(mix(sketch + mix(block[heads] + U64(t << 40))))
-        full = np.diff(np.searchsorted(heads, upto))
-        slack = p - int(MOST[t])
-        bad = 2 * (p - full) >= slack
-        loose_r.append(who[bad])
-        loose_b.append((p - full >= slack)[bad].astype(np.uint8))
+        need = int(p - MOST[t]) - (p - np.diff(np.searchsorted(heads, upto)))
+        loose.append(who[need < 1])
+        needs.append(np.repeat(np.clip(need, 1, 255), np.diff(np.searchsorted(heads, upto))).astype(np.uint8))
     z, zb = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
-    return np.concatenate(rows or z), np.concatenate(tags or zb), np.concatenate(keys or [np.zeros(0, U64)]), np.concatenate(loose_r or z), np.concatenate(loose_b or zb)
+    return np.concatenate(rows or z), np.concatenate(tags or zb), np.concatenate(keys or [np.zeros(0, U64)]), np.concatenate(needs or zb), np.concatenate(loose or z)
 
 
 def _sketch(b_n: int):
@@ -169,17 +172,17 @@ def _sketch(b_n: int):
                 n = np.where(keep, np.diff(o), 0)
                 v = v[np.repeat(keep, np.diff(o))]
                 o = np.append(0, np.cumsum(n))
-                r, band, key, bad, bad_all = block_sketches(v, o)
+                r, band, key, need, bad = block_sketches(v, o)
                 rec = np.zeros(len(r), ENTRY)
-                rec["key"], rec["uid"], rec["band"] = key & U64(0xFFFFFFFF), uids[i:j][r], band
+                rec["key"], rec["uid"], rec["band"], rec["need"] = key & U64(0xFFFFFFFF), uids[i:j][r], band, need
                 rec["sig"], rec["sig2"] = s1[r] & U64(0xFFFFFFFF), s2[r] & U64(0xFFFF)
                 parts.append((rec, bucket_of(key, b_n)))
                 held += len(rec)
                 if len(bad):
                     x = np.zeros(len(bad), LOOSE)
-                    x["uid"], x["all"] = uids[i:j][bad], bad_all
+                    x["uid"] = uids[i:j][bad]
                     loose.append(x)
-                if held > 2_000_000:
+                if held > FLUSH:
                     yield send()
                     parts, held, loose = [], 0, []
         if parts:
@@ -189,7 +192,7 @@ def _sketch(b_n: int):
 
 
 def _meet(b_n: int):
-    """Packed sketches to first trials and the members of larger blocks."""
+    """Packed sketches to first trials and the members of shared blocks."""
 
     def run(batches):
         recs, where = [], []
@@ -206,12 +209,15 @@ def _meet(b_n: int):
                 yield _rows(out)
         if not recs:
             return
-        rec = np.concatenate(recs)
-        gid = (np.concatenate(where).astype(U64) << U64(32)) | rec["key"].astype(U64)
+        gid = np.concatenate([(w.astype(U64) << U64(32)) | r["key"].astype(U64) for w, r in zip(where, recs, strict=True)])
         s = np.sort(gid)
         often = np.unique(s[1:][s[1:] == s[:-1]])
-        at = np.flatnonzero(np.isin(gid, often))
-        rec, gid = rec[at], gid[at]
+        del s, where
+        at = np.isin(gid, often)
+        gid = gid[at]
+        cut = np.append(0, np.cumsum([len(r) for r in recs]))
+        rec = np.concatenate([r[at[a:e]] for r, a, e in zip(recs, cut[:-1], cut[1:], strict=True)])
+        del recs, at
         sig = (rec["sig"].astype(U64) << U64(16)) | rec["sig2"].astype(U64)
         order = np.lexsort((rec["uid"], sig, gid))
         rec, gid, sig = rec[order], gid[order], sig[order]
@@ -229,9 +235,9 @@ def _meet(b_n: int):
         pair["uid"], pair["pivot"] = rec["uid"][e], pivot[e]
         pair, n = np.unique(pair, return_counts=True)
         pair["n"] = n
-        big = size > 2
-        member = np.zeros(int(big.sum()), MEMBER)
-        member["gid"], member["uid"], member["band"] = gid[big], rec["uid"][big], rec["band"][big]
+        shared = size > 1
+        member = np.zeros(int(shared.sum()), MEMBER)
+        member["gid"], member["uid"], member["band"], member["need"] = gid[shared], rec["uid"][shared], rec["band"][shared], rec["need"][shared]
         yield _rows([(b, K_EDGE, squeeze(pair[at])) for b, at in grouped(pair["uid"] % b_n)] + [(b, K_MEMBER, squeeze(member[at])) for b, at in grouped(member["uid"] % b_n)])
 
     return run
@@ -285,32 +291,38 @@ def _with_component(b_n: int):
 
 
 def _across(batches):
-    """Members of blocks, by block, to pairs across components; crowded blocks to their members."""
+    """Members of blocks, by block, to pairs across components (a, b, band, blocks shared here,
+    blocks needed); members of crowded blocks, with b null."""
     recs = [unsqueeze(x, MEMBER)[0] for b in batches for x in b.column("payload").to_pylist()]
-    a, b_, band = [], [], []
+    pairs, lost = np.zeros(0, TRIPLE), np.zeros(0, MEMBER)
     if recs:
         rec = np.concatenate(recs)
         rec = rec[np.lexsort((rec["uid"], rec["comp"], rec["gid"]))]
         heads = np.flatnonzero(np.append(True, rec["gid"][1:] != rec["gid"][:-1]))
-        ends = np.append(heads[1:], len(rec))
-        mixed = np.minimum.reduceat(rec["comp"], heads) != np.maximum.reduceat(rec["comp"], heads)
-        pairs: set[tuple[int, int]] = set()
-        for s, e in zip(heads[mixed].tolist(), ends[mixed].tolist(), strict=True):
-            g = rec[s:e]
-            cut = [0, *(np.flatnonzero(np.diff(g["comp"])) + 1).tolist(), len(g)]
-            if len(cut) - 1 > CROWD:
-                a += g["uid"].tolist()
-                band += g["band"].tolist()
-                b_ += [None] * len(g)
-                continue
+        sizes = np.diff(np.append(heads, len(rec)))
+        new = np.append(True, (rec["gid"][1:] != rec["gid"][:-1]) | (rec["comp"][1:] != rec["comp"][:-1]))
+        comps = np.add.reduceat(new.astype(np.int64), heads)
+        crowd = np.repeat(comps > CROWD, sizes)
+        lost = rec[crowd]
+        left, right = [], []
+        two = heads[(comps == 2) & (sizes == 2)]
+        left.append(two)
+        right.append(two + 1)
+        for s, n in zip(heads[(comps > 1) & (comps <= CROWD) & (sizes > 2)].tolist(), sizes[(comps > 1) & (comps <= CROWD) & (sizes > 2)].tolist(), strict=True):
+            cut = [*np.flatnonzero(new[s : s + n]).tolist(), n]
             for k in range(len(cut) - 2):
-                left, right = g["uid"][cut[k] : cut[k + 1]].tolist(), g["uid"][cut[k + 1] :].tolist()
-                pairs.update((min(x, y), max(x, y)) for x in left for y in right)
-        for x, y in pairs:
-            a.append(x)
-            b_.append(y)
-            band.append(None)
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b_, pa.int64()), pa.array(band, pa.int32())], names=["a", "b", "band"])
+                x, y = np.arange(s + cut[k], s + cut[k + 1]), np.arange(s + cut[k + 1], s + n)
+                left.append(np.repeat(x, len(y)))
+                right.append(np.tile(y, len(x)))
+        i, j = np.concatenate(left), np.concatenate(right)
+        pairs = np.zeros(len(i), TRIPLE)
+        pairs["a"], pairs["b"] = np.minimum(rec["uid"][i], rec["uid"][j]), np.maximum(rec["uid"][i], rec["uid"][j])
+        pairs["band"], pairs["need"] = rec["band"][i], np.maximum(rec["need"][i], rec["need"][j])
+    pairs, n = np.unique(pairs, return_counts=True)
+    one = pa.array(np.append(n, np.ones(len(lost), np.int64)).astype(np.int64))
+    b_ = pa.concat_arrays([pa.array(pairs["b"]), pa.nulls(len(lost), pa.int64())])
+    cols = [np.append(pairs[f], lost[g]) for f, g in (("a", "uid"), ("band", "band"), ("need", "need"))]
+    yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), b_, pa.array(cols[1].astype(np.int32)), one, pa.array(cols[2].astype(np.int32))], names=["a", "b", "band", "n", "need"])
 
 
 def _chosen(rows: DataFrame, uids: DataFrame) -> DataFrame:
@@ -375,7 +387,7 @@ def jaccard_components(rows: DataFrame, scratch: Scratch) -> DataFrame:
     spark = rows.sparkSession
     small_batches(spark)
     _, size = text_bytes(rows)
-    n_b, parts = buckets_for(size), partitions(spark, size)
+    n_b, parts = buckets_for(size), partitions(spark, size, DEALT)
     sizes = scratch.keep(set_sizes(rows))
     met = scratch.keep(rows.select("uid", "text").mapInArrow(_sketch(n_b), _PACKED).repartition(parts, "bucket").mapInArrow(_meet(n_b), _PACKED))
     trials = scratch.keep(met.filter(F.col("kind") == K_EDGE).select("bucket", "payload").repartition(parts, "bucket").mapInArrow(_best, "a long, b long"))
@@ -385,8 +397,11 @@ def jaccard_components(rows: DataFrame, scratch: Scratch) -> DataFrame:
     comps = label.select((F.pmod("node", F.lit(n_b))).cast("int").alias("bucket"), F.lit(K_COMP).alias("kind"), F.lit(None).cast("binary").alias("payload"), F.col("node").alias("uid"), F.col("component").alias("comp"))
     members = met.filter(F.col("kind") == K_MEMBER).select("bucket", "kind", "payload", F.lit(None).cast("long").alias("uid"), F.lit(None).cast("long").alias("comp"))
     placed = members.unionByName(comps).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_with_component(n_b), _PACKED)
-    across = scratch.keep(placed.repartition(parts, "bucket").mapInArrow(_across, "a long, b long, band int"))
-    more = scratch.keep(across.filter("b is not null").select("a", "b").distinct())
+    across = scratch.keep(placed.repartition(parts, "bucket").mapInArrow(_across, "a long, b long, band int, n long, need int"))
+    crowded = scratch.keep(across.filter("b is null").groupBy(F.col("a").alias("uid"), F.col("band").alias("in_band")).agg(F.sum("n").alias("lost"), F.max("need").alias("need_of")))
+    shared = across.filter("b is not null").groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    less = shared.join(crowded, (shared.a == crowded.uid) & (shared.band == crowded.in_band), "left").filter(F.col("n") >= F.col("need") - F.coalesce("lost", F.lit(0)))
+    more = scratch.keep(less.select("a", "b").distinct())
     found = [links]
     if more.limit(1).count():
         found.append(verified(more, rows, scratch))
@@ -394,17 +409,10 @@ def jaccard_components(rows: DataFrame, scratch: Scratch) -> DataFrame:
     def unpack(batches):
         for b in batches:
             for x in b.column("payload").to_pylist():
-                rec, _ = unsqueeze(x, LOOSE)
-                yield pa.RecordBatch.from_arrays([pa.array(rec["uid"]), pa.array(rec["all"] == 1)], names=["uid", "full"])
-
-    # a document is loose if its empty and crowded blocks reach a band's slack: if the empty ones
-    # alone do, if the crowded ones reach half of it, or if it has some of both and half is empty
-    empty = met.filter(F.col("kind") == K_LOOSE).select("payload").mapInArrow(unpack, "uid long, full boolean")
-    crowded = across.filter("b is null").groupBy(F.col("a").alias("uid"), "band").agg(F.count(F.lit(1)).alias("lost"))
-    slack = spark.createDataFrame([(t, int(BLOCKS[t] - MOST[t])) for t in range(len(LOW))], "band int, slack long")
-    by_crowd = crowded.join(F.broadcast(slack), "band").filter("lost * 2 >= slack").select("uid")
-    by_both = empty.filter("not full").select("uid").distinct().join(crowded.select("uid").distinct(), "uid", "left_semi")
-    loose = scratch.keep(empty.filter("full").select("uid").union(by_crowd).union(by_both).distinct())
+                yield pa.RecordBatch.from_arrays([pa.array(unsqueeze(x, LOOSE)[0]["uid"])], names=["uid"])
+
+    empty = met.filter(F.col("kind") == K_LOOSE).select("payload").mapInArrow(unpack, "uid long")
+    loose = scratch.keep(empty.union(crowded.filter("lost >= need_of").select("uid")).distinct())
     if loose.limit(1).count():
         last = scratch.keep(_loose_pairs(loose, rows))
         found.append(verified(last, rows, scratch))
