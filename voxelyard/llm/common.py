@@ -262,15 +262,15 @@ def grouped(bucket: np.ndarray):
         yield int(b[s]), order[s:e]
 
 
-def with_uid(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(uid, doc_id, text): uid is doc_id where that is unique and not null; otherwise the rows
+def with_uid(docs: DataFrame, scratch: Scratch, more: tuple = ()) -> DataFrame:
+    """(uid, doc_id, text, more columns): uid is doc_id where that is unique and not null; otherwise the rows
     are numbered in the order of (doc_id, text), nulls first. Null texts are empty."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
     odd = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").limit(1).count()
     if not odd:
-        return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text")
+        return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text", *more)
     numbered = running_start(rows.withColumn("one", F.lit(1).cast("long")), [F.col("doc_id").asc(), F.col("text").asc()], "one", "uid", scratch)
-    return scratch.keep(numbered.select("uid", "doc_id", "text"))
+    return scratch.keep(numbered.select("uid", "doc_id", "text", *more))
 
 
 # ------------------------------------------------------------------ prefix sums over an order

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import chat_format, license_scan
 from .chat_format import op5_chat_format
+from .decontaminate import op10_benchmark_leaks
 from .fingerprints import op3_fingerprints
 from .jaccard_join import op1_jaccard_join
 from .language_id import op8_language_id
@@ -27,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_benchmark_leaks": op10_benchmark_leaks,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

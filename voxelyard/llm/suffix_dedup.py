@@ -507,18 +507,19 @@ def _cut(batches, kept: bool):
                     removed += n
                 spans = len(mine)
                 rest = b"".join([*keep, raw[at:]])
-            rows.append((uid, doc, len(raw), removed, spans, hashlib.sha256(rest).hexdigest(), rest if kept else None))
+            rows.append((uid, doc, len(raw), removed, spans, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if kept else None))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
         arrays = [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(cols[5], pa.string())]
         names = ["uid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if kept:
-            arrays.append(pa.array(cols[6], pa.binary()))
+            arrays.append(pa.array(cols[6], pa.string()))
             names.append("kept")
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def remove_repeats(rows: DataFrame, scratch: Scratch, kept: bool = False) -> DataFrame:
-    """(uid, doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of rows (uid, doc_id, text)."""
+    """(uid, doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of rows (uid, doc_id, text); kept is the
+    rest as text, without the bytes of characters that were cut apart."""
     spark = rows.sparkSession
     small_batches(spark)
     _, size = text_bytes(rows)
@@ -530,7 +531,7 @@ def remove_repeats(rows: DataFrame, scratch: Scratch, kept: bool = False) -> Dat
     sent = asked.mapInArrow(_send_strands(n_b), _PACKED).repartition(parts, "bucket")
     compared = sent.mapInArrow(_compare(n_b), _PACKED)
     last = _texts_and(met.filter(F.col("kind") == K_GONE).unionByName(compared), rows, n_b, parts)
-    return last.mapInArrow(lambda it: _cut(it, kept), _RESULT + (", kept binary" if kept else ""))
+    return last.mapInArrow(lambda it: _cut(it, kept), _RESULT + (", kept string" if kept else ""))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
