@@ -8,3 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def load() -> None:
+    """Register all scene queries."""
+    from . import scene_queries  # noqa: F401
