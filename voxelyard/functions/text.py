@@ -66,7 +66,7 @@ def list_cell(c: Column) -> Column:
     """A list literal, else the parts between the first of , ; | that occurs."""
     literal = F.from_json(c, "array<string>")
     sep = F.when(F.contains(c, F.lit(",")), ",").when(F.contains(c, F.lit(";")), ";").otherwise("|")
-    plain = F.transform(F.split(F.translate(c, "[]'\"", ""), F.concat(F.lit("["), sep, F.lit("]"))), F.trim)
+    plain = F.transform(F.split(F.translate(c, "[]'\"", ""), F.concat(F.lit("["), sep, F.lit("]"))), lambda x: F.trim(x))
     return F.when(F.startswith(F.trim(c), F.lit("[")) & literal.isNotNull(), literal).otherwise(F.filter(plain, lambda x: x != ""))
 
 
