@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ LCS = 0.6
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
 BLOCK_ITEMS = 400
 CHUNK = 1 << 18
+GROUP = 64  # tasks whose arrays are added together
 
 _WORD = np.ones(256, bool)
 _WORD[:128] = False
@@ -101,19 +103,21 @@ def _sum_rows(docs: DataFrame, run, width: int, n: int) -> np.ndarray:
     def cut(batches):
         total = run(batches)
         ranges = range(0, n, each)
-        yield pa.RecordBatch.from_arrays([pa.array([*ranges], pa.int32()), pa.array([total[a : a + each].astype("<f8").tobytes() for a in ranges], pa.binary())], names=["at", "x"])
+        group = TaskContext.get().partitionId() // GROUP
+        yield pa.RecordBatch.from_arrays([pa.array([group] * len(ranges), pa.int32()), pa.array([*ranges], pa.int32()), pa.array([total[a : a + each].astype("<f8").tobytes() for a in ranges], pa.binary())], names=["g", "at", "x"])
 
     def add(batches):
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            for a, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for g, a, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 v = np.frombuffer(x, "<f8")
-                sums[a] = sums[a] + v if a in sums else v
-        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["at", "x"])
+                sums[g, a] = sums[g, a] + v if (g, a) in sums else v
+        yield pa.RecordBatch.from_arrays([pa.array([g // GROUP for g, _ in sums], pa.int32()), pa.array([a for _, a in sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["g", "at", "x"])
 
-    # neighbouring tasks add up first, so that no range of rows meets all tasks at once
-    some = docs.mapInArrow(cut, "at int, x binary")
-    got = some.repartition("at").mapInArrow(add, "at int, x binary").collect()
+    # GROUP tasks add up first, then GROUP of those, so that no task meets the arrays of all
+    schema = "g int, at int, x binary"
+    some = docs.mapInArrow(cut, schema).repartition("g", "at").mapInArrow(add, schema)
+    got = some.repartition("g", "at").mapInArrow(add, schema).collect()
     out = np.zeros((n, width))
     for r in got:
         v = np.frombuffer(r["x"], "<f8").reshape(-1, width)
