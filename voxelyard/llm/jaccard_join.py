@@ -264,9 +264,13 @@ def _with_component(b_n: int):
     """Components of a bucket's documents, then members of blocks, to members with components."""
 
     def run(batches):
-        bucket, uid, comp, known = None, [], [], None
+        bucket, uid, comp, known, done, held = None, [], [], None, [], 0
+
+        def send(parts):
+            rec = np.concatenate(parts)
+            return _rows([(g, K_MEMBER, squeeze(rec[at])) for g, at in grouped(bucket_of(mix(rec["gid"]), b_n))])
+
         for b in batches:
-            out = []
             for bk, kind, x, u, c in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bk != bucket:
                     bucket, uid, comp, known = bk, [], [], None
@@ -284,8 +288,13 @@ def _with_component(b_n: int):
                     at = np.minimum(np.searchsorted(known[0], rec["uid"]), len(known[0]) - 1)
                     hit = known[0][at] == rec["uid"]
                     rec["comp"][hit] = known[1][at[hit]]
-                out += [(g, K_MEMBER, squeeze(rec[at])) for g, at in grouped(bucket_of(mix(rec["gid"]), b_n))]
-            yield _rows(out)
+                done.append(rec)
+                held += len(rec)
+            if held > FLUSH:
+                yield send(done)
+                done, held = [], 0
+        if held:
+            yield send(done)
 
     return run
 
@@ -382,6 +391,73 @@ def _loose_pairs(uids: DataFrame, rows: DataFrame) -> DataFrame:
     return near.select(F.col("uid").alias("a"), "b").distinct()
 
 
+def _components_of(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (a, b, further columns) with components for documents, smaller first; none within one."""
+    left = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    right = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    both = pairs.join(left, "a", "left").join(right, "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca <> cb")
+    keep = [c for c in pairs.columns if c not in ("a", "b")]
+    return both.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), F.col("a").alias("one"), F.col("b").alias("other"), *keep)
+
+
+def _joined(label: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels after further links: only the components that these join are labelled anew."""
+    apart = scratch.keep(_components_of(links, label).select("a", "b").distinct())
+    if not apart.limit(1).count():
+        return label
+    top = components(apart, scratch)
+    single = top.select("node").join(label, "node", "left_anti").withColumn("component", F.col("node"))
+    far = top.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return scratch.keep(label.unionByName(single).join(far, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+
+
+def _bit_sketches(rows: DataFrame) -> DataFrame:
+    """(uid, n, bits): a parity sketch of each set, of the least power of two of bits from 8 bits
+    for each shingle that a near set may differ in, 256 at least."""
+
+    def run(batches):
+        for b in batches:
+            data, off = string_buffers(b.column("text"))
+            n, bits = [], []
+            for i, j in slices(off, CHUNK):
+                v, o = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                for s, e in zip(o[:-1].tolist(), o[1:].tolist(), strict=True):
+                    m = max(256, 1 << (2 * (e - s) - 1).bit_length()) if e > s else 256
+                    count = np.bincount((v[s:e] & U64(m - 1)).astype(np.int64), minlength=m)
+                    n.append(e - s)
+                    bits.append(np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names=["uid", "n", "bits"])
+
+    return rows.select("uid", "text").mapInArrow(run, "uid long, n long, bits binary")
+
+
+def _fold(x: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of fewer bits: halves XORed."""
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def near_enough(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those of the written pairs whose sketches' Hamming distance, which the symmetric difference
+    can't be below, allows a link."""
+    uids = scratch.keep(pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct())
+    bits = scratch.keep(_bit_sketches(_chosen(rows, uids)))
+
+    def run(batches):
+        for b in batches:
+            ok = []
+            for na, x, nb, y in zip(*(b.column(c).to_pylist() for c in ("na", "xa", "nb", "xb")), strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                ok.append(int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum()) <= (na + nb) // 9)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    one = bits.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    two = bits.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    return scratch.keep(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "xa", "nb", "xb").mapInArrow(run, "a long, b long"))
+
+
 def jaccard_components(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(uid, doc_id, n_shingles, component) of rows (uid, doc_id, text); component is a uid."""
     spark = rows.sparkSession
@@ -402,9 +478,15 @@ def jaccard_components(rows: DataFrame, scratch: Scratch) -> DataFrame:
     shared = across.filter("b is not null").groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
     less = shared.join(crowded, (shared.a == crowded.uid) & (shared.band == crowded.in_band), "left").filter(F.col("n") >= F.col("need") - F.coalesce("lost", F.lit(0)))
     more = scratch.keep(less.select("a", "b").distinct())
-    found = [links]
     if more.limit(1).count():
-        found.append(verified(more, rows, scratch))
+        more = near_enough(more, rows, scratch)
+        first = _components_of(more, label).groupBy("a", "b").agg(F.min(F.struct("one", "other")).alias("p")).select(F.col("p.one").alias("x"), F.col("p.other").alias("y"))
+        first = scratch.keep(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        label = _joined(label, verified(first, rows, scratch), scratch)  # one pair for two components
+        rest = _components_of(more, label).select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b"))
+        rest = scratch.keep(rest.join(first, ["a", "b"], "left_anti").distinct())
+        if rest.limit(1).count():  # then all that are still apart
+            label = _joined(label, verified(rest, rows, scratch), scratch)
 
     def unpack(batches):
         for b in batches:
@@ -415,15 +497,7 @@ def jaccard_components(rows: DataFrame, scratch: Scratch) -> DataFrame:
     loose = scratch.keep(empty.union(crowded.filter("lost >= need_of").select("uid")).distinct())
     if loose.limit(1).count():
         last = scratch.keep(_loose_pairs(loose, rows))
-        found.append(verified(last, rows, scratch))
-    if len(found) > 1:
-        extra = found[1]
-        for x in found[2:]:
-            extra = extra.unionByName(x)
-        if extra.limit(1).count():
-            old = label.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
-            label = components(old.unionByName(extra), scratch)
-
+        label = _joined(label, verified(last, rows, scratch), scratch)
     # classes: equal sets share the smallest document, which alone was linked
     real = sizes.filter("n_shingles > 0")
     rep = real.groupBy("n_shingles", "s1", "s2").agg(F.min("uid").alias("rep"))
