@@ -497,6 +497,8 @@ def jaccard_components(rows: DataFrame, scratch: Scratch) -> DataFrame:
     loose = scratch.keep(empty.union(crowded.filter("lost >= need_of").select("uid")).distinct())
     if loose.limit(1).count():
         last = scratch.keep(_loose_pairs(loose, rows))
+        apart = _components_of(last, label).select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b"))
+        last = near_enough(scratch.keep(apart), rows, scratch)
         label = _joined(label, verified(last, rows, scratch), scratch)
     # classes: equal sets share the smallest document, which alone was linked
     real = sizes.filter("n_shingles > 0")
