@@ -12,10 +12,13 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+GROUP = 64  # tasks whose arrays are added together
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN_ROOT: dict[str, str] = {}
 
 
@@ -40,7 +43,10 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.n}"
         self.n += 1
+        conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")  # the write's shuffle files go when it is done
         df.write.option("compression", "zstd").parquet(path)
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch = path
         return back
@@ -290,6 +296,36 @@ def running_start(df: DataFrame, order: list, value: str, out: str, scratch: Scr
     return ranged.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0))).join(bases, "_part").withColumn(out, (F.col("_base") + F.col("_in")).cast("long")).drop("_part", "_in", "_base")
 
 
+# ------------------------------------------------------------------ sums of arrays
+def sum_rows(docs: DataFrame, run, width: int, n: int) -> np.ndarray:
+    """Sum over tasks of arrays of n rows and so many columns, added up by ranges of rows."""
+    each = max(1, 200_000 // width)
+
+    def cut(batches):
+        total = run(batches)
+        ranges = range(0, n, each)
+        group = TaskContext.get().partitionId() // GROUP
+        yield pa.RecordBatch.from_arrays([pa.array([group] * len(ranges), pa.int32()), pa.array([*ranges], pa.int32()), pa.array([total[a : a + each].astype("<f8").tobytes() for a in ranges], pa.binary())], names=["g", "at", "x"])
+
+    def add(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for g, a, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                v = np.frombuffer(x, "<f8")
+                sums[g, a] = sums[g, a] + v if (g, a) in sums else v
+        yield pa.RecordBatch.from_arrays([pa.array([g // GROUP for g, _ in sums], pa.int32()), pa.array([a for _, a in sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["g", "at", "x"])
+
+    # GROUP tasks add up first, then GROUP of those, so that no task meets the arrays of all
+    schema = "g int, at int, x binary"
+    some = docs.mapInArrow(cut, schema).repartition("g", "at").mapInArrow(add, schema)
+    got = some.repartition("g", "at").mapInArrow(add, schema).collect()
+    out = np.zeros((n, width))
+    for r in got:
+        v = np.frombuffer(r["x"], "<f8").reshape(-1, width)
+        out[r["at"] : r["at"] + len(v)] += v
+    return out
+
+
 # ------------------------------------------------------------------ components
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(node, component) for undirected edges (a, b); the component is its smallest node.

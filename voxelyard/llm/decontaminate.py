@@ -22,11 +22,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, LOWER, prefix_hash, slices, small_batches, span_hash, string_buffers, table
+from .common import BYTE_CODE, LOWER, prefix_hash, slices, small_batches, span_hash, string_buffers, sum_rows, table
 
 WINDOW, STEP = 48, 24
 STOP = 0.05
@@ -36,7 +35,6 @@ LCS = 0.6
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
 BLOCK_ITEMS = 400
 CHUNK = 1 << 18
-GROUP = 64  # tasks whose arrays are added together
 
 _WORD = np.ones(256, bool)
 _WORD[:128] = False
@@ -96,35 +94,6 @@ class Items:
         self.vocab = np.unique(np.concatenate([h for _, h in self.rows])) if self.rows else np.zeros(0, np.uint64)
 
 
-def _sum_rows(docs: DataFrame, run, width: int, n: int) -> np.ndarray:
-    """Sum over tasks of arrays of n rows and so many columns, added up by ranges of rows."""
-    each = max(1, 200_000 // width)
-
-    def cut(batches):
-        total = run(batches)
-        ranges = range(0, n, each)
-        group = TaskContext.get().partitionId() // GROUP
-        yield pa.RecordBatch.from_arrays([pa.array([group] * len(ranges), pa.int32()), pa.array([*ranges], pa.int32()), pa.array([total[a : a + each].astype("<f8").tobytes() for a in ranges], pa.binary())], names=["g", "at", "x"])
-
-    def add(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for b in batches:
-            for g, a, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                v = np.frombuffer(x, "<f8")
-                sums[g, a] = sums[g, a] + v if (g, a) in sums else v
-        yield pa.RecordBatch.from_arrays([pa.array([g // GROUP for g, _ in sums], pa.int32()), pa.array([a for _, a in sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["g", "at", "x"])
-
-    # GROUP tasks add up first, then GROUP of those, so that no task meets the arrays of all
-    schema = "g int, at int, x binary"
-    some = docs.mapInArrow(cut, schema).repartition("g", "at").mapInArrow(add, schema)
-    got = some.repartition("g", "at").mapInArrow(add, schema).collect()
-    out = np.zeros((n, width))
-    for r in got:
-        v = np.frombuffer(r["x"], "<f8").reshape(-1, width)
-        out[r["at"] : r["at"] + len(v)] += v
-    return out
-
-
 def _frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, float]:
     n = len(vocab)
 
@@ -140,7 +109,7 @@ def _frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, float]
                 total[n] += len(row)
         return total
 
-    got = _sum_rows(docs, run, 1, n + 1)[:, 0]
+    got = sum_rows(docs, run, 1, n + 1)[:, 0]
     return got[:n], max(got[n], 1.0)
 
 
@@ -197,7 +166,7 @@ def latent_space(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray]
                 y[t[order][cut]] += np.add.reduceat(part, cut, axis=0)
         return y
 
-    y = _sum_rows(docs, run, k, n)
+    y = sum_rows(docs, run, k, n)
     core = omega.T.astype(np.float64) @ y
     val, vec = np.linalg.eigh((core + core.T) / 2)
     ok = val > max(val.max(initial=0), 1e-12) * 1e-9
