@@ -355,21 +355,54 @@ def _hash_sets(rows: DataFrame) -> DataFrame:
     return rows.select("uid", "text").mapInArrow(run, "uid long, h binary")
 
 
+def _texts(rows: DataFrame) -> DataFrame:
+    """(uid, x): each text, compressed; a half or a third of the bytes of its shingles' hashes."""
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            data, off = string_buffers(b.column("text"))
+            out = [pack(data[s:e].tobytes()) for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(out, pa.binary())], names=["uid", "x"])
+
+    return rows.select("uid", "text").mapInArrow(run, "uid long, x binary")
+
+
+def _linked_texts(pairs: list) -> list:
+    """Whether the sets of each pair of texts are linked; a text that comes again is read once."""
+    at: dict[bytes, int] = {}
+    where = [(at.setdefault(x, len(at)), at.setdefault(y, len(at))) for x, y in pairs]
+    off = np.append(0, np.cumsum([len(x) for x in at])).astype(np.int64)
+    v, o = _sets(np.frombuffer(b"".join(at), np.uint8), off)
+    return [linked(v[o[i] : o[i + 1]], v[o[j] : o[j + 1]]) for i, j in where]
+
+
 def verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of the written pairs (a, b) whose sets are linked."""
     uids = scratch.keep(pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct())
-    sets = scratch.keep(_hash_sets(_chosen(rows, uids)))
-    one = sets.select(F.col("uid").alias("a"), F.col("h").alias("ha"))
-    two = sets.select(F.col("uid").alias("b"), F.col("h").alias("hb"))
+    texts = _texts(_chosen(rows, uids))
+    one = texts.select(F.col("uid").alias("a"), F.col("x").alias("xa"))
+    two = texts.select(F.col("uid").alias("b"), F.col("x").alias("xb"))
 
     def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            ok = [linked(np.frombuffer(x, U64), np.frombuffer(y, U64)) for x, y in zip(b.column("ha").to_pylist(), b.column("hb").to_pylist(), strict=True)]
+            ok, todo, held = [], [], 0
+            for x, y in zip(b.column("xa").to_pylist(), b.column("xb").to_pylist(), strict=True):
+                todo.append((unpack(x), unpack(y)))
+                held += len(todo[-1][0]) + len(todo[-1][1])
+                if held > CHUNK:
+                    ok += _linked_texts(todo)
+                    todo, held = [], 0
+            if todo:
+                ok += _linked_texts(todo)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    out = scratch.keep(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long"))
-    scratch.drop(sets)
-    return out
+    return scratch.keep(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long"))
 
 
 def _loose_pairs(uids: DataFrame, rows: DataFrame) -> DataFrame:
@@ -467,7 +500,7 @@ def jaccard_components(rows: DataFrame, scratch: Scratch) -> DataFrame:
     sizes = scratch.keep(set_sizes(rows))
     met = scratch.keep(rows.select("uid", "text").mapInArrow(_sketch(n_b), _PACKED).repartition(parts, "bucket").mapInArrow(_meet(n_b), _PACKED))
     trials = scratch.keep(met.filter(F.col("kind") == K_EDGE).select("bucket", "payload").repartition(parts, "bucket").mapInArrow(_best, "a long, b long"))
-    links = verified(trials, rows, scratch)
+    links = verified(near_enough(trials, rows, scratch), rows, scratch)
     label = components(links, scratch)
 
     comps = label.select((F.pmod("node", F.lit(n_b))).cast("int").alias("bucket"), F.lit(K_COMP).alias("kind"), F.lit(None).cast("binary").alias("payload"), F.col("node").alias("uid"), F.col("component").alias("comp"))
