@@ -28,16 +28,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, bucket_of, buckets_for, components, distinct_sorted, grouped, mix, partitions, shingles_of, slices, small_batches, squeeze, string_buffers, table, text_bytes, unsqueeze, with_uid, words_of
+from .common import U64, Scratch, bucket_of, buckets_for, components, distinct_sorted, grouped, mix, partitions, shingles_of, slices, small_batches, squeeze, string_buffers, sum_rows, table, text_bytes, unsqueeze, with_uid, words_of
 
 WORDS = 5
 CROWD = 8
 BROADCAST_ROWS = 500_000  # ids of 8 bytes: a few MB; more are joined by a shuffle
 CHUNK = 1 << 18
 FLUSH = 400_000  # sketches a task holds before it sends them
+CELLS = 1 << 20  # counts by which shingles are ranked: 4 MB, whatever the input
 DEALT = 8e6  # bytes of text whose sketches a task is dealt
 
 ENTRY = np.dtype([("key", "<u4"), ("sig", "<u4"), ("sig2", "<u2"), ("uid", "<i8"), ("band", "u1"), ("need", "u1")])
@@ -340,21 +341,6 @@ def _chosen(rows: DataFrame, uids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(uids) if n <= BROADCAST_ROWS else uids, "uid", "left_semi")
 
 
-def _hash_sets(rows: DataFrame) -> DataFrame:
-    """(uid, h): each set as sorted 64-bit hashes."""
-
-    def run(batches):
-        for b in batches:
-            data, off = string_buffers(b.column("text"))
-            out = []
-            for i, j in slices(off, CHUNK):
-                v, o = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                out += [v[s:e].tobytes() for s, e in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(out, pa.binary())], names=["uid", "h"])
-
-    return rows.select("uid", "text").mapInArrow(run, "uid long, h binary")
-
-
 def _texts(rows: DataFrame) -> DataFrame:
     """(uid, x): each text, compressed; a half or a third of the bytes of its shingles' hashes."""
 
@@ -405,23 +391,67 @@ def verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long"))
 
 
-def _loose_pairs(uids: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs of loose documents that share one of their rarest shingles; each keeps
-    n - ceil(0.8 n) + 1, of which near sets share one."""
+def _cells(rows: DataFrame) -> np.ndarray:
+    """How many sets' shingles fall into each of CELLS ranges of hashes."""
 
-    def spread(batches):
+    def run(batches):
+        total = np.zeros((CELLS, 1))
         for b in batches:
-            for u, h in zip(b.column("uid").to_pylist(), b.column("h").to_pylist(), strict=True):
-                v = np.frombuffer(h, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), u)), pa.array(np.full(len(v), len(v))), pa.array(v)], names=["uid", "n", "s"])
+            data, off = string_buffers(b.column("text"))
+            for i, j in slices(off, CHUNK):
+                v, _ = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                total[:, 0] += np.bincount((v & U64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        return total
+
+    return sum_rows(rows.select("text"), run, 1, CELLS)[:, 0].astype(np.uint32)
 
-    tokens = _hash_sets(_chosen(rows, uids)).mapInArrow(spread, "uid long, n long, s long")
-    often = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    ranked = tokens.join(often, "s", "left").withColumn("r", F.row_number().over(Window.partitionBy("uid").orderBy(F.coalesce("often", F.lit(1)), "s")))
-    kept = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1) & F.col("often").isNotNull()).select("uid", "n", "s")
-    other = kept.select(F.col("uid").alias("b"), F.col("n").alias("nb"), "s")
-    near = kept.join(other, "s").filter((F.col("uid") < F.col("b")) & (F.col("n") * 5 >= F.col("nb") * 4) & (F.col("nb") * 5 >= F.col("n") * 4))
-    return near.select(F.col("uid").alias("a"), "b").distinct()
+
+def _rarest(rows: DataFrame, count: np.ndarray) -> DataFrame:
+    """(uid, n, r, s): the n - ceil(0.8 n) + 1 shingles of each set that are first in the order of
+    their cells' counts, then of their hashes, and their ranks r from 0; near sets share one of
+    them. Without those alone in a cell."""
+
+    def run(batches):
+        for b in batches:
+            data, off = string_buffers(b.column("text"))
+            uids = b.column("uid").to_numpy()
+            for i, j in slices(off, CHUNK):
+                v, o = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                n = np.diff(o)
+                row = np.repeat(np.arange(i, j), n)
+                often = count[(v & U64(CELLS - 1)).astype(np.int64)]
+                order = np.lexsort((v, often, row))
+                rank = np.arange(len(v)) - np.repeat(o[:-1], n)
+                kept = (rank <= np.repeat(n - (4 * n + 4) // 5, n)) & (often[order] > 1)
+                order, rank = order[kept], rank[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(uids[row[order]]), pa.array(n[row[order] - i]), pa.array(rank), pa.array(v[order].view(np.int64))], names=["uid", "n", "r", "s"])
+
+    return rows.select("uid", "text").mapInArrow(run, "uid long, n long, r long, s long")
+
+
+def _loose_links(uids: DataFrame, rows: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels after the links of loose documents. Of those that share a rare shingle, each first
+    tries the smallest of a shingle that it shares most with; then the pairs that are
+    still in different components are tried, so that copies don't make all their pairs. A near
+    pair shares 4/9 of both sizes' sum at least, all from the rank of its first shared shingle on."""
+    chosen = _chosen(rows, uids)
+    kept = scratch.keep(_rarest(chosen, _cells(chosen)))
+    least = kept.groupBy("s").agg(F.min("uid").alias("b"), F.count(F.lit(1)).alias("often")).filter("often > 1").select("s", "b")
+    trials = kept.join(least, "s").filter("uid <> b").groupBy("uid", "b").agg(F.count(F.lit(1)).alias("k"))
+    best = trials.groupBy("uid").agg(F.max(F.struct(F.col("k"), (-F.col("b")).alias("b"))).alias("m")).select(F.col("uid").alias("a"), (-F.col("m.b")).alias("b"))
+    apart = _components_of(best, label).select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b"))
+    near = near_enough(scratch.keep(apart), rows, scratch)
+    label = _joined(label, verified(near, rows, scratch), scratch)
+
+    named = kept.join(label.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("comp", F.coalesce("component", "uid")).drop("component")
+    mixed = named.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
+    named = scratch.keep(named.join(mixed, "s", "left_semi"))
+    scratch.drop(kept)
+    x, y = (named.select("s", F.col("uid").alias(u), F.col("n").alias(f"n{u}"), (F.col("n") - F.col("r")).alias(f"m{u}"), F.col("comp").alias(f"c{u}")) for u in ("a", "b"))
+    both = x.join(y, (x.s == y.s) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("ma", "mb") * 9 >= (F.col("na") + F.col("nb")) * 4))
+    rest = near_enough(scratch.keep(both.select("a", "b").distinct()), rows, scratch)
+    scratch.drop(named)
+    return _joined(label, verified(rest, rows, scratch), scratch)
 
 
 def _components_of(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -528,11 +558,10 @@ def jaccard_components(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
     empty = met.filter(F.col("kind") == K_LOOSE).select("payload").mapInArrow(unpack, "uid long")
     loose = scratch.keep(empty.union(crowded.filter("lost >= need_of").select("uid")).distinct())
+    scratch.drop(met)
+    scratch.drop(across)
     if loose.limit(1).count():
-        last = scratch.keep(_loose_pairs(loose, rows))
-        apart = _components_of(last, label).select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b"))
-        last = near_enough(scratch.keep(apart), rows, scratch)
-        label = _joined(label, verified(last, rows, scratch), scratch)
+        label = _loose_links(loose, rows, label, scratch)
     # classes: equal sets share the smallest document, which alone was linked
     real = sizes.filter("n_shingles > 0")
     rep = real.groupBy("n_shingles", "s1", "s2").agg(F.min("uid").alias("rep"))
