@@ -68,13 +68,13 @@ def precision_curve(df: DataFrame, keys: list[str], order: list[Column], hit: Co
     return shaped.withColumn("envelope", F.max("precision").over(down))
 
 
-def grid_pairs(points: DataFrame, key: str, axes: list[str], eps: float) -> DataFrame:
-    """Pairs a < b within eps: points meet those of the 27 cells around theirs."""
-    cell = points.select(key, *axes, *[F.floor(F.col(x) / eps).cast("long").alias(f"c{i}") for i, x in enumerate(axes)])
+def grid_pairs(points: DataFrame, key: str, axes: list[str], eps: float, within: tuple = ()) -> DataFrame:
+    """Pairs a < b closer than eps, of equal `within`: points meet those of the 27 cells around theirs."""
+    cell = points.select(key, *axes, *within, *[F.floor(F.col(x) / eps).cast("long").alias(f"c{i}") for i, x in enumerate(axes)])
     step = F.array(*[F.lit(d) for d in (-1, 0, 1)])
     spread = cell
     for i in range(len(axes)):
         spread = spread.withColumn(f"d{i}", F.explode(step)).withColumn(f"c{i}", F.col(f"c{i}") + F.col(f"d{i}")).drop(f"d{i}")
-    right = cell.select(F.col(key).alias("b"), *[F.col(x).alias(f"{x}_b") for x in axes], *[f"c{i}" for i in range(len(axes))])
+    right = cell.select(F.col(key).alias("b"), *within, *[F.col(x).alias(f"{x}_b") for x in axes], *[f"c{i}" for i in range(len(axes))])
     d2 = sum(((F.col(x) - F.col(f"{x}_b")) ** 2 for x in axes), F.lit(0.0))
-    return spread.withColumnRenamed(key, "a").join(right, [f"c{i}" for i in range(len(axes))]).filter("a < b").withColumn("d2", d2).filter(F.col("d2") < eps * eps).select("a", "b", "d2")
+    return spread.withColumnRenamed(key, "a").join(right, [*[f"c{i}" for i in range(len(axes))], *within]).filter("a < b").withColumn("d2", d2).filter(F.col("d2") < eps * eps).select("a", "b", "d2")

@@ -179,11 +179,11 @@ def voxel_dedup(spark, d):
     return _voxels(read(spark, d, "lineitem")).groupBy("i", "j", "k").agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("first_point"))
 
 
-@query(f"""WITH v AS (SELECT DISTINCT l_suppkey AS n, {_VOX} FROM lineitem WHERE l_suppkey <= 60), z AS (SELECT n, count(*) c FROM v GROUP BY 1),
+@query(f"""WITH v AS (SELECT DISTINCT l_suppkey AS n, {_VOX} FROM lineitem), z AS (SELECT n, count(*) c FROM v GROUP BY 1),
 p AS (SELECT x.n AS a, y.n AS b, count(*) AS inter FROM v x JOIN v y USING (i, j, k) WHERE x.n < y.n GROUP BY 1, 2)
 SELECT a, b, inter, round(inter / (u.c + w.c - inter), 6) AS iou, round(inter / least(u.c, w.c), 6) AS contain FROM p JOIN z u ON u.n = a JOIN z w ON w.n = b""")
 def voxel_iou_pairs(spark, d):
-    v = _voxels(read(spark, d, "lineitem").filter("l_suppkey <= 60")).select("l_suppkey", F.struct("i", "j", "k").alias("cell")).distinct()
+    v = _voxels(read(spark, d, "lineitem")).select("l_suppkey", F.struct("i", "j", "k").alias("cell")).distinct()
     p = R.overlap_pairs(v, "l_suppkey", "cell", 1, 0.0)
     return p.select("a", "b", "inter", six(F.col("inter") / (F.col("size_a") + F.col("size_b") - F.col("inter")), "iou"), six(F.col("ratio"), "contain"))
 
@@ -248,11 +248,11 @@ def affordance_pixel_subtract(spark, d):
     return R.without(li.filter("l_linestatus = 'O'"), li.filter("l_linestatus = 'F' and l_discount > 0.09"), ["day", "pixel"]).groupBy("day", "pixel").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH o AS (SELECT o_orderkey, o_custkey % 20 AS scene, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) - 1 AS ordinal FROM orders), e AS (SELECT event_id, user_id % 20 AS scene, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) - 1 AS ordinal FROM events) SELECT scene::BIGINT AS scene, ordinal::BIGINT AS ordinal, o_orderkey, event_id FROM o JOIN e USING (scene, ordinal) WHERE ordinal % 5 = 0")
+@query("WITH o AS (SELECT o_orderkey, o_custkey % 20 AS scene, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) - 1 AS ordinal FROM orders), e AS (SELECT event_id, user_id % 20 AS scene, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) - 1 AS ordinal FROM events) SELECT scene::BIGINT AS scene, ordinal::BIGINT AS ordinal, o_orderkey, event_id FROM o JOIN e USING (scene, ordinal)")
 def positional_alignment(spark, d):
     o = R.with_ordinal(read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("scene")), "scene", [F.col("o_orderkey").asc()])
     e = R.with_ordinal(read(spark, d, "events").select("event_id", (F.col("user_id") % 20).alias("scene")), "scene", [F.col("event_id").asc()])
-    return o.join(e, ["scene", "ordinal"]).filter("ordinal % 5 = 0").select("scene", F.col("ordinal").cast("long").alias("ordinal"), "o_orderkey", "event_id")
+    return o.join(e, ["scene", "ordinal"]).select("scene", F.col("ordinal").cast("long").alias("ordinal"), "o_orderkey", "event_id")
 
 
 @query("WITH f AS (SELECT min(doc_id) AS first_id, trim(lower(text)) AS t FROM documents GROUP BY 2) SELECT doc_id, first_id FROM documents JOIN f ON trim(lower(text)) = t")
