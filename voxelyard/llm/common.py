@@ -158,13 +158,39 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+PIECE = 1 << 19  # bytes whose words are hashed at a time; hashing takes some 60 bytes for each
+
+
+def _piece_end(data: np.ndarray, offsets: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on where no word is cut: white space, or the end of a row."""
+    end = int(offsets[np.searchsorted(offsets, at)])
+    while at < end:
+        space = SPACE[data[at : min(end, at + PIECE)]]
+        if space.any():
+            return at + int(space.argmax())
+        at += len(space)
+    return end
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray):
     """Words ``[^\\x20\\x09-\\x0D]+`` of some rows' bytes, A-Z lowered: start, end, 64-bit
-    hash of each word, and the first word of each row (one more entry than rows)."""
-    n = len(data)
-    if not n:
+    hash of each word, and the first word of each row (one more entry than rows). Long rows are
+    hashed in pieces, so that memory follows the words and not the bytes."""
+    found, a = [], 0
+    while a < len(data):
+        b = _piece_end(data, offsets, a + PIECE) if a + PIECE < len(data) else len(data)
+        start, end, h = _words_in(data[a:b], offsets - a)
+        found.append((start + a, end + a, h))
+        a = b
+    if not found:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+    start, end, h = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found, strict=True))
+    return start, end, h, np.searchsorted(start, offsets)
+
+
+def _words_in(data: np.ndarray, offsets: np.ndarray):
+    n = len(data)
     inside = ~SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[0], edge[n] = True, True
@@ -178,7 +204,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray):
     after[edge[1:]] = False
     end = np.flatnonzero(inside & ~after) + 1
     s = prefix_hash(BYTE_CODE[LOWER[data]])
-    return start, end, span_hash(s, start, end), np.searchsorted(start, offsets)
+    return start, end, span_hash(s, start, end)
 
 
 SHINGLE_MULT = _RNG.integers(1, 2**63, 16, dtype=np.int64).astype(U64) | U64(1)
