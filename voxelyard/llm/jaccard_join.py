@@ -11,10 +11,11 @@ similarity of at least 0.8 differ in at most D = (a + b) // 9 shingles.
    that share a block's sketch are candidates. A set takes part in each band that a partner's
    size can call for.
 3. Of each block's documents, the smallest is tried first, best shared first; exact verification
-   gives links, links give components. Then the pairs of one block whose documents are still in
-   different components are counted: a near pair agrees in slack blocks, of which those that are
-   empty in both say nothing, so it shares at least slack less the empty blocks of either. Pairs
-   that reach this are verified, and no link between components is lost.
+   gives links, links give components. A near pair agrees in slack blocks, of which those that are
+   empty in both say nothing, so it shares at least slack less the empty blocks of either. The
+   blocks that two components share are counted, those of one pair of members are no more; where
+   they reach this, one pair is tried. Only for components that are still apart then are pairs of
+   members counted. Pairs that reach the bound are verified, and no link between components is lost.
 4. A block whose documents are still in more than CROWD components is set aside, and a pair may
    then share one block less. A document whose empty and set-aside blocks reach the slack is
    loose: pairs with a document that isn't loose are found all the same, and pairs of two loose
@@ -39,14 +40,17 @@ BROADCAST_ROWS = 500_000  # ids of 8 bytes: a few MB; more are joined by a shuff
 CHUNK = 1 << 18
 FLUSH = 400_000  # sketches a task holds before it sends them
 CELLS = 1 << 20  # counts by which shingles are ranked: 4 MB, whatever the input
+PAIRS = 1 << 18  # pairs a task holds before it counts and sends them
 DEALT = 8e6  # bytes of text whose sketches a task is dealt
 
 ENTRY = np.dtype([("key", "<u4"), ("sig", "<u4"), ("sig2", "<u2"), ("uid", "<i8"), ("band", "u1"), ("need", "u1")])
 EDGE = np.dtype([("uid", "<i8"), ("pivot", "<i8"), ("n", "<u4")])
 MEMBER = np.dtype([("gid", "<u8"), ("uid", "<i8"), ("comp", "<i8"), ("band", "u1"), ("need", "u1")])
 LOOSE = np.dtype([("uid", "<i8")])
-TRIPLE = np.dtype([("a", "<i8"), ("b", "<i8"), ("band", "<i4"), ("need", "<i4")])
+PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("ca", "<i8"), ("cb", "<i8"), ("band", "<i4"), ("need", "<i4")])
+NAMES = ["a", "b", "ca", "cb", "band", "n", "need"]
 _PACKED = "bucket int, kind int, payload binary"
+_ACROSS = "a long, b long, ca long, cb long, band int, n long, need int"
 K_COMP, K_ENTRY, K_EDGE, K_MEMBER, K_LOOSE, K_PAIR = 0, 1, 2, 3, 4, 5
 
 
@@ -261,8 +265,9 @@ def _best(batches):
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(p)], names=["a", "b"])
 
 
-def _with_component(b_n: int):
-    """Components of a bucket's documents, then members of blocks, to members with components."""
+def _with_component(b_n: int, only: bool):
+    """Components of a bucket's documents, then members of blocks, to members with components.
+    Documents without one are their own, or left out if ``only`` holds."""
 
     def run(batches):
         bucket, uid, comp, known, done, held = None, [], [], None, [], 0
@@ -285,12 +290,13 @@ def _with_component(b_n: int):
                     known = known[0][order], known[1][order]
                 rec, _ = unsqueeze(x, MEMBER)
                 rec["comp"] = rec["uid"]
+                hit = np.zeros(len(rec), bool)
                 if len(known[0]):
                     at = np.minimum(np.searchsorted(known[0], rec["uid"]), len(known[0]) - 1)
                     hit = known[0][at] == rec["uid"]
                     rec["comp"][hit] = known[1][at[hit]]
-                done.append(rec)
-                held += len(rec)
+                done.append(rec[hit] if only else rec)
+                held += len(done[-1])
             if held > FLUSH:
                 yield send(done)
                 done, held = [], 0
@@ -300,39 +306,64 @@ def _with_component(b_n: int):
     return run
 
 
-def _across(batches):
-    """Members of blocks, by block, to pairs across components (a, b, band, blocks shared here,
-    blocks needed); members of crowded blocks, with b null."""
-    recs = [unsqueeze(x, MEMBER)[0] for b in batches for x in b.column("payload").to_pylist()]
-    pairs, lost = np.zeros(0, TRIPLE), np.zeros(0, MEMBER)
-    if recs:
+def _pairs_of(rec: np.ndarray, new: np.ndarray, heads: np.ndarray, sizes: np.ndarray):
+    """Places (i, j) of members of different components of a block, PAIRS or so at a time."""
+    left, right, held = [], [], 0
+    for s, n in zip(heads.tolist(), sizes.tolist(), strict=True):
+        cut = [*np.flatnonzero(new[s : s + n]).tolist(), n]
+        for k in range(len(cut) - 2):
+            y = np.arange(s + cut[k + 1], s + n)
+            step = max(1, PAIRS // len(y))
+            for i in range(s + cut[k], s + cut[k + 1], step):
+                x = np.arange(i, min(i + step, s + cut[k + 1]))
+                left.append(np.repeat(x, len(y)))
+                right.append(np.tile(y, len(x)))
+                held += len(left[-1])
+                if held > PAIRS:
+                    yield np.concatenate(left), np.concatenate(right)
+                    left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def _across(every: bool):
+    """Members of blocks, by block, to pairs across components (a, b, their components ca < cb, band,
+    blocks shared here, blocks needed at least); members of crowded blocks, with b null. Unless
+    ``every`` holds, the smallest member of each component in a block stands for all of them, and
+    for the least that any of them needs."""
+
+    def run(batches):
+        recs = [unsqueeze(x, MEMBER)[0] for b in batches for x in b.column("payload").to_pylist()]
+        if not recs:
+            return
         rec = np.concatenate(recs)
+        del recs
         rec = rec[np.lexsort((rec["uid"], rec["comp"], rec["gid"]))]
+        if not len(rec):
+            return
         heads = np.flatnonzero(np.append(True, rec["gid"][1:] != rec["gid"][:-1]))
-        sizes = np.diff(np.append(heads, len(rec)))
         new = np.append(True, (rec["gid"][1:] != rec["gid"][:-1]) | (rec["comp"][1:] != rec["comp"][:-1]))
         comps = np.add.reduceat(new.astype(np.int64), heads)
-        crowd = np.repeat(comps > CROWD, sizes)
-        lost = rec[crowd]
-        left, right = [], []
-        two = heads[(comps == 2) & (sizes == 2)]
-        left.append(two)
-        right.append(two + 1)
-        for s, n in zip(heads[(comps > 1) & (comps <= CROWD) & (sizes > 2)].tolist(), sizes[(comps > 1) & (comps <= CROWD) & (sizes > 2)].tolist(), strict=True):
-            cut = [*np.flatnonzero(new[s : s + n]).tolist(), n]
-            for k in range(len(cut) - 2):
-                x, y = np.arange(s + cut[k], s + cut[k + 1]), np.arange(s + cut[k + 1], s + n)
-                left.append(np.repeat(x, len(y)))
-                right.append(np.tile(y, len(x)))
-        i, j = np.concatenate(left), np.concatenate(right)
-        pairs = np.zeros(len(i), TRIPLE)
-        pairs["a"], pairs["b"] = np.minimum(rec["uid"][i], rec["uid"][j]), np.maximum(rec["uid"][i], rec["uid"][j])
-        pairs["band"], pairs["need"] = rec["band"][i], np.maximum(rec["need"][i], rec["need"][j])
-    pairs, n = np.unique(pairs, return_counts=True)
-    one = pa.array(np.append(n, np.ones(len(lost), np.int64)).astype(np.int64))
-    b_ = pa.concat_arrays([pa.array(pairs["b"]), pa.nulls(len(lost), pa.int64())])
-    cols = [np.append(pairs[f], lost[g]) for f, g in (("a", "uid"), ("band", "band"), ("need", "need"))]
-    yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), b_, pa.array(cols[1].astype(np.int32)), one, pa.array(cols[2].astype(np.int32))], names=["a", "b", "band", "n", "need"])
+        sizes = np.diff(np.append(heads, len(rec)))
+        if not every:
+            lost = rec[np.repeat(comps > CROWD, sizes)]
+            z = pa.nulls(len(lost), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(lost["uid"]), z, z, z, pa.array(lost["band"].astype(np.int32)), pa.array(np.ones(len(lost), np.int64)), pa.array(lost["need"].astype(np.int32))], names=NAMES)
+            need = np.minimum.reduceat(rec["need"], np.flatnonzero(new))
+            rec = rec[new]
+            rec["need"] = need
+            new, sizes = np.ones(len(rec), bool), comps
+            heads = np.cumsum(comps) - comps
+        open_ = (comps > 1) & (comps <= CROWD)
+        for i, j in _pairs_of(rec, new, heads[open_], sizes[open_]):
+            pairs = np.zeros(len(i), PAIR)
+            pairs["a"], pairs["b"], pairs["ca"], pairs["cb"] = rec["uid"][i], rec["uid"][j], rec["comp"][i], rec["comp"][j]
+            pairs["band"], pairs["need"] = rec["band"][i], np.maximum(rec["need"][i], rec["need"][j])
+            pairs, n = np.unique(pairs, return_counts=True)
+            cols = {f: pa.array(np.ascontiguousarray(pairs[f])) for f in PAIR.names} | {"n": pa.array(n.astype(np.int64))}
+            yield pa.RecordBatch.from_arrays([cols[c] for c in NAMES], names=NAMES)
+
+    return run
 
 
 def _chosen(rows: DataFrame, uids: DataFrame) -> DataFrame:
@@ -474,6 +505,22 @@ def _joined(label: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(label.unionByName(single).join(far, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
 
 
+def _by_component(across: DataFrame, crowded: DataFrame, rows: DataFrame, label: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Labels after one trial for two components, and the pairs (a, b) of components that are still
+    apart and may hold a near pair: no two members share more blocks than their components do."""
+    pairs = across.filter("b is not null")
+    sums = pairs.groupBy("ca", "cb", "band").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+    named = crowded.join(label.select(F.col("node").alias("uid"), "component"), "uid", "left").groupBy(F.coalesce("component", "uid").alias("of"), "in_band").agg(F.max("lost").alias("lost"))
+    may = sums.join(named, (sums.ca == named.of) & (sums.band == named.in_band), "left").filter(F.col("n") >= F.col("need") - F.coalesce("lost", F.lit(0)))
+    may = scratch.keep(may.select("ca", "cb").distinct())
+    tried = pairs.join(may, ["ca", "cb"], "left_semi").groupBy("ca", "cb", "a", "b").agg(F.sum("n").alias("n"))
+    tried = tried.groupBy("ca", "cb").agg(F.max(F.struct("n", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("t"))
+    tried = scratch.keep(tried.select((-F.col("t.a")).alias("a"), (-F.col("t.b")).alias("b")).distinct())
+    label = _joined(label, verified(near_enough(tried, rows, scratch), rows, scratch), scratch)
+    still = _components_of(may.select(F.col("ca").alias("a"), F.col("cb").alias("b")), label)
+    return label, scratch.keep(still.select("a", "b").distinct())
+
+
 def _bit_sketches(rows: DataFrame) -> DataFrame:
     """(uid, n, bits): a parity sketch of each set, of the least power of two of bits from 8 bits
     for each shingle that a near set may differ in, 256 at least."""
@@ -533,16 +580,25 @@ def jaccard_components(rows: DataFrame, scratch: Scratch) -> DataFrame:
     links = verified(near_enough(trials, rows, scratch), rows, scratch)
     label = components(links, scratch)
 
-    comps = label.select((F.pmod("node", F.lit(n_b))).cast("int").alias("bucket"), F.lit(K_COMP).alias("kind"), F.lit(None).cast("binary").alias("payload"), F.col("node").alias("uid"), F.col("component").alias("comp"))
-    members = met.filter(F.col("kind") == K_MEMBER).select("bucket", "kind", "payload", F.lit(None).cast("long").alias("uid"), F.lit(None).cast("long").alias("comp"))
-    placed = members.unionByName(comps).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_with_component(n_b), _PACKED)
-    across = scratch.keep(placed.repartition(parts, "bucket").mapInArrow(_across, "a long, b long, band int, n long, need int"))
+    def blocks(comps: DataFrame, only: bool) -> DataFrame:
+        """Members of shared blocks with their components, dealt by block."""
+        comps = comps.select(F.pmod("node", F.lit(n_b)).cast("int").alias("bucket"), F.lit(K_COMP).alias("kind"), F.lit(None).cast("binary").alias("payload"), F.col("node").alias("uid"), F.col("component").alias("comp"))
+        members = met.filter(F.col("kind") == K_MEMBER).select("bucket", "kind", "payload", F.lit(None).cast("long").alias("uid"), F.lit(None).cast("long").alias("comp"))
+        placed = members.unionByName(comps).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_with_component(n_b, only), _PACKED)
+        return placed.repartition(parts, "bucket")
+
+    across = scratch.keep(blocks(label, False).mapInArrow(_across(False), _ACROSS))
     crowded = scratch.keep(across.filter("b is null").groupBy(F.col("a").alias("uid"), F.col("band").alias("in_band")).agg(F.sum("n").alias("lost"), F.max("need").alias("need_of")))
-    shared = across.filter("b is not null").groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
-    less = shared.join(crowded, (shared.a == crowded.uid) & (shared.band == crowded.in_band), "left").filter(F.col("n") >= F.col("need") - F.coalesce("lost", F.lit(0)))
-    more = scratch.keep(less.select("a", "b").distinct())
-    if more.limit(1).count():
-        more = near_enough(more, rows, scratch)
+    label, still = _by_component(across, crowded, rows, label, scratch)
+    scratch.drop(across)
+    if still.limit(1).count():
+        comps = still.select(F.col("a").alias("component")).union(still.select(F.col("b").alias("component"))).distinct()
+        nodes = label.join(comps, "component", "left_semi").select("node", "component")
+        alone = comps.select(F.col("component").alias("node"), "component").join(label, "node", "left_anti")
+        every = blocks(nodes.unionByName(alone), True).mapInArrow(_across(True), _ACROSS).join(still.select(F.col("a").alias("ca"), F.col("b").alias("cb")), ["ca", "cb"], "left_semi")
+        every = scratch.keep(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "band", "n", "need").groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.max("need").alias("need")))
+        less = every.join(crowded, (every.a == crowded.uid) & (every.band == crowded.in_band), "left").filter(F.col("n") >= F.col("need") - F.coalesce("lost", F.lit(0)))
+        more = near_enough(scratch.keep(less.select("a", "b").distinct()), rows, scratch)
         first = _components_of(more, label).groupBy("a", "b").agg(F.min(F.struct("one", "other")).alias("p")).select(F.col("p.one").alias("x"), F.col("p.other").alias("y"))
         first = scratch.keep(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         label = _joined(label, verified(first, rows, scratch), scratch)  # one pair for two components
@@ -550,6 +606,7 @@ def jaccard_components(rows: DataFrame, scratch: Scratch) -> DataFrame:
         rest = scratch.keep(rest.join(first, ["a", "b"], "left_anti").distinct())
         if rest.limit(1).count():  # then all that are still apart
             label = _joined(label, verified(rest, rows, scratch), scratch)
+        scratch.drop(every)
 
     def unpack(batches):
         for b in batches:
@@ -559,7 +616,6 @@ def jaccard_components(rows: DataFrame, scratch: Scratch) -> DataFrame:
     empty = met.filter(F.col("kind") == K_LOOSE).select("payload").mapInArrow(unpack, "uid long")
     loose = scratch.keep(empty.union(crowded.filter("lost >= need_of").select("uid")).distinct())
     scratch.drop(met)
-    scratch.drop(across)
     if loose.limit(1).count():
         label = _loose_links(loose, rows, label, scratch)
     # classes: equal sets share the smallest document, which alone was linked
