@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 import pandas as pd
@@ -70,7 +71,8 @@ def test_pool_as_table_and_stream(spark, tmp_path):
     whole = {r["user_id"]: tuple(r)[1:] for r in pool.settle(spark.createDataFrame(rows, kinds)).collect()}
     (tmp_path / "in").mkdir()
     for i in range(2):
-        rows[i * 100 : (i + 1) * 100].to_json(tmp_path / "in" / f"{i}.json", orient="records", lines=True)
+        rows[i * 100 : (i + 1) * 100].to_json(file := tmp_path / "in" / f"{i}.json", orient="records", lines=True)
+        os.utime(file, (1_700_000_000 + i,) * 2)  # the file source's order is that of the files' times
     stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     got: dict = {}
 
