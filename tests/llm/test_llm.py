@@ -134,6 +134,16 @@ def test_prefix_table():
         assert [table.count(n) for n in range(len(t) + 1)] == [len(ids_of("byte_bpe_50k.json", t[:n])) for n in range(len(t) + 1)]
 
 
+def test_prefix_tables_of_texts(spark):
+    texts = ["x  <|endoftext|> y", "a <|endoftext|><|endof", "it'll  'll'", "日本 語  x\n\n y", "", None, "  \n x" + "é" * 9, "a" * 200 + "\t\tq"]
+    got = {r["doc_id"]: r["prefix"] for r in token_counts.prefix_tables(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        want = [len(ids_of("byte_bpe_50k.json", t[:n])) for n in range(len(t) + 1)]
+        table = token_counts.PrefixTable(t)
+        assert got[i] == want == [table.count(n) for n in range(len(t) + 1)]
+
+
 def test_packing(docs, empty):
     pieces = packing.pack(docs).collect()
     assert sum(p["length"] for p in pieces) == sum(len(ids_of("byte_bpe_50k.json", t)) + 1 for _, t in corpus())

@@ -1,93 +1,212 @@
 """Token counts by prefix dynamic programming.
 
-A text's words are cut before any merge, so tokens(prefix) = tokens(words before) + tokens(part
-of the last word). The table of a text holds the running count at each word's end; the table of
-a word holds the count at each of its prefixes, made by count[i] = count[i - size of the last
-token of prefix i] + 1. Together they answer the exact count of every prefix without encoding
-the text again.
+1. A word's table: the last token of a prefix is the one that ends there and may follow the last
+   token before it, which one pair of tokens decides; then count[i] = count[i - size of the last
+   token] + 1. No prefix is encoded again.
+2. A text's table has an entry for each prefix, by code points: tokens of the words before, and the
+   entry of the word cut by the prefix. White space at a prefix's end is one word, though the text
+   goes on; a contraction cut in its middle is two.
+3. Strings of special tokens part a text before words are cut, and count as one token; a prefix that
+   ends inside one has it as ordinary text.
+
+The query takes its counts from the last entries. Entries equal the library's counts of the prefixes.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows and ids are each
 kept; an empty table gives an empty result; further columns of the input are ignored."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import fasttok
-from .common import small_batches, string_buffers, table
+from .common import slices, small_batches, string_buffers, table
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
+MOST_PAIRS = 1_000_000  # pairs of tokens, and words, that a worker remembers
+
+_BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+_CUT_IN_TWO = ("'re", "'ve", "'ll")
+
+
+def _alphabet() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
+
+
+class PrefixTokenizer(fasttok.WordTokenizer):
+    """tables() gives the counts of all prefixes; the table of words holds each word's steps from one
+    prefix to the next in place of its ids."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        if not self.by_space:
+            raise ValueError("prefix tables need a byte-level vocabulary")
+        self.letters = _alphabet()
+        self.vocab = self.lib.get_vocab(with_added_tokens=False)
+        self.tails = {t[i:] for t in self.vocab for i in range(len(t))}
+        self.marks = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) or "(?!)")
+        self.follows: dict[tuple[str, str], bool] = {}
+        self.known: dict[str, list[int]] = {}
+
+    def _follow(self, a: str, b: str) -> bool:
+        """Whether b stays a token of its own after the token a ("" at a word's start)."""
+        got = self.follows.get((a, b))
+        if got is None:
+            if len(self.follows) >= MOST_PAIRS:
+                self.follows.clear()
+            got = self.follows[a, b] = [t.value for t in self.lib.model.tokenize(a + b)] == ([a, b] if a else [b])
+        return got
+
+    def word(self, part: str) -> list[int]:
+        """count[i]: tokens of part[: i + 1] of one word."""
+        raw = part.encode()
+        s = raw.decode("latin-1").translate(self.letters)
+        last, count, out = [""], [0], []
+        for i in range(1, len(s) + 1):
+            ends, j = [], i - 1
+            while j >= 0 and (t := s[j:i]) in self.tails:
+                if t in self.vocab:
+                    ends.append((j, t))
+                j -= 1
+            j, t = next((j, t) for j, t in reversed(ends) if self._follow(last[j], t))
+            last.append(t)
+            count.append(count[j] + 1)
+            if i == len(s) or raw[i] & 0xC0 != 0x80:
+                out.append(count[i])
+        return [1, 2, out[2]] if part in _CUT_IN_TWO else out
+
+    def _known(self, part: str) -> list[int]:
+        if part not in self.known:
+            if len(self.known) >= MOST_PAIRS:
+                self.known.clear()
+            self.known[part] = self.word(part)
+        return self.known[part]
+
+    def _new(self, words: list) -> list:
+        return [np.diff(self.word(w), prepend=0).tolist() for w in words]
+
+    def _slow(self, texts: list) -> list:
+        return [np.diff(self.whole(t), prepend=0).tolist() for t in texts]
+
+    def spans(self, text: str):
+        """Ordinary parts of a text with the words in each, and the special string after it."""
+        at = 0
+        for m in [*self.marks.finditer(text), None]:
+            end = m.start() if m else len(text)
+            words = [(at + a, at + b) for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(text[at:end])] if end > at else []
+            yield end, words, m.end() if m else end
+            at = m.end() if m else end
+
+    def whole(self, text: str) -> list[int]:
+        """Tokens of text[: i + 1], for a text of any characters."""
+        out: list[int] = []
+        total = 0
+        for end, words, after in self.spans(text):
+            upto, fixed = [], []
+            for k, (a, b) in enumerate(words):
+                if k and _BLANK.fullmatch(text, words[k - 1][0], a + 1):
+                    fixed.append((a, upto[k - 1] + self._known(text[words[k - 1][0] : a + 1])[-1]))
+                upto.append(total)
+                counts = self._known(text[a:b])
+                out += [total + c for c in counts]
+                total += counts[-1]
+            for p, c in fixed:
+                out[p] = c
+            if after > end:
+                k = max(len(words) - 3, 0)  # a cut special string may join the words before
+                a, before = (words[k][0], upto[k]) if words else (end, total)
+                out += [before + len(self.lib.encode(text[a:i], add_special_tokens=False).ids) for i in range(end + 1, after)]
+                total += 1
+                out.append(total)
+        return out
+
+    def tables(self, col, most: int = 1 << 18):
+        """For slices of a string column: first row, last row, counts of all prefixes (the empty one's 0
+        first) flat, and the rows' offsets."""
+        data, off = string_buffers(col)
+        for i, j in slices(off, most):
+            raw, cut = data[off[i] : off[j]], off[i : j + 1] - off[i]
+            steps, ends = self._some(raw, cut)
+            rows = np.repeat(np.arange(j - i), np.diff(ends))
+            running = np.cumsum(steps, dtype=np.int64)
+            base = np.append(0, running)[ends[:-1]]
+            text = raw.tobytes().decode("utf-8")
+            cp = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            blank = (cp < fasttok.SAFE) & (fasttok._CLASS[np.minimum(cp, fasttok.SAFE - 1)] == 0)
+            odd = np.zeros(j - i, bool)  # these went through whole()
+            odd[rows[(cp >= fasttok.SAFE) | (cp == 0x130)]] = True
+            for m in self.marks.finditer(text):
+                odd[rows[m.start()]] = True
+            fresh = np.ones(len(cp), bool)  # no white space of the same text right before
+            fresh[1:] = ~blank[:-1] | (rows[1:] != rows[:-1])
+            runs = np.flatnonzero(blank & fresh)
+            at = np.flatnonzero(blank[:-1] & ~blank[1:] & ~fresh[:-1] & (rows[1:] == rows[:-1]))
+            at = at[~odd[rows[at]]]
+            if len(at):
+                a = runs[np.searchsorted(runs, at, side="right") - 1]
+                tail = [self._known(text[x : y + 1])[-1] for x, y in zip(a.tolist(), at.tolist(), strict=True)]
+                running[at] = np.append(0, running)[a] + tail
+            flat = np.zeros(len(cp) + j - i, np.int32)
+            flat[np.arange(len(cp)) + rows + 1] = running - base[rows]
+            yield i, j, flat, ends + np.arange(j - i + 1)
+
+
+_LOADED: dict[str, PrefixTokenizer] = {}
+
+
+def load(path: str) -> PrefixTokenizer:
+    """The tokenizer of a worker; loaded once for each process."""
+    if path not in _LOADED:
+        _LOADED[path] = PrefixTokenizer(path)
+    return _LOADED[path]
 
 
 class PrefixTable:
     """Exact token counts of all prefixes of one text."""
 
     def __init__(self, text: str, vocabulary: str = VOCABULARY):
-        self.tok = fasttok.load(fasttok.vocabulary(vocabulary))
+        tok = load(fasttok.vocabulary(vocabulary))
         self.text = text
-        words = [(w, a, b) for w, (a, b) in self.tok.lib.pre_tokenizer.pre_tokenize_str(text)] if text else []
-        self.start = np.array([a for _, a, _ in words], np.int64)
-        self.end = np.array([b for *_, b in words], np.int64)
-        self.upto = np.concatenate([[0], np.cumsum([len(self._ids(text[a:b])) for _, a, b in words])]).astype(np.int64)
-        self.tables: dict[str, list[int]] = {}
-
-    def _ids(self, part: str) -> list[int]:
-        return self.tok.lib.encode(part, add_special_tokens=False).ids
-
-    def word(self, part: str) -> list[int]:
-        """count[i]: tokens of part[:i]. White space at the end of a text is one word, so the
-        parts given here are whole trailing runs."""
-        if part not in self.tables:
-            count = [0]
-            for i in range(1, len(part) + 1):
-                ids = self._ids(part[:i])
-                last = self.tok.lib.decode([ids[-1]])
-                whole = "�" not in last and part[:i].endswith(last) and self._ids(part[: i - len(last)]) == ids[:-1]
-                count.append(count[i - len(last)] + 1 if whole else len(ids))
-            self.tables[part] = count
-        return self.tables[part]
+        self.upto = [0, *tok.whole(text)]
+        self.end = [b for _, words, _ in tok.spans(text) for _, b in words]
 
     def count(self, n: int) -> int:
         """Tokens of the first n code points."""
-        n = max(0, min(n, len(self.text)))
-        k = int(np.searchsorted(self.end, n, side="left"))
-        if n == 0 or k >= len(self.end):
-            return int(self.upto[-1]) if n else 0
-        if self.end[k] == n and not self.text[n - 1].isspace():
-            return int(self.upto[k + 1])
-        if self.text[n - 1].isspace():  # the trailing run of white space is one word
-            while k and self.text[self.start[k] : self.start[k] + 1].isspace() and self.text[self.start[k] - 1].isspace():
-                k -= 1
-            if not self.text[self.start[k]].isspace():
-                return int(self.upto[k]) + self.word(self.text[self.start[k] : n])[-1]
-        part = self.text[self.start[k] : n]
-        return int(self.upto[k]) + self.word(part)[len(part)]
+        return self.upto[max(0, min(n, len(self.text)))]
 
     def longest(self, budget: int) -> int:
         """Code points of the longest prefix that ends with a word and has at most ``budget`` tokens."""
-        ok = [int(e) for e, u in zip(self.end, self.upto[1:], strict=True) if u <= budget and not self.text[e - 1].isspace()]
-        return max(ok, default=0)
+        return max((e for e in self.end if self.upto[e] <= budget and not self.text[e - 1].isspace()), default=0)
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every whole text: the last entry of its table.
-    No shuffle; each worker keeps a bounded table of the words it has met."""
+def prefix_tables(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_bytes, prefix): prefix[n] is the token count of the text's first n code points. No
+    shuffle; each worker keeps a bounded table of the words it has met."""
     small_batches(docs.sparkSession)
     path = fasttok.vocabulary(vocabulary)
 
     def run(batches):
-        tok = fasttok.load(path)
+        tok = load(path)
         for b in batches:
-            _, off = string_buffers(b.column("text"))
-            n = np.zeros(len(off) - 1, np.int64)
-            for i, j, _, ends in tok.tokens(b.column("text")):
-                n[i:j] = np.diff(ends)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            ids, size = b.column("doc_id"), np.diff(string_buffers(b.column("text"))[1])
+            for i, j, flat, off in tok.tables(b.column("text")):
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(size[i:j]), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat))], names=["doc_id", "n_bytes", "prefix"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, prefix array<int>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+
+def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit) of every whole text: the last entry of its table."""
+    n = F.element_at("prefix", -1).cast("long")
+    return prefix_tables(docs, vocabulary).select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
