@@ -255,6 +255,26 @@ def test_leaks(spark, empty):
     assert decontaminate.benchmark_leaks(empty, items).count() == 0
 
 
+def told(rng, n):
+    return " ".join("u%d" % rng.randrange(10**7) for _ in range(n))
+
+
+def found_leaks(spark, docs, items):
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    return {(r["doc_id"], r["item_id"]) for r in decontaminate.benchmark_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_leaks_of_a_common_passage(spark):
+    rng = random.Random(3)
+    often, rare, plain = told(rng, 20), told(rng, 20), "to be or not to be that is the question we have to answer"
+    words = plain.split()
+    docs = [(i, f"{told(rng, 30)} {' '.join(rng.sample(words, 8))} {often if i % 3 == 0 else ''} {plain if i % 20 == 1 else ''} {told(rng, 30)}") for i in range(120)]
+    docs.append((500, f"{told(rng, 90)} {rare} {told(rng, 40)}"))
+    got = found_leaks(spark, docs, [(1, often), (2, rare), (3, plain)])
+    assert {d for d, i in got if i == 1} == {*range(0, 120, 3)} and {d for d, i in got if i == 2} == {500}
+    assert {d for d, i in got if i == 3} >= {*range(1, 120, 20)}
+
+
 def test_common_subsequence():
     assert decontaminate.common_subsequence(np.array([1, 2, 3, 4]), np.array([9, 1, 3, 9, 4])) == 3
 

@@ -2,17 +2,20 @@
 
 1. Words are runs of letters and digits (A-Z lowered). Passages are WINDOW words, each half a
    window after the one before. Document frequencies of the benchmark's words are counted over all
-   passages of all documents; words in more than STOP of the passages weigh nothing.
+   passages of all documents; words in more than STOP of the passages weigh nothing. A target that
+   a copy could then fall short of (its words are common, or its copies are) is looked for with
+   equal weights of all words instead.
 2. A randomised SVD of the TF-IDF passages, over all documents: each task adds its passages to
    (A'A) Omega, the sums are joined by rows, and one Nystrom step gives the leading singular
    vectors. The latent space is spanned by these and by the benchmark's own passages, so that what
    is rare in the corpus isn't lost.
-3. Passages whose cosine with a benchmark item in that space reaches NEAR are candidates. A passage
+3. Passages whose cosine with a target (a benchmark item) in that space
+   reaches NEAR are candidates. A passage
    whose weight lies mostly on words outside the benchmark can't reach it and isn't projected.
 4. A candidate counts if the longest common subsequence of the item's words and the text around the
    passage covers LCS of the item, and most of the item's rarest words (its answer) stand there.
 
-Benchmark items are taken in blocks of BLOCK_ITEMS, so what is sent to the tasks is bounded.
+Targets are taken in blocks of BLOCK_ITEMS, so what is sent to the tasks is bounded.
 
 Defined results: null and empty texts match nothing, on either side; repeated rows and ids are each
 judged and give one row for a (doc_id, item_id); empty tables give an empty result; further columns
@@ -82,16 +85,21 @@ def _term(vocab: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of benchmark items: words, vocabulary, and what is learned about them."""
+    """Targets (item_id, all words of the item, first and last word) and their items' vocabulary."""
 
-    def __init__(self, rows: list):
-        self.rows = []
-        for item, text in rows:
-            raw = (text or "").encode()
-            h, _ = _words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            if len(h):
-                self.rows.append((item, h))
-        self.vocab = np.unique(np.concatenate([h for _, h in self.rows])) if self.rows else np.zeros(0, np.uint64)
+    def __init__(self, targets: list):
+        self.targets = targets
+        self.vocab = np.unique(np.concatenate([h for _, h, _, _ in targets]))
+
+
+def _least_cosine(weight: np.ndarray, w: np.ndarray) -> float:
+    """The least cosine that a copy of a target with weights w has among words outside the benchmark,
+    wherever the passages' borders fall."""
+    n = len(w)
+    held = n if n <= STEP else min(WINDOW, n, (n + STEP) // 2)
+    c = np.append(0, np.cumsum(w * w))
+    s = (c[held:] - c[: n - held + 1]).min()
+    return s / max(np.sqrt(c[-1] * (s + (WINDOW - min(held, WINDOW)) * weight.mean() ** 2)), 1e-9)
 
 
 def _frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, float]:
@@ -134,15 +142,10 @@ def _pair(x: np.ndarray, last: np.ndarray) -> np.ndarray:
     return out
 
 
-def latent_space(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """Words' weights and the basis (words x dimensions) of the latent space."""
+def latent_space(docs: DataFrame, items: Items, weight: np.ndarray) -> np.ndarray:
+    """The basis (words x dimensions) of the latent space."""
     vocab = items.vocab
     n = len(vocab)
-    df, total = _frequencies(docs, vocab)
-    weight = np.log((1 + total) / (1 + df))
-    weight[df > STOP * total] = 0
-    if not weight.any():
-        weight = np.log((1 + total) / (1 + df)) + 1e-3
     k = min(RANK, n)
     omega = np.random.default_rng(5).standard_normal((n, k)).astype(np.float32)
 
@@ -171,11 +174,11 @@ def latent_space(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray]
     val, vec = np.linalg.eigh((core + core.T) / 2)
     ok = val > max(val.max(initial=0), 1e-12) * 1e-9
     lead = np.linalg.svd(y @ (vec[:, ok] / np.sqrt(val[ok])), full_matrices=False)[0] if ok.any() else np.zeros((n, 0))
-    own = np.zeros((n, len(items.rows)))
-    for i, (_, h) in enumerate(items.rows):
-        np.add.at(own[:, i], _term(vocab, h), weight[_term(vocab, h)])
+    own = np.zeros((n, len(items.targets)))
+    for i, (_, h, a, e) in enumerate(items.targets):
+        np.add.at(own[:, i], _term(vocab, h[a:e]), weight[_term(vocab, h[a:e])])
     basis, r = np.linalg.qr(np.concatenate([lead, own], axis=1))
-    return weight, basis[:, np.abs(np.diag(r)) > 1e-9].astype(np.float32)
+    return basis[:, np.abs(np.diag(r)) > 1e-9].astype(np.float32)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -193,23 +196,43 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def leaks(docs: DataFrame, benchmark: list) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs_share) of documents that hold an item of one block."""
-    items = Items(benchmark)
-    schema = "doc_id long, item_id long, cosine double, lcs_share double"
-    if not items.rows:
-        return docs.sparkSession.createDataFrame([], schema)
+SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double"
+
+
+def leaks(docs: DataFrame, targets: list) -> DataFrame:
+    """(doc_id, item_id, cosine, lcs_share) of documents that hold an item of one block of targets."""
     docs = docs.select("doc_id", "text")
-    vocab = items.vocab
-    weight, basis = latent_space(docs, items)
-    target = np.zeros((len(items.rows), basis.shape[1]), np.float32)
+    items = Items(targets)
+    df, total = _frequencies(docs, items.vocab)
+    rarity = np.log((1 + total) / (1 + df))
+    weight = np.where(df > STOP * total, 0, rarity)
+    weak = [_least_cosine(weight, weight[_term(items.vocab, h[a:e])]) < NEAR for _, h, a, e in targets]
+    out = None
+    if not all(weak):
+        items.targets = [x for x, no in zip(targets, weak, strict=True) if not no]
+        out = _retrieve(docs, items, weight, weight)
+    if any(weak):  # their words are too common in the corpus to tell; here all words weigh the same
+        plain = Items([x for x, yes in zip(targets, weak, strict=True) if yes])
+        part = _retrieve(docs, plain, np.ones(len(plain.vocab)), rarity[_term(items.vocab, plain.vocab)])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _retrieve(docs: DataFrame, items: Items, weight: np.ndarray, rarity: np.ndarray) -> DataFrame:
+    vocab, targets = items.vocab, items.targets
+    basis = latent_space(docs, items, weight)
+    target = np.zeros((len(targets), basis.shape[1]), np.float32)
     answers = []
-    for i, (_, h) in enumerate(items.rows):
-        t = _term(vocab, h)
+    for i, (_, h, a, e) in enumerate(targets):
+        t = _term(vocab, h[a:e])
         z = (basis[t] * weight[t][:, None]).sum(axis=0)
         target[i] = z / max(np.linalg.norm(z), 1e-9)
-        answers.append(set(h[np.argsort(-weight[t], kind="stable")[:ANSWER_WORDS]].tolist()))
-    rows = items.rows
+        answers.append(answers[-1] if i and h is targets[i - 1][1] else set(h[np.argsort(-rarity[_term(vocab, h)], kind="stable")[:ANSWER_WORDS]].tolist()))
+    # targets of one item follow one another and share its words
+    row_of = np.cumsum([i == 0 or targets[i][1] is not targets[i - 1][1] for i in range(len(targets))]) - 1
+    words_of, answers_of, id_of = {}, {}, {}
+    for i, q in enumerate(row_of.tolist()):
+        id_of[q], words_of[q], answers_of[q] = targets[i][0], targets[i][1], answers[i]
 
     def run(batches):
         for b in batches:
@@ -235,25 +258,25 @@ def leaks(docs: DataFrame, benchmark: list) -> DataFrame:
                 zp[more] += z[number[maybe[more] + 1]]
                 cos = (zp @ target.T) / full[maybe][:, None]
                 best: dict[tuple[int, int], tuple] = {}
-                for p, q in zip(*np.nonzero(cos >= NEAR), strict=True):
-                    r = int(row[maybe[p]])
-                    item, words = rows[q]
-                    key = (r, int(q))
+                for p, target_no in zip(*np.nonzero(cos >= NEAR), strict=True):
+                    r, q = int(row[maybe[p]]), int(row_of[target_no])
+                    words = words_of[q]
+                    key = (r, q)
                     if key in best and best[key][1] == 1.0:
                         continue
                     at = int(first[r] + (maybe[p] - base[r]) * STEP)
-                    a, e = max(int(first[r]), at - len(words) // 2), min(int(first[r + 1]), at + WINDOW + len(words) // 2)
-                    region = h[a:e]
+                    a, e = at - len(words) // 2, at + WINDOW + len(words) // 2
+                    region = h[max(int(first[r]), a) : min(int(first[r + 1]), e)]
                     share = common_subsequence(words, region) / len(words)
-                    if share >= LCS and len(answers[q] & set(region.tolist())) >= ANSWER_SHARE * len(answers[q]):
-                        c = float(min(cos[p, q], 1.0))
+                    if share >= LCS and len(answers_of[q] & set(region.tolist())) >= ANSWER_SHARE * len(answers_of[q]):
+                        c = float(min(cos[p, target_no], 1.0))
                         was = best.get(key, (0.0, 0.0))
                         best[key] = (max(c, was[0]), max(share, was[1]))
-                out += [(docs_[i + r], rows[q][0], c, s) for (r, q), (c, s) in best.items()]
+                out += [(docs_[i + r], id_of[q], c, s) for (r, q), (c, s) in best.items()]
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names=["doc_id", "item_id", "cosine", "lcs_share"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, SCHEMA)
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -267,7 +290,9 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             break
         if len(block) == BLOCK_ITEMS and block[0][0] != block[-1][0]:  # an item's rows stay together
             block = [x for x in block if x[0] != block[-1][0]]
-        part = leaks(docs, block)
+        words = [(x, _words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]) for x, t in block]
+        targets = [(x, h, 0, len(h)) for x, h in words if len(h)]
+        part = leaks(docs, targets) if targets else docs.sparkSession.createDataFrame([], SCHEMA)
         out = part if out is None else out.unionByName(part)
         if len(block) < 1:
             break
