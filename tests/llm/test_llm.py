@@ -275,6 +275,15 @@ def test_leaks_of_a_common_passage(spark):
     assert {d for d, i in got if i == 3} >= {*range(1, 120, 20)}
 
 
+def test_leaks_of_each_benchmark_row(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
+    rng = random.Random(4)
+    items = [(k, told(rng, 25)) for k in [None, None, None, None, 1, 7, 7, 7, 7, 7, 8]]
+    items += [items[5], (9, None), (9, "")]
+    docs = [(i, f"{told(rng, 40)} {t} {told(rng, 40)}") for i, (_, t) in enumerate(items[:11])]
+    assert found_leaks(spark, docs, items) == {(i, k) for i, (k, _) in enumerate(items[:11])}
+
+
 def test_common_subsequence():
     assert decontaminate.common_subsequence(np.array([1, 2, 3, 4]), np.array([9, 1, 3, 9, 4])) == 3
 

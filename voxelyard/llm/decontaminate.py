@@ -18,7 +18,7 @@
 Targets are taken in blocks of BLOCK_ITEMS, so what is sent to the tasks is bounded.
 
 Defined results: null and empty texts match nothing, on either side; repeated rows and ids are each
-judged and give one row for a (doc_id, item_id); empty tables give an empty result; further columns
+judged and give one row for a (doc_id, item_id), a null id being an id like others; empty tables give an empty result; further columns
 are ignored."""
 
 from __future__ import annotations
@@ -279,24 +279,39 @@ def _retrieve(docs: DataFrame, items: Items, weight: np.ndarray, rarity: np.ndar
     return docs.mapInArrow(run, SCHEMA)
 
 
+def target_blocks(benchmark: DataFrame):
+    """All targets in blocks of BLOCK_ITEMS. Items are read in the order of (item_id, text), nulls first;
+    equal rows are one."""
+    order = [F.col("item_id").asc_nulls_first(), F.col("text").asc()]
+    rest = benchmark.select("item_id", "text").filter("text is not null").distinct()
+    block, page, after = [], [], None
+    while after is None or len(page) == BLOCK_ITEMS:
+        more = rest
+        if after is not None:
+            item, text = after
+            same = F.col("item_id").eqNullSafe(F.lit(item)) & (F.col("text") > text)
+            more = rest.filter(same | (F.col("item_id").isNotNull() if item is None else F.col("item_id") > item))
+        page = more.orderBy(*order).limit(BLOCK_ITEMS).collect()
+        for r in page:
+            raw = r["text"].encode()
+            h, _ = _words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            for a, e in [(0, len(h))] if len(h) else []:
+                block.append((r["item_id"], h, a, e))
+                if len(block) == BLOCK_ITEMS:
+                    yield block
+                    block = []
+        after = (page[-1]["item_id"], page[-1]["text"]) if page else (None, "")
+    if block:
+        yield block
+
+
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All (doc_id, item_id) leaks, block by block of the benchmark."""
     small_batches(docs.sparkSession)
-    rest = benchmark.select("item_id", "text").filter("text is not null")
-    out, after = None, None
-    while True:
-        block = [(r["item_id"], r["text"]) for r in (rest if after is None else rest.filter(F.col("item_id") > after)).filter("item_id is not null").orderBy("item_id", "text").limit(BLOCK_ITEMS).collect()]
-        if not block and out is not None:
-            break
-        if len(block) == BLOCK_ITEMS and block[0][0] != block[-1][0]:  # an item's rows stay together
-            block = [x for x in block if x[0] != block[-1][0]]
-        words = [(x, _words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]) for x, t in block]
-        targets = [(x, h, 0, len(h)) for x, h in words if len(h)]
-        part = leaks(docs, targets) if targets else docs.sparkSession.createDataFrame([], SCHEMA)
-        out = part if out is None else out.unionByName(part)
-        if len(block) < 1:
-            break
-        after = block[-1][0]
+    out = docs.sparkSession.createDataFrame([], SCHEMA)
+    for k, block in enumerate(target_blocks(benchmark)):
+        part = leaks(docs, block)
+        out = out.unionByName(part) if k else part
     return out.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs_share").alias("lcs_share"))
 
 
