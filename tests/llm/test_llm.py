@@ -284,6 +284,18 @@ def test_leaks_of_each_benchmark_row(spark, monkeypatch):
     assert found_leaks(spark, docs, items) == {(i, k) for i, (k, _) in enumerate(items[:11])}
 
 
+def test_leaks_of_long_items(spark):
+    rng = random.Random(5)
+    items = [(i, told(rng, n)) for i, n in enumerate((90, 97, 600, 1500, 97, 600, 1500))]
+    docs = [(i, f"{told(rng, 100 + i)} {t} {told(rng, 50)}") for i, t in items[:4]]
+    altered = [" ".join(told(rng, 1) if k % 7 == 6 else w for k, w in enumerate(t.split())) for _, t in items[4:]]
+    docs += [(i, f"{told(rng, 70)} {t} {told(rng, 50)}") for i, t in enumerate(altered, 4)]
+    lost = [w for _, t in items[4:] for w in t.split()[6::7]]  # elsewhere they are common, so that they aren't the answers
+    docs += [(30 + i, " ".join(rng.sample(lost, len(lost)))) for i in range(4)]
+    docs += [(20, " ".join(items[3][1].split()[:700]) + " " + told(rng, 700)), (21, told(rng, 2000))]
+    assert found_leaks(spark, docs, items) == {(i, i) for i in range(7)}
+
+
 def test_common_subsequence():
     assert decontaminate.common_subsequence(np.array([1, 2, 3, 4]), np.array([9, 1, 3, 9, 4])) == 3
 

@@ -8,8 +8,8 @@
 2. A randomised SVD of the TF-IDF passages, over all documents: each task adds its passages to
    (A'A) Omega, the sums are joined by rows, and one Nystrom step gives the leading singular
    vectors. The latent space is spanned by these and by the benchmark's own passages, so that what
-   is rare in the corpus isn't lost.
-3. Passages whose cosine with a target (a benchmark item) in that space
+   is rare in the corpus isn't lost. Items of more than WHOLE words are cut into passages, too.
+3. Passages whose cosine with a target (a benchmark item, or a passage of a long one) in that space
    reaches NEAR are candidates. A passage
    whose weight lies mostly on words outside the benchmark can't reach it and isn't projected.
 4. A candidate counts if the longest common subsequence of the item's words and the text around the
@@ -35,6 +35,7 @@ STOP = 0.05
 RANK = 48
 NEAR = 0.3
 LCS = 0.6
+WHOLE = 2 * WINDOW  # words of an item that is looked for as one
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
 BLOCK_ITEMS = 400
 CHUNK = 1 << 18
@@ -84,6 +85,13 @@ def _term(vocab: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(vocab[at] == h, at, -1)
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    """What of an item of n words is looked for: all, or if it is long its passages, as documents are cut."""
+    if n <= WHOLE:
+        return [(0, n)]
+    return [(a, a + WINDOW) for a in range(0, n - WINDOW, STEP)] + [(n - WINDOW, n)]
+
+
 class Items:
     """Targets (item_id, all words of the item, first and last word) and their items' vocabulary."""
 
@@ -233,6 +241,7 @@ def _retrieve(docs: DataFrame, items: Items, weight: np.ndarray, rarity: np.ndar
     words_of, answers_of, id_of = {}, {}, {}
     for i, q in enumerate(row_of.tolist()):
         id_of[q], words_of[q], answers_of[q] = targets[i][0], targets[i][1], answers[i]
+    offset = [a for _, _, a, _ in targets]
 
     def run(batches):
         for b in batches:
@@ -258,6 +267,7 @@ def _retrieve(docs: DataFrame, items: Items, weight: np.ndarray, rarity: np.ndar
                 zp[more] += z[number[maybe[more] + 1]]
                 cos = (zp @ target.T) / full[maybe][:, None]
                 best: dict[tuple[int, int], tuple] = {}
+                tried: dict[tuple[int, int], list[int]] = {}
                 for p, target_no in zip(*np.nonzero(cos >= NEAR), strict=True):
                     r, q = int(row[maybe[p]]), int(row_of[target_no])
                     words = words_of[q]
@@ -265,7 +275,14 @@ def _retrieve(docs: DataFrame, items: Items, weight: np.ndarray, rarity: np.ndar
                     if key in best and best[key][1] == 1.0:
                         continue
                     at = int(first[r] + (maybe[p] - base[r]) * STEP)
-                    a, e = at - len(words) // 2, at + WINDOW + len(words) // 2
+                    if len(words) > WHOLE:  # where the item would begin and end if the passage is this piece of it
+                        begin = at - offset[target_no]
+                        if any(abs(begin - x) <= len(words) // 8 for x in tried.get(key, ())):
+                            continue
+                        tried.setdefault(key, []).append(begin)
+                        a, e = begin - len(words) // 4, begin + len(words) + len(words) // 4 + WINDOW
+                    else:
+                        a, e = at - len(words) // 2, at + WINDOW + len(words) // 2
                     region = h[max(int(first[r]), a) : min(int(first[r + 1]), e)]
                     share = common_subsequence(words, region) / len(words)
                     if share >= LCS and len(answers_of[q] & set(region.tolist())) >= ANSWER_SHARE * len(answers_of[q]):
@@ -295,7 +312,7 @@ def target_blocks(benchmark: DataFrame):
         for r in page:
             raw = r["text"].encode()
             h, _ = _words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            for a, e in [(0, len(h))] if len(h) else []:
+            for a, e in pieces(len(h)) if len(h) else []:
                 block.append((r["item_id"], h, a, e))
                 if len(block) == BLOCK_ITEMS:
                     yield block
