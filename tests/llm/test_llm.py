@@ -234,6 +234,38 @@ def test_license_rules(spark, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    known = license_scan.SENTENCES
+    mit = """Copyright (c) 2020 X\n\nPermission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:\n
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.\n
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"""
+    gpl = """/*\r\n * This program is free software: you can redistribute it and/or modify\r\n * it under the terms of the GNU General Public License as published by\r
+ * the Free Software Foundation, either version 3 of the License, or\r\n * (at your option) any later version.\r\n *\r
+ * This program is distributed in the hope that it will be useful,\r\n * but WITHOUT ANY WARRANTY; without even\r\n */"""
+    apache = """# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#
+#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and\n# limitations under the License."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:\n
+1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n
+2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.\n"""
+    isc = "x\n" + known["isc_grant"].replace(" for any", "\nfor any") + "\nLicensed under the\nMIT license\nfoo"
+    texts = [mit, gpl, apache, bsd, isc, "licensed under the\n\nMIT license", "licensed under the.\nMIT license", "a licensed under the\nMIT license", "licensed under the\x01MIT license" + "\n" * 50_000]
+    got = license_scan.license_scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in got] == ["MIT", "GPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "ISC AND MIT", "", "", "", "MIT"]
+    assert got[1]["sentence_ids"] == "gpl_free>gpl3_redistribute>gpl_hope"
+
+
 def test_chat_parts(spark):
     parts = [("text", "see [INST] <|end|> %3C", None, None), ("image", None, "i.png", 2), ("document", None, "d.pdf", 3)]
     rows = spark.createDataFrame([(1, 0, "user", parts), (1, 1, None, None), (None, 0, "assistant", [("text", "x", None, None)])], f"conv_id long, turn long, role string, parts array<{chat_format.PART}>")

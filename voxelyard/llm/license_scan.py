@@ -1,7 +1,8 @@
 """Licence recognition by sentences, with DataFrame functions only.
 
 A text is cut into sentences, each is normalised (lower case, runs of other characters than a-z
-and 0-9 as one blank) and looked up among the known licence sentences. What remains is a sequence
+and 0-9 as one blank) and looked up among the known licence sentences. A known sentence may be
+wrapped over several lines, also of a comment; n_sentences counts lines. What remains is a sequence
 of sentence identifiers. A rule is an ordered sequence of identifiers; it applies where that
 sequence stands in the document's, with no other known sentence between.
 
@@ -85,6 +86,12 @@ RULES: list[tuple[str, list[str]]] = [
 
 SENTENCE_END = "[.!?;:]+[ \\t\\r\\f]+|[\\n]+"
 OTHER = "[^a-z0-9]+"
+# A sentence that is wrapped ends at marks and at blank lines (without letters and digits, so that
+# comments' empty lines are blank); STOP stands for these ends, FOLD for the other line ends.
+WHOLE_END = "[.!?;:]+[ \\t\\r\\f\\n]+|\\n[^a-z0-9]*\\n"
+STOP, FOLD = "\x01", "\x02"
+OTHER_MARKED = f"[^a-z0-9{STOP}{FOLD}]+"
+WRAPPED = f"(?<=[{STOP}{FOLD}])(?:{'|'.join(s.replace(' ', f'[ {FOLD}]') for s in sorted(SENTENCES.values(), key=len, reverse=True))})(?=[{STOP}{FOLD}])"
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -92,9 +99,12 @@ def license_scan(docs: DataFrame) -> DataFrame:
     by ``>``; licences by name, joined by `` AND ``. A projection of the scan: no shuffle, and
     no column but doc_id and text is read."""
     known = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (s, name)])
-    sentences = F.filter(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, OTHER, " "))), lambda s: s != "")
-    cut = docs.select("doc_id", sentences.alias("_s"))
-    ids = cut.select("doc_id", F.size("_s").cast("long").alias("n_sentences"), F.filter(F.transform("_s", lambda s: F.element_at(known, s)), lambda i: i.isNotNull()).alias("_i"))
+    text = F.lower(F.coalesce("text", F.lit("")))
+    sentences = F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, OTHER, " "))), lambda s: s != "")
+    marked = F.regexp_replace(F.regexp_replace(F.translate(text, STOP + FOLD, "  "), WHOLE_END, STOP), "\\n", FOLD)
+    marked = F.concat(F.lit(STOP), F.regexp_replace(marked, OTHER_MARKED, " "), F.lit(STOP))
+    found = F.regexp_extract_all(F.regexp_replace(marked, f" ?([{STOP}{FOLD}]) ?", "$1"), F.lit(WRAPPED), 0)
+    ids = docs.select("doc_id", F.size(sentences).cast("long").alias("n_sentences"), F.transform(found, lambda s: F.element_at(known, F.translate(s, FOLD, " "))).alias("_i"))
     line = ids.select("doc_id", "n_sentences", F.size("_i").cast("long").alias("n_known"), F.array_join("_i", ">").alias("sentence_ids"))
     bounded = F.concat(F.lit(">"), F.col("sentence_ids"), F.lit(">"))
     found = [F.when(F.contains(bounded, F.lit(f">{'>'.join(seq)}>")), F.lit(name)) for name, seq in RULES]
