@@ -36,6 +36,25 @@ def test_dbscan_against_plain(spark):
     assert got == want and len({c for _, c in got.values()}) >= 3
 
 
+def test_label_without_core_points_is_one_cluster(spark):
+    at = [(k, "dense", 0.01 * k) for k in range(4)] + [(4, "dense", 9.0)] + [(k, "sparse", float(k)) for k in (7, 5, 6)] + [(8, "two", 1.0), (9, "two", 1.01), (10, "two", 5.0), (11, "two", 5.03), (12, None, 1.0)]
+    rows = spark.createDataFrame([(k, g, x, 0.0, 2.0) for k, g, x in at], "k long, label string, x double, y double, z double")
+    got = sorted((r["k"], r["core"], r["cluster"]) for r in I.instances(rows, "k", ["x", "y", "z"], 0.1, 2, ("label",)).collect())
+    assert got == [*((k, True, 0) for k in range(4)), *((k, False, 5) for k in (5, 6, 7)), (8, True, 8), (9, True, 8), (10, True, 10), (11, True, 10), (12, False, 12)]
+    assert {r["cluster"] for r in I.instances(rows.filter("label = 'sparse'"), "k", ["x", "y", "z"], 0.1, 2).collect()} == {5}
+    centre = {r["label"]: tuple(r)[1:] for r in I.largest_cluster_centroids(rows, "k", ["x", "y", "z"], 0.1, 2, ("label",)).collect()}
+    want = {"dense": (0.015, 0, 2, 5, 1, 4, 0.8, 1), "sparse": (6, 0, 2, 3, 0, 0, 0, 3), "two": (1.005, 0, 2, 4, 2, 2, 0.5, 0), None: (1, 0, 2, 1, 0, 0, 0, 1)}
+    assert centre.keys() == want.keys() and all(np.allclose(centre[g], want[g]) for g in want)
+
+
+def test_query_keeps_a_label_without_core_points(spark, tmp_path):
+    from voxelyard.plans.iterative_queries import dbscan_clusters
+
+    rows = [(k, [float(k), 0.0, 0.0], 1) for k in range(3)] + [(k, [0.01 * k, 0.0, 0.0], 2) for k in range(3, 8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted((r["vec_id"], r["cluster"]) for r in dbscan_clusters(spark, str(tmp_path)).collect()) == [(k, 0 if k < 3 else 3) for k in range(8)]
+
+
 def test_cover_takes_the_first_of_ties(spark):
     seen = spark.createDataFrame([("b", 1), ("b", 2), ("a", 2), ("a", 3), ("c", 4)], "frame string, node int")
     assert [tuple(r) for r in I.set_cover(seen, "frame", "node").orderBy("pick").collect()] == [(0, "a", 2), (1, "b", 1), (2, "c", 1)]

@@ -60,6 +60,34 @@ def dbscan(points: DataFrame, key: str, axes: list[str], eps: float, least: int,
     return out.withColumnRenamed("a", key)
 
 
+def _group(within: tuple):
+    """One value for a point's group; nulls are values like others."""
+    return F.struct(F.lit(0).alias("all"), *within)
+
+
+def instances(points: DataFrame, key: str, axes: list[str], eps: float, least: int, within: tuple = ()) -> DataFrame:
+    """dbscan(), but a group without a core point is one cluster of all its points, named by the smallest."""
+    found = cut(dbscan(points, key, axes, eps, least, within))
+    rows = points.select(key, _group(within).alias("group"))
+    bare = rows.join(rows.join(found, key, "left_semi").select("group").distinct(), "group", "left_anti")
+    whole = bare.join(bare.groupBy("group").agg(F.min(key).alias("cluster")), "group")
+    return found.unionByName(whole.select(key, F.lit(False).alias("core"), "cluster"))
+
+
+def largest_cluster_centroids(points: DataFrame, key: str, axes: list[str], eps: float, least: int, within: tuple = ()) -> DataFrame:
+    """(within, axes, num_points, num_clusters, largest_cluster_points, largest_cluster_ratio, noise_points) of each
+    group: the centroid of its largest cluster, the smallest-named on ties, or of all its points if all are noise."""
+    found = cut(dbscan(points, key, axes, eps, least, within)).select(key, "cluster")
+    sums = points.join(found, key, "left").withColumn("group", _group(within)).groupBy("group", "cluster").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(x) for x in axes])
+    real = F.col("cluster").isNotNull()
+    best = F.max_by(F.struct("n", *axes), F.when(real, F.struct("n", -F.col("cluster"))))
+    whole = F.struct(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in axes])
+    each = sums.groupBy("group").agg(best.alias("best"), whole.alias("whole"), F.count("cluster").alias("num_clusters"), F.coalesce(F.sum(F.when(~real, F.col("n"))), F.lit(0)).alias("noise_points"))
+    centre = F.coalesce("best", "whole")
+    most = F.coalesce("best.n", F.lit(0))
+    return each.select(*[F.col("group")[x].alias(x) for x in within], *[(centre[x] / centre["n"]).cast("float").alias(x) for x in axes], F.col("whole.n").alias("num_points"), "num_clusters", most.alias("largest_cluster_points"), (most / F.col("whole.n")).alias("largest_cluster_ratio"), "noise_points")
+
+
 def set_cover(seen: DataFrame, frame: str, node: str) -> DataFrame:
     """(pick, frame, gain) of the greedy cover: most uncovered nodes first, the smallest frame on ties.
     The driver sees one row a round, and there are at most as many rounds as nodes."""

@@ -32,7 +32,7 @@ k AS (SELECT a FROM e GROUP BY 1 HAVING count(*) >= {LEAST}), c AS (SELECT a, b
 r AS (SELECT a, a AS seen FROM k UNION SELECT r.a, c.b FROM r JOIN c ON c.a = r.seen), n AS (SELECT a, min(seen) AS cluster FROM r GROUP BY 1)
 SELECT a AS vec_id, TRUE AS core, cluster FROM n UNION ALL SELECT e.a, FALSE, min(cluster) FROM e JOIN n ON n.a = e.b WHERE e.a NOT IN (FROM k) GROUP BY 1""")
 def dbscan_clusters(spark, d):
-    return I.dbscan(_points(spark, d), "vec_id", XYZ, EPS, LEAST, ("label",))
+    return I.instances(_points(spark, d), "vec_id", XYZ, EPS, LEAST, ("label",))
 
 
 @query()
