@@ -328,8 +328,55 @@ def test_leaks_of_long_items(spark):
     assert found_leaks(spark, docs, items) == {(i, i) for i in range(7)}
 
 
+def test_leaks_of_short_items(spark):
+    rng = random.Random(6)
+    items = [(1, "alpha beta gamma"), (2, "the quick brown fox"), (3, "Yes"), (4, "one two three four five six seven"), (5, "to be or not")]
+    docs = [(i, f"{told(rng, 60)} {t} {told(rng, 60)}") for i, t in items if i != 3]
+    docs += [(10, "yes."), (11, f"yes {told(rng, 9)}"), (12, f"{told(rng, 20)} alpha beta {told(rng, 5)} gamma"), (13, "alpha BETA, gamma"), (14, "alpha beta"), (15, None), (16, "")]
+    docs += [(100 + i, f"to be {told(rng, 30)} or not {told(rng, 30)}") for i in range(50)]
+    assert found_leaks(spark, docs, items) == {(1, 1), (2, 2), (4, 4), (5, 5), (10, 3), (13, 1)}
+
+
+def paraphrased(rng, text, words):
+    """A text with 15 % of its words replaced and 7 % left out."""
+    out = []
+    for w in text.split():
+        u = rng.random()
+        out += [rng.choice(words)] if u < 0.15 else [] if u < 0.22 else [w]
+    return " ".join(out)
+
+
+def test_leaks_of_paraphrases(spark, capsys):
+    sf = "/root/testdata/sf0.01"
+    docs, bench = (duckdb.sql(f"SELECT * FROM '{sf}/{t}.parquet' WHERE text IS NOT NULL ORDER BY 1").fetchall() for t in ("documents", "benchmark"))
+    rng = random.Random(8)
+    hosts = [d[1] for d in docs if not any(b[1] in d[1] for b in bench)]
+    words = " ".join(hosts).split()
+    planted = []
+    for k, (i, t) in enumerate(bench * 5):
+        host = rng.choice(hosts).split()
+        at = rng.randrange(len(host) + 1)
+        planted.append((10**6 + k, " ".join([*host[:at], paraphrased(rng, t, words), *host[at:]]), i))
+    got = found_leaks(spark, [(d[0], d[1]) for d in docs] + [p[:2] for p in planted], bench)
+    recall = sum((d, i) in got for d, _, i in planted) / len(planted)
+    with capsys.disabled():
+        print(f" recall of {len(planted)} paraphrases: {recall:.3f}", end="")
+    assert recall >= 0.9
+
+
+def test_leaks_come_through_the_space(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(i, told(rng, 30)) for i in range(40)]
+    docs = [(i, f"{told(rng, 30)} {t} {told(rng, 30)}") for i, t in items] + [(100 + i, " ".join(rng.sample(" ".join(t for _, t in items).split(), 60))) for i in range(60)]
+    want = {(i, i) for i in range(40)}
+    assert found_leaks(spark, docs, items) >= want
+    tried = []
+    monkeypatch.setattr(decontaminate, "latent_space", lambda d, items, *_: tried.append(1) or np.zeros((len(items.vocab), 1), np.float32))
+    assert tried == [] and not found_leaks(spark, docs, items) and tried == [1]
+
+
 def test_common_subsequence():
-    assert decontaminate.common_subsequence(np.array([1, 2, 3, 4]), np.array([9, 1, 3, 9, 4])) == 3
+    assert decontaminate.common_subsequence(np.array([1, 2, 3, 4]), [9, 1, 3, 9, 4]) == 3
 
 
 def test_pipeline_keeps_clean_documents(spark, docs):

@@ -63,9 +63,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, so that long texts don't add up in a worker."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Arrow batches of at most so many rows and (but for one row) about so many bytes, so that long texts
+    don't add up in a worker. The setting stays: results are computed after an operator has returned."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def text_bytes(docs: DataFrame) -> tuple[int, int]:
@@ -294,6 +296,26 @@ def grouped(bucket: np.ndarray):
         yield int(b[s]), order[s:e]
 
 
+def by_bucket(batches, dtype: np.dtype, kind: int | None = None):
+    """(bucket, records, other rows) of packed rows that come in the order of their buckets, a bucket at a
+    time; rows of another kind are handed on as they are."""
+    bucket, parts, other = None, [], []
+    for b in batches:
+        cols = [b.column(c) for c in (("bucket", "kind", "payload") if kind is not None else ("bucket", "payload"))]
+        for i, bk in enumerate(cols[0].to_pylist()):
+            if bk != bucket:
+                if parts or other:
+                    yield bucket, np.concatenate(parts) if parts else np.zeros(0, dtype), other
+                bucket, parts, other = bk, [], []
+            x = cols[-1][i].as_py()
+            if kind is None or cols[1][i].as_py() == kind:
+                parts.append(unsqueeze(x, dtype)[0])
+            else:
+                other.append((bk, cols[1][i].as_py(), x))
+    if parts or other:
+        yield bucket, np.concatenate(parts) if parts else np.zeros(0, dtype), other
+
+
 def with_uid(docs: DataFrame, scratch: Scratch, more: tuple = ()) -> DataFrame:
     """(uid, doc_id, text, more columns): uid is doc_id where that is unique and not null; otherwise the rows
     are numbered in the order of (doc_id, text), nulls first. Null texts are empty."""
@@ -323,31 +345,54 @@ def running_start(df: DataFrame, order: list, value: str, out: str, scratch: Scr
 
 
 # ------------------------------------------------------------------ sums of arrays
+PIECE_CELLS = 1 << 14  # numbers of one piece of an array: 128 KB before it is compressed
+
+
 def sum_rows(docs: DataFrame, run, width: int, n: int) -> np.ndarray:
-    """Sum over tasks of arrays of n rows and so many columns, added up by ranges of rows."""
-    each = max(1, 200_000 // width)
+    """Sum over tasks of arrays of n rows and so many columns. The arrays travel in compressed pieces,
+    a row each, which are added by ranges of rows; pieces without a number other than 0 stay at home."""
+    each = max(1, PIECE_CELLS // width)
+
+    def rows_of(group, at, x):
+        return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(at, pa.int32()), pa.array(x, pa.binary())], names=["g", "at", "x"])
+
+    def pack(a: np.ndarray) -> bytes:
+        import zstandard
+
+        return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a, "<f8").tobytes())
+
+    def unpack(x: bytes) -> np.ndarray:
+        import zstandard
+
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<f8")
 
     def cut(batches):
         total = run(batches)
-        ranges = range(0, n, each)
         group = TaskContext.get().partitionId() // GROUP
-        yield pa.RecordBatch.from_arrays([pa.array([group] * len(ranges), pa.int32()), pa.array([*ranges], pa.int32()), pa.array([total[a : a + each].astype("<f8").tobytes() for a in ranges], pa.binary())], names=["g", "at", "x"])
+        for a in range(0, n, each):
+            if total[a : a + each].any():
+                yield rows_of([group], [a], [pack(total[a : a + each])])
 
     def add(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        key, held = None, None  # pieces come in the order of their keys
         for b in batches:
-            for g, a, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                v = np.frombuffer(x, "<f8")
-                sums[g, a] = sums[g, a] + v if (g, a) in sums else v
-        yield pa.RecordBatch.from_arrays([pa.array([g // GROUP for g, _ in sums], pa.int32()), pa.array([a for _, a in sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["g", "at", "x"])
+            for g, a, x in zip(b.column("g").to_pylist(), b.column("at").to_pylist(), b.column("x"), strict=True):
+                if key != (g, a):
+                    if key is not None:
+                        yield rows_of([key[0] // GROUP], [key[1]], [pack(held)])
+                    key, held = (g, a), 0.0
+                held = held + unpack(x.as_py())
+        if key is not None:
+            yield rows_of([key[0] // GROUP], [key[1]], [pack(held)])
 
     # GROUP tasks add up first, then GROUP of those, so that no task meets the arrays of all
     schema = "g int, at int, x binary"
-    some = docs.mapInArrow(cut, schema).repartition("g", "at").mapInArrow(add, schema)
-    got = some.repartition("g", "at").mapInArrow(add, schema).collect()
+    some = docs.mapInArrow(cut, schema)
+    for _ in range(2):
+        some = some.repartition("g", "at").sortWithinPartitions("g", "at").mapInArrow(add, schema)
     out = np.zeros((n, width))
-    for r in got:
-        v = np.frombuffer(r["x"], "<f8").reshape(-1, width)
+    for r in some.collect():  # n rows of width numbers, in pieces of at most GROUP groups
+        v = unpack(bytes(r["x"])).reshape(-1, width)
         out[r["at"] : r["at"] + len(v)] += v
     return out
 

@@ -2,24 +2,29 @@
 
 1. Words are runs of letters and digits (A-Z lowered). Passages are WINDOW words, each half a
    window after the one before. Document frequencies of the benchmark's words are counted over all
-   passages of all documents; words in more than STOP of the passages weigh nothing. A target that
-   a copy could then fall short of (its words are common, or its copies are) is looked for with
-   equal weights of all words instead.
-2. A randomised SVD of the TF-IDF passages, over all documents: each task adds its passages to
-   (A'A) Omega, the sums are joined by rows, and one Nystrom step gives the leading singular
-   vectors. The latent space is spanned by these and by the benchmark's own passages, so that what
-   is rare in the corpus isn't lost. Items of more than WHOLE words are cut into passages, too.
-3. Passages whose cosine with a target (a benchmark item, or a passage of a long one) in that space
-   reaches NEAR are candidates. A passage
-   whose weight lies mostly on words outside the benchmark can't reach it and isn't projected.
+   passages of all documents and weigh them; words in more than STOP of the passages weigh nothing,
+   unless an item would lose most of its words by that. Items of more than WHOLE words are cut into
+   passages, too.
+2. A randomised SVD of the TF-IDF passages of all documents, and of the targets (items or their
+   passages) with as much weight in all as the documents have: each task adds its passages to
+   (A'A) Omega, the sums are joined by rows, and one Nystrom step gives RANK leading singular
+   vectors and values.
+3. Both sides are folded into that space alone (singular vectors, divided by their values) and
+   normalised there. A passage whose cosine with a target reaches NEAR is a candidate.
 4. A candidate counts if the longest common subsequence of the item's words and the text around the
-   passage covers LCS of the item, and most of the item's rarest words (its answer) stand there.
+   passage covers LCS of the item, and two of the five rarest words of the item (its answer) stand there.
+5. Items of under SHORT words say too little for that; they count where all their words stand in a
+   row, and those of under LEAST words only as a whole document. Items of common words mostly are
+   looked for in both ways.
 
-Targets are taken in blocks of BLOCK_ITEMS, so what is sent to the tasks is bounded.
+Targets are taken in blocks of BLOCK_ITEMS, so what is sent to the tasks is bounded; a block reads
+the documents three times. Passages are projected some thousand at a time, so a very long text takes
+memory for its words only.
 
 Defined results: null and empty texts match nothing, on either side; repeated rows and ids are each
-judged and give one row for a (doc_id, item_id), a null id being an id like others; empty tables give an empty result; further columns
-are ignored."""
+judged and give one row for a (doc_id, item_id), a null id being an id like others; cosine is null
+for what was found by its words alone; empty tables give an empty result; further columns are
+ignored."""
 
 from __future__ import annotations
 
@@ -28,17 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, LOWER, prefix_hash, slices, small_batches, span_hash, string_buffers, sum_rows, table
+from .common import BYTE_CODE, LOWER, SHINGLE_MULT, mix, prefix_hash, slices, small_batches, span_hash, string_buffers, sum_rows, table
 
 WINDOW, STEP = 48, 24
 STOP = 0.05
-RANK = 48
-NEAR = 0.3
+RANK = 128
+NEAR = 0.45
 LCS = 0.6
 WHOLE = 2 * WINDOW  # words of an item that is looked for as one
-ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
-BLOCK_ITEMS = 400
+ANSWER_WORDS, ANSWER_SHARE = 5, 0.4
+SHORT, LEAST = 8, 3
+BLOCK_ITEMS = 2000
 CHUNK = 1 << 18
+PART = 4096  # blocks of words that are projected together
 
 _WORD = np.ones(256, bool)
 _WORD[:128] = False
@@ -100,16 +107,6 @@ class Items:
         self.vocab = np.unique(np.concatenate([h for _, h, _, _ in targets]))
 
 
-def _least_cosine(weight: np.ndarray, w: np.ndarray) -> float:
-    """The least cosine that a copy of a target with weights w has among words outside the benchmark,
-    wherever the passages' borders fall."""
-    n = len(w)
-    held = n if n <= STEP else min(WINDOW, n, (n + STEP) // 2)
-    c = np.append(0, np.cumsum(w * w))
-    s = (c[held:] - c[: n - held + 1]).min()
-    return s / max(np.sqrt(c[-1] * (s + (WINDOW - min(held, WINDOW)) * weight.mean() ** 2)), 1e-9)
-
-
 def _frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, float]:
     n = len(vocab)
 
@@ -130,73 +127,92 @@ def _frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, float]
 
 
 def _passages(weight: np.ndarray, vocab: np.ndarray, h: np.ndarray, first: np.ndarray):
-    """Weighted words (term, block), blocks' rows, first blocks, and passages' squared norms."""
+    """Weighted words (term, block, weight) in the order of blocks, blocks' rows, first blocks, and which
+    block is its row's last."""
     block, row, base = _blocks(first)
     t = _term(vocab, h)
-    w = np.where(t >= 0, weight[t], weight.mean())
-    norm = np.bincount(block, w * w, len(row))
-    own = (t >= 0) & (w > 0)
-    held = np.bincount(block[own], w[own] ** 2, len(row))
+    w = np.where(t >= 0, weight[t], 0).astype(np.float32)
+    own = w > 0
     last = np.zeros(len(row), bool)
     last[base[1:][np.diff(base) > 0] - 1] = True
-    return t[own], block[own], w[own], row, base, last, norm, held
-
-
-def _pair(x: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Blocks' values to passages': a block and the next of its row."""
-    out = x.copy()
-    go = np.flatnonzero(~last)
-    out[go] += x[go + 1]
-    return out
+    return t[own], block[own], w[own], row, base, last
+
+
+def _projected(matrix: np.ndarray, t: np.ndarray, block: np.ndarray, w: np.ndarray, last: np.ndarray):
+    """Ranges of blocks, and their passages' sums of the matrix's rows: a passage is a block and the next of
+    its row."""
+    for lo in range(0, len(last), PART):
+        hi = min(lo + PART, len(last))
+        more = min(hi + 1, len(last))
+        i, j = np.searchsorted(block, (lo, more))
+        z = np.zeros((more - lo, matrix.shape[1]), np.float32)
+        if j > i:
+            heads = np.flatnonzero(np.append(True, np.diff(block[i:j])))
+            z[block[i:j][heads] - lo] = np.add.reduceat(matrix[t[i:j]] * w[i:j, None], heads, axis=0)
+        go = np.flatnonzero(~last[lo:hi])
+        out = z[: hi - lo].copy()
+        out[go] += z[go + 1]
+        yield lo, hi, out
+
+
+def target_vectors(items: Items, weight: np.ndarray) -> np.ndarray:
+    """(targets x words) weights of the targets' words."""
+    own = np.zeros((len(items.targets), len(items.vocab)), np.float32)
+    for i, (_, h, a, e) in enumerate(items.targets):
+        t = _term(items.vocab, h[a:e])
+        np.add.at(own[i], t, weight[t])
+    return own
 
 
-def latent_space(docs: DataFrame, items: Items, weight: np.ndarray) -> np.ndarray:
-    """The basis (words x dimensions) of the latent space."""
+def latent_space(docs: DataFrame, items: Items, weight: np.ndarray, df: np.ndarray, rank: int) -> np.ndarray:
+    """The fold into the latent space (words x dimensions): leading singular vectors by their values."""
     vocab = items.vocab
     n = len(vocab)
-    k = min(RANK, n)
+    k = min(rank, n)
     omega = np.random.default_rng(5).standard_normal((n, k)).astype(np.float32)
 
     def run(batches):
         y = np.zeros((n, k), np.float64)
         for b in batches:
             for _, _, h, first in _chunks(b.column("text")):
-                t, block, w, row, _, last, _, _ = _passages(weight, vocab, h, first)
-                if not len(t):
-                    continue
-                heads = np.flatnonzero(np.append(True, np.diff(block)))
-                z = np.zeros((len(row), k), np.float32)
-                z[block[heads]] = np.add.reduceat(omega[t] * w[:, None].astype(np.float32), heads, axis=0)
-                z = _pair(z, last)
-                c = z.copy()
-                go = np.flatnonzero(~last)
-                c[go + 1] += z[go]  # a block lies in two passages
-                order = np.argsort(t, kind="stable")
-                part = c[block[order]] * w[order][:, None].astype(np.float32)
-                cut = np.flatnonzero(np.append(True, np.diff(t[order])))
-                y[t[order][cut]] += np.add.reduceat(part, cut, axis=0)
+                t, block, w, row, _, last = _passages(weight, vocab, h, first)
+                before = None
+                for lo, hi, z in _projected(omega, t, block, w, last):
+                    c = z.copy()  # a block lies in two passages, its own and the one before
+                    go = np.flatnonzero(~last[lo : hi - 1])
+                    c[go + 1] += z[go]
+                    if lo and not last[lo - 1]:
+                        c[0] += before
+                    before = z[-1]
+                    i, j = np.searchsorted(block, (lo, hi))
+                    if j > i:
+                        order = np.argsort(t[i:j], kind="stable")
+                        part = c[block[i:j][order] - lo] * w[i:j][order][:, None]
+                        cut = np.flatnonzero(np.append(True, np.diff(t[i:j][order])))
+                        y[t[i:j][order][cut]] += np.add.reduceat(part, cut, axis=0)
         return y
 
-    y = sum_rows(docs, run, k, n)
+    own = target_vectors(items, weight).astype(np.float64)
+    mass, mine = float((df * weight * weight).sum()), float((own * own).sum())
+    y = sum_rows(docs, run, k, n) + (mass / mine if mass and mine else 1.0) * (own.T @ (own @ omega))
     core = omega.T.astype(np.float64) @ y
     val, vec = np.linalg.eigh((core + core.T) / 2)
     ok = val > max(val.max(initial=0), 1e-12) * 1e-9
-    lead = np.linalg.svd(y @ (vec[:, ok] / np.sqrt(val[ok])), full_matrices=False)[0] if ok.any() else np.zeros((n, 0))
-    own = np.zeros((n, len(items.targets)))
-    for i, (_, h, a, e) in enumerate(items.targets):
-        np.add.at(own[:, i], _term(vocab, h[a:e]), weight[_term(vocab, h[a:e])])
-    basis, r = np.linalg.qr(np.concatenate([lead, own], axis=1))
-    return basis[:, np.abs(np.diag(r)) > 1e-9].astype(np.float32)
+    if not ok.any():
+        return np.zeros((n, 1), np.float32)
+    lead, size, _ = np.linalg.svd(y @ (vec[:, ok] / np.sqrt(val[ok])), full_matrices=False)
+    some = size > size[0] * 1e-6
+    return (lead[:, some] / size[some]).astype(np.float32)
 
 
-def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
+def common_subsequence(a: np.ndarray, b: list) -> int:
     """Length of the longest common subsequence of two word sequences, bit-parallel in a."""
     where: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         where[x] = where.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
     v = full
-    for x in b.tolist():
+    for x in b:
         m = where.get(x, 0)
         if m:
             u = v & m
@@ -207,74 +223,121 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double"
 
 
-def leaks(docs: DataFrame, targets: list) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs_share) of documents that hold an item of one block of targets."""
+def _gram3(h: np.ndarray) -> np.ndarray:
+    """Hash of each three words in a row."""
+    return mix(h[:-2] * SHINGLE_MULT[0] + h[1:-1] * SHINGLE_MULT[1] + h[2:] * SHINGLE_MULT[2])
+
+
+class InARow:
+    """Items that are looked for by all their words in a row, from the rarest three of them on."""
+
+    def __init__(self, items: list, rarity):
+        self.whole = [(i, h) for i, h in items if len(h) < LEAST]
+        self.items = []
+        for i, h in items:
+            if len(h) >= LEAST:
+                r = rarity(h)
+                at = int(np.argmax(r[:-2] + r[1:-1] + r[2:]))
+                self.items.append((_gram3(h[at : at + 3])[0], at, i, h))
+        self.grams = np.unique(np.array([g for g, *_ in self.items], np.uint64))
+        self.by_gram: dict[int, list] = {}
+        for g, at, i, h in self.items:
+            self.by_gram.setdefault(int(g), []).append((at, i, h))
+
+    def find(self, h: np.ndarray, first: np.ndarray):
+        """(row, item_id) pairs."""
+        for i, want in self.whole:
+            at = np.flatnonzero(np.diff(first) == len(want))
+            same = np.ones(len(at), bool)
+            for k in range(len(want)):
+                same &= h[first[at] + k] == want[k]
+            for r in at[same].tolist():
+                yield r, i
+        if not len(self.grams) or len(h) < 3:
+            return
+        g = _gram3(h)
+        hits = np.flatnonzero(self.grams[np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)] == g)
+        for gram in np.unique(g[hits]).tolist():
+            places = hits[g[hits] == gram]
+            for at, i, want in self.by_gram[gram]:
+                p = places - at
+                row = np.searchsorted(first, places, side="right") - 1
+                ok = (p >= first[row]) & (p + len(want) <= first[row + 1])
+                p, row = p[ok], row[ok]
+                for k in range(len(want)):
+                    same = h[p + k] == want[k]
+                    p, row = p[same], row[same]
+                for r in np.unique(row).tolist():
+                    yield r, i
+
+
+def leaks(docs: DataFrame, targets: list, rank: int = RANK) -> DataFrame:
+    """(doc_id, item_id, cosine, lcs_share) of documents that hold an item of one block of targets; a pair may
+    come more than once."""
     docs = docs.select("doc_id", "text")
     items = Items(targets)
     df, total = _frequencies(docs, items.vocab)
     rarity = np.log((1 + total) / (1 + df))
-    weight = np.where(df > STOP * total, 0, rarity)
-    weak = [_least_cosine(weight, weight[_term(items.vocab, h[a:e])]) < NEAR for _, h, a, e in targets]
-    out = None
-    if not all(weak):
-        items.targets = [x for x, no in zip(targets, weak, strict=True) if not no]
-        out = _retrieve(docs, items, weight, weight)
-    if any(weak):  # their words are too common in the corpus to tell; here all words weigh the same
-        plain = Items([x for x, yes in zip(targets, weak, strict=True) if yes])
-        part = _retrieve(docs, plain, np.ones(len(plain.vocab)), rarity[_term(items.vocab, plain.vocab)])
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _retrieve(docs: DataFrame, items: Items, weight: np.ndarray, rarity: np.ndarray) -> DataFrame:
+    common = df > STOP * total
+    by_words, common_words, long_ = [], [], []
+    for x in targets:
+        i, h, a, e = x
+        weak = common[_term(items.vocab, h[a:e])].mean() > 0.5
+        if len(h) < SHORT or weak:
+            by_words.append((i, h))
+        if len(h) >= SHORT:
+            long_.append(x)
+            if weak:
+                common_words.append(h[a:e])
+    weight = np.where(common, 0, rarity)
+    for h in common_words:  # these keep a weight, so that the space knows their items
+        t = _term(items.vocab, h)
+        weight[t] = np.maximum(rarity[t], 1e-3)
+    items.targets = long_
+    basis = latent_space(docs, items, weight, df, rank) if long_ else None
+    return _retrieve(docs, items, weight, rarity, basis, InARow(by_words, lambda h: rarity[_term(items.vocab, h)]))
+
+
+def _retrieve(docs: DataFrame, items: Items, weight: np.ndarray, rarity: np.ndarray, basis: np.ndarray | None, in_a_row: InARow) -> DataFrame:
     vocab, targets = items.vocab, items.targets
-    basis = latent_space(docs, items, weight)
-    target = np.zeros((len(targets), basis.shape[1]), np.float32)
     answers = []
-    for i, (_, h, a, e) in enumerate(targets):
-        t = _term(vocab, h[a:e])
-        z = (basis[t] * weight[t][:, None]).sum(axis=0)
-        target[i] = z / max(np.linalg.norm(z), 1e-9)
+    for i, (_, h, _, _) in enumerate(targets):
         answers.append(answers[-1] if i and h is targets[i - 1][1] else set(h[np.argsort(-rarity[_term(vocab, h)], kind="stable")[:ANSWER_WORDS]].tolist()))
+    if basis is not None:
+        target = target_vectors(items, weight) @ basis
+        target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-30)
     # targets of one item follow one another and share its words
-    row_of = np.cumsum([i == 0 or targets[i][1] is not targets[i - 1][1] for i in range(len(targets))]) - 1
+    row_of = np.cumsum([i == 0 or targets[i][1] is not targets[i - 1][1] for i in range(len(targets))]) - 1 if targets else []
     words_of, answers_of, id_of = {}, {}, {}
-    for i, q in enumerate(row_of.tolist()):
+    for i, q in enumerate(row_of):
         id_of[q], words_of[q], answers_of[q] = targets[i][0], targets[i][1], answers[i]
     offset = [a for _, _, a, _ in targets]
 
+    def candidates(h, first):
+        """(row, first word of the passage, target, cosine), passages in their order."""
+        t, block, w, row, base, last = _passages(weight, vocab, h, first)
+        for lo, hi, z in _projected(basis, t, block, w, last):
+            some = np.flatnonzero(z.any(axis=1))
+            z = z[some]
+            cos = (z @ target.T) / np.maximum(np.linalg.norm(z, axis=1), 1e-30)[:, None]
+            p, q = np.nonzero(cos >= NEAR)
+            at = some[p] + lo
+            yield from zip(row[at].tolist(), (first[row[at]] + (at - base[row[at]]) * STEP).tolist(), q.tolist(), cos[p, q].tolist(), strict=True)
+
     def run(batches):
         for b in batches:
             docs_, out = b.column("doc_id").to_pylist(), []
             for i, _, h, first in _chunks(b.column("text")):
                 if not len(h):
                     continue
-                t, block, w, row, base, last, norm, held = _passages(weight, vocab, h, first)
-                full, mine = np.sqrt(_pair(norm, last)), np.sqrt(_pair(held, last))
-                maybe = np.flatnonzero((mine >= NEAR * full) & (mine > 0))
-                if not len(maybe):
-                    continue
-                need = np.zeros(len(row) + 1, bool)
-                need[maybe] = True
-                need[maybe[~last[maybe]] + 1] = True
-                use = need[block]
-                heads = np.flatnonzero(np.append(True, np.diff(block[use]))) if use.any() else np.zeros(0, np.int64)
-                number = np.cumsum(need) - 1
-                z = np.zeros((int(need.sum()), basis.shape[1]), np.float32)
-                z[number[block[use][heads]]] = np.add.reduceat(basis[t[use]] * w[use][:, None].astype(np.float32), heads, axis=0)
-                zp = z[number[maybe]]
-                more = ~last[maybe]
-                zp[more] += z[number[maybe[more] + 1]]
-                cos = (zp @ target.T) / full[maybe][:, None]
                 best: dict[tuple[int, int], tuple] = {}
                 tried: dict[tuple[int, int], list[int]] = {}
-                for p, target_no in zip(*np.nonzero(cos >= NEAR), strict=True):
-                    r, q = int(row[maybe[p]]), int(row_of[target_no])
+                for r, at, target_no, c in candidates(h, first) if basis is not None else ():
+                    q = int(row_of[target_no])
                     words = words_of[q]
                     key = (r, q)
                     if key in best and best[key][1] == 1.0:
                         continue
-                    at = int(first[r] + (maybe[p] - base[r]) * STEP)
                     if len(words) > WHOLE:  # where the item would begin and end if the passage is this piece of it
                         begin = at - offset[target_no]
                         if any(abs(begin - x) <= len(words) // 8 for x in tried.get(key, ())):
@@ -283,13 +346,15 @@ def _retrieve(docs: DataFrame, items: Items, weight: np.ndarray, rarity: np.ndar
                         a, e = begin - len(words) // 4, begin + len(words) + len(words) // 4 + WINDOW
                     else:
                         a, e = at - len(words) // 2, at + WINDOW + len(words) // 2
-                    region = h[max(int(first[r]), a) : min(int(first[r + 1]), e)]
+                    region = h[max(int(first[r]), a) : min(int(first[r + 1]), e)].tolist()
+                    if len(answers_of[q].intersection(region)) < ANSWER_SHARE * len(answers_of[q]):
+                        continue
                     share = common_subsequence(words, region) / len(words)
-                    if share >= LCS and len(answers_of[q] & set(region.tolist())) >= ANSWER_SHARE * len(answers_of[q]):
-                        c = float(min(cos[p, target_no], 1.0))
+                    if share >= LCS:
                         was = best.get(key, (0.0, 0.0))
-                        best[key] = (max(c, was[0]), max(share, was[1]))
+                        best[key] = (max(min(c, 1.0), was[0]), max(share, was[1]))
                 out += [(docs_[i + r], id_of[q], c, s) for (r, q), (c, s) in best.items()]
+                out += [(docs_[i + r], item, None, 1.0) for r, item in in_a_row.find(h, first)]
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names=["doc_id", "item_id", "cosine", "lcs_share"])
 

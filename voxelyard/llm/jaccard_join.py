@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, bucket_of, buckets_for, components, distinct_sorted, grouped, mix, partitions, shingles_of, slices, small_batches, squeeze, string_buffers, sum_rows, table, text_bytes, unsqueeze, with_uid, words_of
+from .common import U64, Scratch, bucket_of, buckets_for, by_bucket, components, distinct_sorted, grouped, mix, partitions, shingles_of, slices, small_batches, squeeze, string_buffers, sum_rows, table, text_bytes, unsqueeze, with_uid, words_of
 
 WORDS = 5
 CROWD = 8
@@ -41,6 +41,7 @@ CHUNK = 1 << 18
 FLUSH = 400_000  # sketches a task holds before it sends them
 CELLS = 1 << 20  # counts by which shingles are ranked: 4 MB, whatever the input
 PAIRS = 1 << 18  # pairs a task holds before it counts and sends them
+MAX_SEEN = 200_000  # sets a task remembers; beyond, a set is sent again and made one later
 DEALT = 8e6  # bytes of text whose sketches a task is dealt
 
 ENTRY = np.dtype([("key", "<u4"), ("sig", "<u4"), ("sig2", "<u2"), ("uid", "<i8"), ("band", "u1"), ("need", "u1")])
@@ -172,7 +173,7 @@ def _sketch(b_n: int):
                     if was is None or uids[i + r] < was:  # a smaller document of a class seen before is sent too
                         seen[k] = int(uids[i + r])
                         keep[r] = True
-                if len(seen) > 1_000_000:
+                if len(seen) > MAX_SEEN:
                     seen.clear()
                 n = np.where(keep, np.diff(o), 0)
                 v = v[np.repeat(keep, np.diff(o))]
@@ -197,72 +198,61 @@ def _sketch(b_n: int):
 
 
 def _meet(b_n: int):
-    """Packed sketches to first trials and the members of shared blocks."""
+    """Packed sketches, a bucket at a time, to first trials and the members of shared blocks. A block's
+    sketches are all in one bucket."""
 
     def run(batches):
-        recs, where = [], []
-        for b in batches:
-            out = []
-            for bucket, kind, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if kind == K_ENTRY:
-                    rec, _ = unsqueeze(x, ENTRY)
-                    recs.append(rec)
-                    where.append(np.full(len(rec), bucket, np.int64))
-                else:
-                    out.append((bucket, kind, x))
-            if out:
-                yield _rows(out)
-        if not recs:
-            return
-        gid = np.concatenate([(w.astype(U64) << U64(32)) | r["key"].astype(U64) for w, r in zip(where, recs, strict=True)])
-        s = np.sort(gid)
-        often = np.unique(s[1:][s[1:] == s[:-1]])
-        del s, where
-        at = np.isin(gid, often)
-        gid = gid[at]
-        cut = np.append(0, np.cumsum([len(r) for r in recs]))
-        rec = np.concatenate([r[at[a:e]] for r, a, e in zip(recs, cut[:-1], cut[1:], strict=True)])
-        del recs, at
-        sig = (rec["sig"].astype(U64) << U64(16)) | rec["sig2"].astype(U64)
-        order = np.lexsort((rec["uid"], sig, gid))
-        rec, gid, sig = rec[order], gid[order], sig[order]
-        new = np.ones(len(rec), bool)  # a class's smallest document in each block
-        new[1:] = (gid[1:] != gid[:-1]) | (sig[1:] != sig[:-1])
-        rec, gid = rec[new], gid[new]
-        if not len(rec):
-            return
-        heads = np.flatnonzero(np.append(True, gid[1:] != gid[:-1]))
-        size = np.diff(np.append(heads, len(gid)))
-        pivot = np.repeat(np.minimum.reduceat(rec["uid"], heads), size)
-        size = np.repeat(size, size)
-        e = (size > 1) & (rec["uid"] != pivot)
-        pair = np.zeros(int(e.sum()), EDGE)
-        pair["uid"], pair["pivot"] = rec["uid"][e], pivot[e]
-        pair, n = np.unique(pair, return_counts=True)
-        pair["n"] = n
-        shared = size > 1
-        member = np.zeros(int(shared.sum()), MEMBER)
-        member["gid"], member["uid"], member["band"], member["need"] = gid[shared], rec["uid"][shared], rec["band"][shared], rec["need"][shared]
-        yield _rows([(b, K_EDGE, squeeze(pair[at])) for b, at in grouped(pair["uid"] % b_n)] + [(b, K_MEMBER, squeeze(member[at])) for b, at in grouped(member["uid"] % b_n)])
+        for bucket, rec, other in by_bucket(batches, ENTRY, K_ENTRY):
+            if other:
+                yield _rows(other)
+            if len(rec):
+                yield _met(bucket, rec, b_n)
 
     return run
 
 
+def _met(bucket: int, rec: np.ndarray, b_n: int):
+    s = np.sort(rec["key"])
+    often = np.unique(s[1:][s[1:] == s[:-1]])
+    rec = rec[np.isin(rec["key"], often)]
+    if not len(rec):
+        return _rows([])
+    gid = (U64(bucket) << U64(32)) | rec["key"].astype(U64)
+    sig = (rec["sig"].astype(U64) << U64(16)) | rec["sig2"].astype(U64)
+    order = np.lexsort((rec["uid"], sig, gid))
+    rec, gid, sig = rec[order], gid[order], sig[order]
+    new = np.ones(len(rec), bool)  # a class's smallest document in each block
+    new[1:] = (gid[1:] != gid[:-1]) | (sig[1:] != sig[:-1])
+    rec, gid = rec[new], gid[new]
+    heads = np.flatnonzero(np.append(True, gid[1:] != gid[:-1]))
+    size = np.diff(np.append(heads, len(gid)))
+    pivot = np.repeat(np.minimum.reduceat(rec["uid"], heads), size)
+    size = np.repeat(size, size)
+    e = (size > 1) & (rec["uid"] != pivot)
+    pair = np.zeros(int(e.sum()), EDGE)
+    pair["uid"], pair["pivot"] = rec["uid"][e], pivot[e]
+    order = np.lexsort((pair["pivot"], pair["uid"]))
+    pair = pair[order]
+    first = np.flatnonzero(np.append(True, (pair["uid"][1:] != pair["uid"][:-1]) | (pair["pivot"][1:] != pair["pivot"][:-1]))) if len(pair) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(pair)))
+    pair = pair[first]
+    pair["n"] = times
+    shared = size > 1
+    member = np.zeros(int(shared.sum()), MEMBER)
+    member["gid"], member["uid"], member["band"], member["need"] = gid[shared], rec["uid"][shared], rec["band"][shared], rec["need"][shared]
+    return _rows([(b, K_EDGE, squeeze(pair[at])) for b, at in grouped(pair["uid"] % b_n)] + [(b, K_MEMBER, squeeze(member[at])) for b, at in grouped(member["uid"] % b_n)])
+
+
 def _best(batches):
-    """Packed trials, by document, to the pivot that shares most blocks with it."""
-    recs = [unsqueeze(x, EDGE)[0] for b in batches for x in b.column("payload").to_pylist()]
-    a, p = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if recs:
-        rec = np.concatenate(recs)
+    """Packed trials, a bucket of documents at a time, to the pivot that shares most blocks with each."""
+    for _, rec, _ in by_bucket(batches, EDGE):
         rec = rec[np.lexsort((rec["pivot"], rec["uid"]))]
         head = np.flatnonzero(np.append(True, (rec["uid"][1:] != rec["uid"][:-1]) | (rec["pivot"][1:] != rec["pivot"][:-1])))
         n = np.add.reduceat(rec["n"].astype(np.int64), head)
         rec = rec[head]
-        order = np.lexsort((rec["pivot"], -n, rec["uid"]))
-        rec = rec[order]
+        rec = rec[np.lexsort((rec["pivot"], -n, rec["uid"]))]
         top = np.append(True, rec["uid"][1:] != rec["uid"][:-1])
-        a, p = rec["uid"][top], rec["pivot"][top]
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(p)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(rec["uid"][top]), pa.array(rec["pivot"][top])], names=["a", "b"])
 
 
 def _with_component(b_n: int, only: bool):
@@ -333,14 +323,12 @@ def _across(every: bool):
     for the least that any of them needs."""
 
     def run(batches):
-        recs = [unsqueeze(x, MEMBER)[0] for b in batches for x in b.column("payload").to_pylist()]
-        if not recs:
-            return
-        rec = np.concatenate(recs)
-        del recs
+        for _, rec, _ in by_bucket(batches, MEMBER):
+            if len(rec):
+                yield from pairs(rec)
+
+    def pairs(rec):
         rec = rec[np.lexsort((rec["uid"], rec["comp"], rec["gid"]))]
-        if not len(rec):
-            return
         heads = np.flatnonzero(np.append(True, rec["gid"][1:] != rec["gid"][:-1]))
         new = np.append(True, (rec["gid"][1:] != rec["gid"][:-1]) | (rec["comp"][1:] != rec["comp"][:-1]))
         comps = np.add.reduceat(new.astype(np.int64), heads)
@@ -356,11 +344,11 @@ def _across(every: bool):
             heads = np.cumsum(comps) - comps
         open_ = (comps > 1) & (comps <= CROWD)
         for i, j in _pairs_of(rec, new, heads[open_], sizes[open_]):
-            pairs = np.zeros(len(i), PAIR)
-            pairs["a"], pairs["b"], pairs["ca"], pairs["cb"] = rec["uid"][i], rec["uid"][j], rec["comp"][i], rec["comp"][j]
-            pairs["band"], pairs["need"] = rec["band"][i], np.maximum(rec["need"][i], rec["need"][j])
-            pairs, n = np.unique(pairs, return_counts=True)
-            cols = {f: pa.array(np.ascontiguousarray(pairs[f])) for f in PAIR.names} | {"n": pa.array(n.astype(np.int64))}
+            met = np.zeros(len(i), PAIR)
+            met["a"], met["b"], met["ca"], met["cb"] = rec["uid"][i], rec["uid"][j], rec["comp"][i], rec["comp"][j]
+            met["band"], met["need"] = rec["band"][i], np.maximum(rec["need"][i], rec["need"][j])
+            met, n = np.unique(met, return_counts=True)
+            cols = {f: pa.array(np.ascontiguousarray(met[f])) for f in PAIR.names} | {"n": pa.array(n.astype(np.int64))}
             yield pa.RecordBatch.from_arrays([cols[c] for c in NAMES], names=NAMES)
 
     return run
@@ -575,8 +563,8 @@ def jaccard_components(rows: DataFrame, scratch: Scratch) -> DataFrame:
     _, size = text_bytes(rows)
     n_b, parts = buckets_for(size), partitions(spark, size, DEALT)
     sizes = scratch.keep(set_sizes(rows))
-    met = scratch.keep(rows.select("uid", "text").mapInArrow(_sketch(n_b), _PACKED).repartition(parts, "bucket").mapInArrow(_meet(n_b), _PACKED))
-    trials = scratch.keep(met.filter(F.col("kind") == K_EDGE).select("bucket", "payload").repartition(parts, "bucket").mapInArrow(_best, "a long, b long"))
+    met = scratch.keep(rows.select("uid", "text").mapInArrow(_sketch(n_b), _PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(n_b), _PACKED))
+    trials = scratch.keep(met.filter(F.col("kind") == K_EDGE).select("bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_best, "a long, b long"))
     links = verified(near_enough(trials, rows, scratch), rows, scratch)
     label = components(links, scratch)
 
@@ -585,7 +573,7 @@ def jaccard_components(rows: DataFrame, scratch: Scratch) -> DataFrame:
         comps = comps.select(F.pmod("node", F.lit(n_b)).cast("int").alias("bucket"), F.lit(K_COMP).alias("kind"), F.lit(None).cast("binary").alias("payload"), F.col("node").alias("uid"), F.col("component").alias("comp"))
         members = met.filter(F.col("kind") == K_MEMBER).select("bucket", "kind", "payload", F.lit(None).cast("long").alias("uid"), F.lit(None).cast("long").alias("comp"))
         placed = members.unionByName(comps).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_with_component(n_b, only), _PACKED)
-        return placed.repartition(parts, "bucket")
+        return placed.select("bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket")
 
     across = scratch.keep(blocks(label, False).mapInArrow(_across(False), _ACROSS))
     crowded = scratch.keep(across.filter("b is null").groupBy(F.col("a").alias("uid"), F.col("band").alias("in_band")).agg(F.sum("n").alias("lost"), F.max("need").alias("need_of")))
