@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
-from . import chat_format, license_scan
+from . import chat_format, license_scan, stages
 from .chat_format import op5_chat_format
 from .decontaminate import op10_benchmark_leaks
 from .fingerprints import op3_fingerprints
@@ -31,7 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_benchmark_leaks": op10_benchmark_leaks,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": stages.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
