@@ -1,85 +1,9 @@
-"""The corpus pipeline: language ID, n-gram Jaccard join, suffix-array dedup, benchmark
-decontamination, packing. Each stage reads what the one before wrote."""
+"""The corpus pipeline: language ID, n-gram Jaccard join, suffix-array dedup, benchmark decontamination, packing. The
+stages are those of the subpackage ``voxelyard.llm``."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from voxelyard.llm.common import Scratch, with_uid
-from voxelyard.llm.decontaminate import benchmark_leaks
-from voxelyard.llm.jaccard_join import jaccard_components
-from voxelyard.llm.language_id import language_id
-from voxelyard.llm.packing import pack
-from voxelyard.llm.suffix_dedup import remove_repeats
-
-BROADCAST_IDS = 500_000  # ids of 8 bytes: a few MB; more are joined by a shuffle
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def _columns(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS)
-
-
-MORE = ("lang", "source", "n_chars")
-
-
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter go."""
-    scratch = Scratch(spark, "pipeline-language")
-    rows = with_uid(docs, scratch, MORE)
-    said = language_id(rows.select(F.col("uid").alias("doc_id"), "text", "lang"))
-    return _columns(rows.join(said.filter("lang_pred <> 'und'").select(F.col("doc_id").alias("uid")), "uid", "left_semi"))
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each component stays; documents without words stay too."""
-    scratch = Scratch(spark, "pipeline-jaccard")
-    rows = with_uid(docs, scratch, MORE)
-    stay = jaccard_components(rows.select("uid", "doc_id", "text"), scratch).filter("uid = component").select("uid")
-    return _columns(rows.join(stay, "uid", "left_semi"))
-
-
-def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated bytes; a document that has no other goes. Bytes of a character
-    that was cut apart go with it."""
-    scratch = Scratch(spark, "pipeline-repeats")
-    rows = with_uid(docs, scratch, MORE)
-    cut = remove_repeats(rows.select("uid", "doc_id", "text"), scratch, kept=True).select("uid", F.col("kept").alias("rest"))
-    joined = rows.drop("text", "n_chars").join(cut, "uid").withColumnRenamed("rest", "text")
-    return _columns(joined.filter(F.trim("text") != "").withColumn("n_chars", F.length("text").cast("long")))
-
-
-def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    scratch = Scratch(spark, "pipeline-benchmark")
-    rows = with_uid(docs, scratch, MORE)
-    found = benchmark_leaks(rows.select(F.col("uid").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = scratch.keep(found.select(F.col("doc_id").alias("uid")).distinct())
-    few = found.count() <= BROADCAST_IDS
-    return _columns(rows.join(F.broadcast(found) if few else found, "uid", "left_anti"))
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences."""
-    return pack(docs)
-
-
-STAGES = [
-    ("language ID", language_stage),
-    ("n-gram Jaccard join", near_duplicate_stage),
-    ("suffix-array dedup", repeat_stage),
-    ("benchmark decontamination", benchmark_stage),
-    ("packing", packing_stage),
-]
+from voxelyard.llm.stages import COLUMNS, STAGES, run
 
+#: SQL can't express the stages; tests hold them against plain versions.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written and read again."""
-    scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
