@@ -4,10 +4,12 @@ A text is cut into sentences, each is normalised (lower case, runs of other char
 and 0-9 as one blank) and looked up among the known licence sentences. A known sentence may be
 wrapped over several lines, also of a comment; n_sentences counts lines. What remains is a sequence
 of sentence identifiers. A rule is an ordered sequence of identifiers; it applies where that
-sequence stands in the document's, with no other known sentence between.
+sequence stands in the document's, with no other known sentence between. Longer rules are tried
+first, and what a rule has taken no other can take, so a licence's text isn't also the shorter one
+that it begins with. A last rule (all rights reserved) holds only where no licence stands.
 
-Defined results: a null or empty text has no sentences and no licence; repeated rows are each
-answered; an empty table gives an empty result; further columns are ignored."""
+Defined results: a null or empty text has no sentences and no licence; very long texts are read whole;
+repeated rows are each answered; an empty table gives an empty result; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -36,6 +38,9 @@ SENTENCES: dict[str, str] = {
     "gpl_free": "this program is free software",
     "gpl3_redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2_redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl_redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl2_either": "either version 2 of the license or at your option any later version",
+    "gpl3_either": "either version 3 of the license or at your option any later version",
     "gpl_hope": "this program is distributed in the hope that it will be useful but without any warranty",
     "cc_by_nc4": "licensed under cc by nc 4 0",
     "cc_by4": "licensed under cc by 4 0",
@@ -68,6 +73,8 @@ RULES: list[tuple[str, list[str]]] = [
     ("GPL-3.0-only", ["gpl3_under"]),
     ("GPL-3.0-or-later", ["gpl_free", "gpl3_redistribute"]),
     ("GPL-2.0-or-later", ["gpl_free", "gpl2_redistribute"]),
+    ("GPL-2.0-or-later", ["gpl_free", "gpl_redistribute", "gpl2_either"]),
+    ("GPL-3.0-or-later", ["gpl_free", "gpl_redistribute", "gpl3_either"]),
     ("CC-BY-NC-4.0", ["cc_by_nc4"]),
     ("CC-BY-NC-4.0", ["cc_by_nc4_long"]),
     ("CC-BY-4.0", ["cc_by4"]),
@@ -81,17 +88,23 @@ RULES: list[tuple[str, list[str]]] = [
     ("ISC", ["isc_grant"]),
     ("MPL-2.0", ["mpl2"]),
     ("Unlicense", ["unlicense"]),
-    ("LicenseRef-proprietary", ["rights"]),
 ]
+LAST_RULE = ("LicenseRef-proprietary", ["rights"])  # only where no other applies
+BY_LENGTH = sorted(RULES, key=lambda r: -len(r[1]))
 
 SENTENCE_END = "[.!?;:]+[ \\t\\r\\f]+|[\\n]+"
 OTHER = "[^a-z0-9]+"
 # A sentence that is wrapped ends at marks and at blank lines (without letters and digits, so that
-# comments' empty lines are blank); STOP stands for these ends, FOLD for the other line ends.
+# comments' empty lines are blank); STOP stands for these ends, FOLD for the other line ends. Each is
+# written twice, so that a sentence has an end of its own on either side.
 WHOLE_END = "[.!?;:]+[ \\t\\r\\f\\n]+|\\n[^a-z0-9]*\\n"
 STOP, FOLD = "\x01", "\x02"
 OTHER_MARKED = f"[^a-z0-9{STOP}{FOLD}]+"
-WRAPPED = f"(?<=[{STOP}{FOLD}])(?:{'|'.join(s.replace(' ', f'[ {FOLD}]') for s in sorted(SENTENCES.values(), key=len, reverse=True))})(?=[{STOP}{FOLD}])"
+WRAPPED = f"[{STOP}{FOLD}]({'|'.join(s.replace(' ', f'(?: |{FOLD}{FOLD})') for s in sorted(SENTENCES.values(), key=len, reverse=True))})[{STOP}{FOLD}]"
+
+
+def _sequence(ids: list[str]) -> str:
+    return "".join(f"<{i}>" for i in ids)
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -103,12 +116,16 @@ def license_scan(docs: DataFrame) -> DataFrame:
     sentences = F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, OTHER, " "))), lambda s: s != "")
     marked = F.regexp_replace(F.regexp_replace(F.translate(text, STOP + FOLD, "  "), WHOLE_END, STOP), "\\n", FOLD)
     marked = F.concat(F.lit(STOP), F.regexp_replace(marked, OTHER_MARKED, " "), F.lit(STOP))
-    found = F.regexp_extract_all(F.regexp_replace(marked, f" ?([{STOP}{FOLD}]) ?", "$1"), F.lit(WRAPPED), 0)
-    ids = docs.select("doc_id", F.size(sentences).cast("long").alias("n_sentences"), F.transform(found, lambda s: F.element_at(known, F.translate(s, FOLD, " "))).alias("_i"))
-    line = ids.select("doc_id", "n_sentences", F.size("_i").cast("long").alias("n_known"), F.array_join("_i", ">").alias("sentence_ids"))
-    bounded = F.concat(F.lit(">"), F.col("sentence_ids"), F.lit(">"))
-    found = [F.when(F.contains(bounded, F.lit(f">{'>'.join(seq)}>")), F.lit(name)) for name, seq in RULES]
-    return line.withColumn("licenses", F.when(F.col("n_known") == 0, F.lit("")).otherwise(F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))), " AND ")))
+    marked = F.regexp_replace(marked, f" ?([{STOP}{FOLD}]) ?", "$1$1")
+    found = F.regexp_extract_all(marked, F.lit(WRAPPED), 1)
+    ids = docs.select("doc_id", F.size(sentences).cast("long").alias("n_sentences"), F.transform(found, lambda s: F.element_at(known, F.replace(s, F.lit(FOLD + FOLD), F.lit(" ")))).alias("_i"))
+    line = ids.select("doc_id", "n_sentences", F.size("_i").cast("long").alias("n_known"), F.array_join("_i", ">").alias("sentence_ids"), F.array_join(F.transform("_i", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "").alias("_s"))
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_sequence(seq)).alias("seq")) for name, seq in BY_LENGTH])
+    start = F.struct(F.col("_s").alias("left"), F.array().cast("array<string>").alias("got"))
+    taken = F.aggregate(rules, start, lambda acc, r: F.struct(F.replace(acc["left"], r["seq"], F.lit("|")).alias("left"), F.when(F.contains(acc["left"], r["seq"]), F.array_append(acc["got"], r["name"])).otherwise(acc["got"]).alias("got")))
+    names = F.array_join(F.array_sort(F.array_distinct(taken["got"])), " AND ")
+    rights = F.when(F.contains("_s", F.lit(_sequence(LAST_RULE[1]))), F.lit(LAST_RULE[0])).otherwise("")
+    return line.withColumn("licenses", F.when(F.col("n_known") == 0, F.lit("")).otherwise(F.coalesce(F.nullif(names, F.lit("")), rights))).drop("_s")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,13 +136,26 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-ORACLE = f"""
-WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[.!?;:]+[ \\t\\r\\f]+|[\\n]+'),
-    lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS parts FROM documents),
-known AS (SELECT MAP {{{', '.join(f'{_quoted(s)}: {_quoted(n)}' for n, s in SENTENCES.items())}}} AS m),
-i AS (SELECT doc_id, len(parts) AS n, list_filter(list_transform(parts, lambda x: m[x]), lambda x: x IS NOT NULL) AS ids FROM s, known),
-j AS (SELECT doc_id, n, len(ids) AS k, coalesce(array_to_string(ids, '>'), '') AS line FROM i)
-SELECT doc_id, n::BIGINT AS n_sentences, k::BIGINT AS n_known, line AS sentence_ids,
-  coalesce(array_to_string(list_sort(list_distinct(list_filter([{', '.join(f"CASE WHEN contains('>' || line || '>', {_quoted('>' + '>'.join(q) + '>')}) THEN {_quoted(n)} END" for n, q in RULES)}], lambda x: x IS NOT NULL))), ' AND '), '') AS licenses
-FROM j
-"""
+def _oracle() -> str:
+    """The same in SQL: rules are taken one after the other from the line of identifiers."""
+    q = _quoted
+    steps = [f"replace(l{k}, {q(_sequence(seq))}, '|') AS l{k + 1}" for k, (_, seq) in enumerate(BY_LENGTH)]
+    got = ", ".join(f"CASE WHEN contains(l{k}, {q(_sequence(seq))}) THEN {q(name)} END" for k, (name, seq) in enumerate(BY_LENGTH))
+    chain = " ".join(f", t{k + 1} AS (SELECT *, {step} FROM t{k})" for k, step in enumerate(steps))
+    known = ", ".join(f"{q(s)}: {q(n)}" for n, s in SENTENCES.items())
+    last = f"CASE WHEN contains(l0, {q(_sequence(LAST_RULE[1]))}) THEN {q(LAST_RULE[0])} ELSE '' END"
+    mark = lambda x: x.replace(STOP, r"\x01").replace(FOLD, r"\x02")
+    return f"""
+WITH s AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+p AS (SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(t, '{SENTENCE_END}'), lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '')) AS n,
+  regexp_replace(regexp_replace(translate(t, chr(1) || chr(2), '  '), '{WHOLE_END}', chr(1), 'g'), '\\n', chr(2), 'g') AS m FROM s),
+r AS (SELECT doc_id, n, regexp_replace(chr(1) || regexp_replace(m, '{mark(OTHER_MARKED)}', ' ', 'g') || chr(1), '{mark(f' ?([{STOP}{FOLD}]) ?')}', '\\1\\1', 'g') AS m FROM p),
+known AS (SELECT MAP {{{known}}} AS k),
+i AS (SELECT doc_id, n, list_transform(regexp_extract_all(m, '{mark(WRAPPED)}', 1), lambda x: k[replace(x, chr(2) || chr(2), ' ')]) AS ids FROM r, known),
+t0 AS (SELECT *, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS l0 FROM i){chain}
+SELECT doc_id, n::BIGINT AS n_sentences, len(ids)::BIGINT AS n_known, coalesce(array_to_string(ids, '>'), '') AS sentence_ids,
+  coalesce(nullif(coalesce(array_to_string(list_sort(list_distinct(list_filter([{got}], lambda x: x IS NOT NULL))), ' AND '), ''), ''), {last}) AS licenses
+FROM t{len(steps)}"""
+
+
+ORACLE = _oracle()
