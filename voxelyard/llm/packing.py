@@ -1,13 +1,15 @@
 """Packing along a space-filling curve.
 
 Each document's words are hashed to signs in a few dimensions; the mean is a point, the point
-has a key on a Hilbert curve, and documents are dealt by range of (key, doc_id), so that equal
-documents with one key still spread. Each range is read in order, encoded, and cut into
+has a key on a Hilbert curve, and documents are dealt by ranges of the key that hold about as many
+bytes each: bytes are counted by cells of the curve first. A cell that holds more than a range
+(equal documents have one key) is dealt by doc_id. Each range is read in order, encoded, and cut into
 sequences. The last tokens of a range fill sequences of power-of-two lengths, so nothing is
 padded.
 
 Defined results: a null text is empty (its end id alone is packed); repeated rows are packed
-each; an empty table gives no pieces; further columns are ignored."""
+each, those of one id in one range; a very long text runs over as many sequences as it takes; ties of
+the key go by doc_id, then text; an empty table gives no pieces; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -19,12 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import fasttok
-from .common import U64, mix, partitions, slices, small_batches, string_buffers, table, text_bytes, words_of
+from .common import U64, mix, partitions, slices, small_batches, string_buffers, sum_rows, table, text_bytes, words_of
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 1
 LENGTH = 2048
 DIMS, BITS = 4, 12
+CELL_BITS = 18  # 262,144 cells of the curve, whatever the input
+ROW = 64  # bytes that a document counts beside its text
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -73,13 +77,47 @@ def document_points(col) -> np.ndarray:
     return out
 
 
-def with_curve_key(docs: DataFrame, name: str) -> DataFrame:
+def curve_keys(col) -> np.ndarray:
+    x = np.minimum((document_points(col) * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
+    return hilbert_key(x, BITS)
+
+
+def curve_bytes(docs: DataFrame) -> np.ndarray:
+    """Bytes (and ROW for each document) in each cell of the curve."""
+
+    def run(batches):
+        total = np.zeros((1 << CELL_BITS, 1))
+        for b in batches:
+            _, off = string_buffers(b.column("text"))
+            total[:, 0] += np.bincount(curve_keys(b.column("text")) >> (DIMS * BITS - CELL_BITS), np.diff(off) + float(ROW), 1 << CELL_BITS)
+        return total
+
+    return sum_rows(docs.select("text"), run, 1, 1 << CELL_BITS)[:, 0]
+
+
+def ranges(weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First of n ranges for each cell, and how many ranges share the cell: 1 unless it holds more than one."""
+    share = max(float(weight.sum()) / n, 1e-9)
+    end = np.cumsum(weight)
+    first = np.minimum(((end - weight) / share).astype(np.int64), n - 1)
+    last = np.minimum(np.ceil(end / share).astype(np.int64) - 1, n - 1)
+    return first, np.where(weight > share, np.maximum(last - first, 0) + 1, 1)
+
+
+def along_curve(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, text), dealt to n tasks by ranges of the curve and in its order."""
+    first, spread = ranges(curve_bytes(docs), n)
+
     def run(batches):
         for b in batches:
-            x = np.minimum((document_points(b.column("text")) * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hilbert_key(x, BITS))], names=[*b.schema.names, name])
+            key = curve_keys(b.column("text"))
+            cell = key >> (DIMS * BITS - CELL_BITS)
+            ids = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = first[cell] + (mix(ids.view(U64)) % spread[cell].astype(U64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(key), pa.array(part.astype(np.int32))], names=["doc_id", "text", "curve", "part"])
 
-    return docs.mapInArrow(run, f"doc_id long, text string, {name} long")
+    keyed = docs.mapInArrow(run, "doc_id long, text string, curve long, part int")
+    return keyed.repartitionById(n, "part").sortWithinPartitions("curve", "doc_id", "text").select("doc_id", "text")
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
@@ -87,9 +125,9 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, le
     spark = docs.sparkSession
     small_batches(spark)
     path = fasttok.vocabulary(vocabulary)
+    docs = docs.select("doc_id", "text")
     _, size = text_bytes(docs)
-    keyed = with_curve_key(docs.select("doc_id", "text"), "curve")
-    ranged = keyed.repartitionByRange(partitions(spark, size), "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "text").select("doc_id", "text")
+    ranged = along_curve(docs, partitions(spark, size))
 
     def run(batches):
         tok = fasttok.load(path)
