@@ -328,20 +328,25 @@ def with_uid(docs: DataFrame, scratch: Scratch, more: tuple = ()) -> DataFrame:
 
 
 # ------------------------------------------------------------------ prefix sums over an order
-def running_start(df: DataFrame, order: list, value: str, out: str, scratch: Scratch) -> DataFrame:
-    """df with the sum of ``value`` over all rows before, in a total order. Rows are dealt by
-    range; only one total for each range goes through the driver. df's rows should be narrow."""
+def running_start(df: DataFrame, order: list, value: str | list, out: str | list, scratch: Scratch) -> DataFrame:
+    """df with the sum of ``value`` over all rows before, in a total order; several values and names go
+    as lists. Rows are dealt by range; only one total for each range goes through the driver. df's rows
+    should be narrow."""
     spark = df.sparkSession
+    values, outs = ([value], [out]) if isinstance(value, str) else (value, out)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ranged = scratch.keep(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    totals = sorted((r["_part"], r["t"]) for r in ranged.groupBy("_part").agg(F.sum(value).alias("t")).collect())
-    base, rows = 0, []
-    for p, t in totals:
-        rows.append((p, base))
-        base += t or 0
-    bases = F.broadcast(spark.createDataFrame(rows or [(-1, 0)], "_part int, _base long"))  # one row for each range
-    return ranged.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0))).join(bases, "_part").withColumn(out, (F.col("_base") + F.col("_in")).cast("long")).drop("_part", "_in", "_base")
+    totals = ranged.groupBy("_part").agg(*[F.sum(v).alias(f"_t{k}") for k, v in enumerate(values)])
+    base, rows = [0] * len(values), []
+    for r in sorted(totals.collect(), key=lambda r: r["_part"]):
+        rows.append((r["_part"], *base))
+        base = [x + (r[f"_t{k}"] or 0) for k, x in enumerate(base)]
+    schema = "_part int" + "".join(f", _base{k} long" for k in range(len(values)))
+    bases = F.broadcast(spark.createDataFrame(rows or [(-1, *base)], schema))  # one row for each range
+    summed = ranged.withColumns({f"_in{k}": F.coalesce(F.sum(v).over(w), F.lit(0)) for k, v in enumerate(values)}).join(bases, "_part")
+    drop = [f"{x}{k}" for x in ("_in", "_base") for k in range(len(values))]
+    return summed.withColumns({o: (F.col(f"_base{k}") + F.col(f"_in{k}")).cast("long") for k, o in enumerate(outs)}).drop("_part", *drop)
 
 
 # ------------------------------------------------------------------ sums of arrays

@@ -3,13 +3,15 @@
 A rolling hash over the ids of a document cuts its stream into chunks; equal chunks have equal
 digests and are written once. Three tables of files lie in the store's folder: kind=chunk (digest,
 ids), kind=recipe as cut, and ``recipes``: in ascending doc_id order, each document's chunk
-digests, its place in the stream of all ids, and the Merkle root over its chunks. ``manifest`` has
-a root for each recipe file. Reading back takes ids from the chunk files only, digests them again
-and refuses a store that doesn't give each root.
+digests, its place in the stream of all ids and among the documents, and the Merkle root over its
+chunks. ``manifest`` holds the tree above these roots: FAN roots in order make a node of level 1, FAN
+nodes one of the next level, up to a single root. Reading back takes ids from the chunk files only and
+digests them again; first the tree is made anew from the recipes and compared node by node, so a
+recipe that is lost, altered or out of its place is refused.
 
 Defined results: a null text is empty (its end id alone); repeated rows are each written, ordered
-by (doc_id, root); a null doc_id sorts first; an empty table gives an empty store; further columns
-are ignored."""
+by (doc_id, root); a null doc_id sorts first; a very long text is one recipe, its chunks stand
+apart; an empty table gives an empty store; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -29,6 +31,7 @@ END_ID = 2
 WINDOW = 32  # ids that the rolling hash covers
 MEAN_BITS = 9  # a cut after 512 ids on average
 LEAST, MOST = 64, 4096
+FAN = 4096  # roots under one node of the manifest: 64 KB
 MAX_SEEN = 2_000_000  # digests a task remembers; beyond, a chunk is sent again and dropped later
 
 
@@ -158,13 +161,81 @@ def write_store(docs: DataFrame, scratch: Scratch, vocabulary: str = VOCABULARY,
     folder = f"{scratch.base}/store"
     dealt.drop("route").write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/parts")
     cut_recipes = _parts(spark, folder, "recipe").select("doc_id", "n_tokens", "recipe", "root")
-    placed = running_start(cut_recipes, [F.col("doc_id").asc(), F.col("root").asc()], "n_tokens", "start", scratch)
-    placed.sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{folder}/recipes")
-    recipes = spark.read.schema("doc_id long, n_tokens long, recipe binary, root binary, start long").parquet(f"{folder}/recipes")
-    (recipes.withColumn("file", F.input_file_name()).groupBy("file").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("n_tokens"), F.hex(F.bit_xor(F.xxhash64("root", "start"))).alias("root")).write.parquet(f"{folder}/manifest"))
+    one = cut_recipes.withColumn("one", F.lit(1).cast("long"))
+    placed = running_start(one, [F.col("doc_id").asc_nulls_first(), F.col("root").asc()], ["n_tokens", "one"], ["start", "place"], scratch)
+    placed.drop("one").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    recipes = read_recipes(spark, folder)
+    write_manifest(recipes, folder)
     return folder, recipes
 
 
+RECIPE = "doc_id long, n_tokens long, recipe binary, root binary, start long, place long"
+NODE = "level int, node long, documents long, n_tokens long, root binary"
+
+
+def read_recipes(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(RECIPE).parquet(f"{folder}/recipes")
+
+
+def _node_roots(rows: DataFrame) -> DataFrame:
+    """(node, documents, n_tokens, root) of rows (place, documents, n_tokens, root): FAN places to a node."""
+
+    def roots(batches):
+        for b in batches:
+            out = [merkle([x["root"] for x in r]) for r in b.column("roots").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("documents"), b.column("n_tokens"), pa.array(out, pa.binary())], names=["node", "documents", "n_tokens", "root"])
+
+    each = rows.groupBy(F.floor(F.col("place") / FAN).cast("long").alias("node")).agg(F.sum("documents").alias("documents"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("place", "root"))).alias("roots"))
+    return each.mapInArrow(roots, NODE.replace("level int, ", ""))
+
+
+def _leaves(recipes: DataFrame) -> DataFrame:
+    """Of each document: its place, and its root with its id, start and length."""
+    whole = F.concat(F.col("root"), F.encode(F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start", "n_tokens"), "UTF-8"))
+    return recipes.select("place", F.lit(1).cast("long").alias("documents"), "n_tokens", F.unhex(F.sha2(whole, 256)).alias("root"))
+
+
+def write_manifest(recipes: DataFrame, folder: str) -> None:
+    """Levels of nodes over the recipes, until one is left; an empty store has none."""
+    spark, below, level = recipes.sparkSession, _leaves(recipes), 0
+    spark.createDataFrame([], NODE).write.parquet(f"{folder}/manifest")
+    while True:
+        level += 1
+        _node_roots(below).withColumn("level", F.lit(level)).select("level", "node", "documents", "n_tokens", "root").write.mode("append").parquet(f"{folder}/manifest")
+        mine = read_manifest(spark, folder).filter(F.col("level") == level)
+        if mine.count() <= 1:
+            return
+        below = mine.select(F.col("node").alias("place"), "documents", "n_tokens", "root")
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(NODE).parquet(f"{folder}/manifest")
+
+
+def check_manifest(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """Documents and ids of the store, as its root says; an error if the recipes don't give the same tree."""
+    told = read_manifest(spark, folder)
+    levels = told.agg(F.max("level").alias("m")).first()["m"] or 0
+    below = _leaves(read_recipes(spark, folder))
+    if not levels:
+        if below.limit(1).count():
+            raise ValueError(f"{folder} has recipes and no manifest")
+        return 0, 0
+    for level in range(1, levels + 1):
+        mine, theirs = _node_roots(below), told.filter(F.col("level") == level).select("node", *[F.col(c).alias(f"told_{c}") for c in ("documents", "n_tokens", "root")])
+        same = F.lit(True)
+        for c in ("documents", "n_tokens", "root"):
+            same = same & F.col(c).eqNullSafe(F.col(f"told_{c}"))
+        odd = mine.join(theirs, "node", "full").filter(~same).select("node").limit(5).collect()
+        if odd:
+            raise ValueError(f"{folder}: nodes {[r['node'] for r in odd]} of level {level} differ from the manifest")
+        below = told.filter(F.col("level") == level).select(F.col("node").alias("place"), "documents", "n_tokens", "root")
+    top = told.filter(F.col("level") == levels).collect()
+    if len(top) != 1:
+        raise ValueError(f"{folder}: the manifest has no single root")
+    return top[0]["documents"], top[0]["n_tokens"]
+
+
 def _parts(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     schema = "digest binary, ids binary, doc_id long, n_tokens long, recipe binary, root binary, kind string"
     return spark.read.schema(schema).parquet(f"{folder}/parts").filter(F.col("kind") == kind)
@@ -220,8 +291,9 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
             term = crc_shift(crc, after * 4).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("total"), pa.array(term), b.column("n"), b.column("wrong")], names=["doc_id", "start", "total", "term", "n", "wrong"])
 
+    check_manifest(spark, folder)
     chunks = _parts(spark, folder, "chunk").select("ids").mapInArrow(digests, "found binary, crc long, found_n long")
-    recipes = spark.read.schema("doc_id long, n_tokens long, recipe binary, root binary, start long").parquet(f"{folder}/recipes")
+    recipes = read_recipes(spark, folder)
     uses = recipes.mapInArrow(spread, "doc_id long, start long, total long, digest binary, after long, n long, bad boolean")
     met = uses.join(chunks, uses.digest == chunks.found, "left").withColumn("wrong", F.col("bad") | F.col("found").isNull() | (F.col("n") != F.coalesce("found_n", F.lit(-1))))
     parts = met.select("doc_id", "start", "total", "crc", "after", "n", "wrong").mapInArrow(shift, "doc_id long, start long, total long, term long, n long, wrong boolean")
