@@ -92,6 +92,60 @@ def test_suffix_dedup(spark, docs, empty):
     assert suffix_dedup.remove_repeats(with_uid(empty, scratch), scratch).count() == 0
 
 
+def repeats(texts):
+    """doc_id to removed bytes, by a set of all strings seen."""
+    seen, want = set(), {}
+    for i, t in texts:
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = True
+            seen.add(b[p : p + 100])
+        want[i] = int(gone.sum())
+    return want
+
+
+def test_crowded_lines_and_long_texts(spark, monkeypatch):
+    """A line of many unlike documents, which is split, and a text of several blocks."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1 << 12)
+    rng = random.Random(11)
+    line = told(rng, 20)
+    texts = [(i, f"{told(rng, rng.randint(2, 9))} {line} {told(rng, rng.randint(2, 9))}") for i in range(150)]
+    texts.append((200, f"{told(rng, 3000)} {line} {told(rng, 2000)} {line}"))
+    scratch = Scratch(spark, "t")
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(with_uid(rows, scratch), scratch).collect()}
+    assert got == repeats(texts)
+
+
+def test_the_transform_decides():
+    """Strands of one anchor that share windows: what goes comes from the transform's order alone."""
+    rng = random.Random(12)
+    text = told(rng, 40).encode()
+    parts = [text[:160], text[20:180], text[50:190], told(rng, 30).encode()[:150]]
+    size = np.array([len(p) for p in parts])
+    start = np.append(0, np.cumsum(size))[:-1]
+    who, where, group = suffix_dedup.equal_windows(np.frombuffer(b"".join(parts), np.uint8), start, size)
+    by = defaultdict(set)
+    for k, p, g in zip(who.tolist(), where.tolist(), group.tolist(), strict=True):
+        by[g].add(parts[k][p : p + 100])
+    assert all(len(x) == 1 for x in by.values()) and len(by) == len({p[i : i + 100] for p in parts for i in range(len(p) - 99)})
+
+
+def test_repeats_need_the_transform(spark, monkeypatch):
+    rng = random.Random(13)
+    base = told(rng, 40)
+    texts = [(i, f"{told(rng, 5)} {base} {told(rng, 5)}") for i in range(4)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    folder = Scratch(spark, "t")
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(with_uid(rows, folder), folder).collect()} == repeats(texts)
+    z = np.zeros(0, np.int64)
+    monkeypatch.setattr(suffix_dedup, "equal_windows", lambda *_: (z, z, z))
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(with_uid(rows, folder), folder).collect()}
+    assert got != repeats(texts)
+
+
 def test_transform_on_files(tmp_path, monkeypatch):
     texts = [b"banana" * 20, b"ananas" * 20, b"bandana" * 18]
     size = np.array([len(t) for t in texts])

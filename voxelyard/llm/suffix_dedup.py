@@ -7,18 +7,22 @@ same document further left); strings are judged on the input.
    on ties). Consecutive windows with one anchor are a strand of at most MATCH - GRAM + 1 windows.
    Equal windows have equal anchors at equal places, so only strands with one anchor hash can hold
    equal windows, and no two windows of one strand are equal.
-2. Strands are exchanged by anchor hash, equal strands combined on the map side first. Of equal
-   strands, all but the first go whole. An anchor hash with one distinct strand is done.
+2. Strands are exchanged by anchor hash, equal strands combined on the map side first, so that a group
+   of copies is one strand of a task. Strands are equal whose two digests are, 96 bits of two
+   unlike hashes. Of equal strands, all but the first go whole. An anchor hash with one distinct strand
+   is done.
 3. The distinct strands that share an anchor hash form collections of short documents. Each round
    inserts one symbol of every document, from its end, into the transform and the array of common
-   prefixes, which stand in files read and written from front to back. In the finished order, windows
-   with a common prefix of MATCH bytes are equal; the first stays.
+   prefixes, which are read and written from front to back; beyond TAPE bytes they stand in files of the
+   task, in Spark's own local folders as other spilled data, and go with it. In the finished order,
+   windows with a common prefix of MATCH bytes are equal; the first stays.
 4. An anchor hash with very many distinct strands (a frequent line) is split: its windows are
-   exchanged one by one, by their own hash, so no task collects them.
+   exchanged one by one, by their own two digests, of equal windows of a task the first only, so no task
+   collects them.
 
 Defined results: a null text is empty; repeated rows and equal ids are separate documents, in the
-order of (doc_id, text), nulls first; texts shorter than MATCH lose nothing; an empty table gives an
-empty result; further columns are ignored."""
+order of (doc_id, text), nulls first; texts shorter than MATCH lose nothing; very long texts are looked
+at in parts that overlap; an empty table gives an empty result; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -28,6 +32,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,23 +43,35 @@ PLACES = MATCH - GRAM + 1
 BLOCK = 1 << 18  # bytes of a text that are looked at together
 FLUSH = 1_500_000  # strands a task holds before it sends them
 CROWD_TASK, CROWD = 16, 64  # distinct strands of one anchor hash in a task, or altogether, beyond which it is split
-COLLECTION = 400  # strands to a transform, and the rest of the last one's anchor hash
-TAPE = 4_000_000
+COLLECTION = 10_000  # strands to a transform, and the rest of the last one's anchor hash
+TAPE = 1 << 20
 SIDE = (MATCH - GRAM) // 2  # bytes beside the anchor that one half of the windows has in common
 
-STRAND = np.dtype([("key", "<u4"), ("same", "<u8"), ("uid", "<i8"), ("at", "<u4"), ("n", "u1"), ("kind", "u1"), ("rel", "u1"), ("left", "<u2"), ("right", "<u2")])
+STRAND = np.dtype([("key", "<u4"), ("same", "<u8"), ("also", "<u4"), ("uid", "<i8"), ("at", "<u4"), ("n", "u1"), ("kind", "u1"), ("rel", "u1"), ("left", "<u2"), ("right", "<u2")])
 GONE = np.dtype([("uid", "<i8"), ("at", "<u4"), ("len", "<u4")])
 ASKED = np.dtype([("uid", "<i8"), ("at", "<u4"), ("n", "u1"), ("key", "<u8"), ("split", "u1")])
-SENT = np.dtype([("key", "<u8"), ("uid", "<i8"), ("at", "<u4"), ("len", "u1")])
+SENT = np.dtype([("key", "<u8"), ("also", "<u4"), ("uid", "<i8"), ("at", "<u4"), ("len", "u1")])
 
 
 # ---------------------------------------------------------------- strands
+_OTHER = np.random.default_rng(20240301).integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
+_BASE = U64(0xD1342543DE82EF95)
+_INVERSE = U64(pow(int(_BASE), -1, 2**64))
+
+
+def other_digest(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """32 bits of each span by another hash than span_hash()."""
+    s = np.zeros(len(data) + 1, U64)
+    np.cumsum(_OTHER[data] * _powers("up2", _BASE, len(data)), out=s[1:])
+    return (mix((s[end] - s[start]) * _powers("down2", _INVERSE, len(s))[start]) >> U64(32)).astype(np.uint32)
+
+
 def strands(data: np.ndarray, off: np.ndarray):
-    """First window, windows, anchor hash, content hash, anchor's offset and the hashes of the
+    """First window, windows, anchor hash, content hash and other digest, anchor's offset and the hashes of the
     anchor with SIDE bytes to its left and right, of all strands of some rows."""
     n = len(data)
     z = np.zeros(0, np.int64)
-    none = z, z, z.astype(U64), z.astype(U64), z, z, z
+    none = z, z, z.astype(U64), z.astype(U64), z.astype(np.uint32), z, z, z
     if n < MATCH:
         return none
     s = prefix_hash(BYTE_CODE[data])
@@ -85,7 +102,8 @@ def strands(data: np.ndarray, off: np.ndarray):
     right, left = start + count - 1 >= a - SIDE, start < a - SIDE
     r = span_hash(s, a, np.where(right, a + GRAM + SIDE, a)) & U64(0xFFFF)
     f = span_hash(s, np.where(left, a - SIDE, a), a + GRAM) & U64(0xFFFF)
-    return start, count, gram[a], span_hash(s, start, start + count + MATCH - 1), a - start, f, r
+    end = start + count + MATCH - 1
+    return start, count, gram[a], span_hash(s, start, end), other_digest(data, start, end), a - start, f, r
 
 
 def row_blocks(uids: np.ndarray, data: np.ndarray, off: np.ndarray):
@@ -102,19 +120,21 @@ def row_blocks(uids: np.ndarray, data: np.ndarray, off: np.ndarray):
 
 
 def _first_of(same: np.ndarray, rec: np.ndarray) -> np.ndarray:
-    """Whether each record is the first, by (uid, at), of those with its value of ``same``."""
+    """Whether each record is the first, by (uid, at), of those with its value of ``same`` and its other
+    digest. Where unlike records share ``same`` alone, some later ones may count as first; they are then
+    compared by the transform like any others."""
     order = np.argsort(same, kind="stable")
-    s = same[order]
+    s, t = same[order], rec["also"][order]
     new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
+    new[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
     out = np.ones(len(s), bool)
     multi = ~new
     multi[:-1] |= ~new[1:]
     idx = order[multi]
     if len(idx):
-        sub = idx[np.lexsort((rec["at"][idx], rec["uid"][idx], same[idx]))]
+        sub = idx[np.lexsort((rec["at"][idx], rec["uid"][idx], rec["also"][idx], same[idx]))]
         head = np.ones(len(sub), bool)
-        head[1:] = same[sub][1:] != same[sub][:-1]
+        head[1:] = (same[sub][1:] != same[sub][:-1]) | (rec["also"][sub][1:] != rec["also"][sub][:-1])
         out[sub[~head]] = False
     return out
 
@@ -160,6 +180,11 @@ class Tape:
         return np.fromfile(f"{self.path}.{self.turn}", np.uint8) if self.held is None else self.held
 
 
+def local_folder() -> str | None:
+    """One of Spark's folders for what a task spills; None where there is none."""
+    return next((d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)), None)
+
+
 NONE = 255  # no byte of UTF-8; stands where a document has no further symbol
 
 
@@ -209,7 +234,7 @@ def transform(blob: np.ndarray, start: np.ndarray, size: np.ndarray, folder: str
 
 def equal_windows(blob: np.ndarray, start: np.ndarray, size: np.ndarray):
     """(document, offset, group) of all windows of MATCH bytes; equal windows share a group."""
-    with tempfile.TemporaryDirectory() as folder:
+    with tempfile.TemporaryDirectory(dir=local_folder()) as folder:
         bwt, lcp = transform(blob, start, size, folder)
     n = len(start)
     group = np.cumsum(lcp < MATCH)
@@ -257,11 +282,12 @@ def _find(b_n: int, d_n: int):
             data, off = string_buffers(b.column("text"))
             uids = b.column("uid").to_numpy()
             for who, base, d, o in row_blocks(uids, data, off):
-                start, count, key, same, rel, left, right = strands(d, o)
+                start, count, key, same, also, rel, left, right = strands(d, o)
                 r = np.searchsorted(o, start, side="right") - 1
                 rec = np.zeros(len(start), STRAND)
                 rec["key"] = key >> U64(32)
                 rec["same"] = mix(same ^ mix(key + count.astype(U64)))
+                rec["also"] = also
                 rec["uid"], rec["at"], rec["n"] = who[r], start - o[r] + base[r], count
                 rec["rel"], rec["left"], rec["right"] = rel, left, right
                 parts.append(rec)
@@ -346,21 +372,27 @@ def _texts_and(packed: DataFrame, rows: DataFrame, d_n: int, parts: int) -> Data
     return nothing.unionByName(texts).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
 
 
-def _send_strands(b_n: int):
-    """Texts with what is asked of them to packed windows and strands, by anchor hash."""
+def _send_strands(b_n: int, d_n: int):
+    """Texts with what is asked of them to packed windows and strands, by anchor hash, and to windows that go as
+    an equal one of the same task comes first."""
 
-    def flush(keys, uids, ats, lens, texts):
-        rec = np.empty(len(keys), SENT)
-        rec["key"], rec["uid"], rec["at"], rec["len"] = keys, uids, ats, lens
-        out = []
+    def flush(parts, texts):
+        rec = np.concatenate(parts)
+        one = np.flatnonzero(rec["len"] == 0)
+        later = one[~_first_of(rec["key"][one], rec[one])]
+        out = _by_uid(_joined(_gone(rec[later], np.full(len(later), MATCH))), d_n, K_GONE)
+        stay = np.ones(len(rec), bool)
+        stay[later] = False
+        rec = rec[stay]
+        whole = np.cumsum(rec["len"] > 0) - 1  # texts are those of whole strands, in their order
         for b, at in grouped(bucket_of(mix(rec["key"]), b_n)):
-            out.append((b, K_SENT, squeeze(rec[at], b"".join(texts[i] for i in at.tolist()))))
+            out.append((b, K_SENT, squeeze(rec[at], b"".join(texts[i] for i in whole[at][rec["len"][at] > 0].tolist()))))
         return _rows(out)
 
     def run(batches):
         asked: dict[int, np.ndarray] = {}
         bucket = None
-        keys, uids, ats, lens, texts = [], [], [], [], []
+        parts, texts, held = [], [], 0
         for b in batches:
             for bk, kind, x, uid, _, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bk != bucket:
@@ -382,27 +414,25 @@ def _send_strands(b_n: int):
                     continue
                 raw = text.encode("utf-8")
                 whole = mine[mine["split"] == 0]
-                for at, n, key in zip(whole["at"].tolist(), whole["n"].tolist(), whole["key"].tolist(), strict=True):
-                    keys.append(key)
-                    uids.append(uid)
-                    ats.append(at)
-                    lens.append(n + MATCH - 1)
-                    texts.append(raw[at : at + n + MATCH - 1])
+                rec = np.zeros(len(whole), SENT)
+                rec["key"], rec["uid"], rec["at"], rec["len"] = whole["key"], uid, whole["at"], whole["n"] + np.uint8(MATCH - 1)
+                parts.append(rec)
+                texts += [raw[at : at + n] for at, n in zip(rec["at"].tolist(), rec["len"].tolist(), strict=True)]
                 one = mine[mine["split"] == 1]
                 if len(one):
                     n = one["n"].astype(np.int64)
                     first = np.repeat(one["at"].astype(np.int64) - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
-                    s = prefix_hash(BYTE_CODE[np.frombuffer(raw, np.uint8)])
-                    keys += (span_hash(s, first, first + MATCH) | U64(1)).tolist()
-                    uids += [uid] * len(first)
-                    ats += first.tolist()
-                    lens += [0] * len(first)
-                    texts += [b""] * len(first)
-                if len(keys) > 200_000:
-                    yield flush(np.array(keys, U64), uids, ats, lens, texts)
-                    keys, uids, ats, lens, texts = [], [], [], [], []
-        if keys:
-            yield flush(np.array(keys, U64), uids, ats, lens, texts)
+                    data = np.frombuffer(raw, np.uint8)
+                    rec = np.zeros(len(first), SENT)
+                    rec["key"] = span_hash(prefix_hash(BYTE_CODE[data]), first, first + MATCH) | U64(1)
+                    rec["also"], rec["uid"], rec["at"] = other_digest(data, first, first + MATCH), uid, first
+                    parts.append(rec)
+                held += len(whole) + len(parts[-1])
+                if held > 200_000:
+                    yield flush(parts, texts)
+                    parts, texts, held = [], [], 0
+        if held:
+            yield flush(parts, texts)
 
     return run
 
@@ -422,7 +452,10 @@ def _compare(d_n: int):
     def run(batches):
         recs, blobs = [], []
         for b in batches:
-            for x in b.column("payload").to_pylist():
+            gone = [x for x in zip(*(c.to_pylist() for c in b.columns), strict=True) if x[1] == K_GONE]
+            if gone:
+                yield _rows(gone)
+            for x in b.filter(pc.equal(b.column("kind"), K_SENT)).column("payload").to_pylist():
                 rec, blob = unsqueeze(x, SENT)
                 recs.append(rec)
                 blobs.append(blob)
@@ -434,8 +467,10 @@ def _compare(d_n: int):
         one = rec["len"] == 0
         if one.any():
             w = rec[one]
-            w = w[later(w["uid"], w["at"], w["key"])]
-            gone.append(_gone(w, np.full(len(w), MATCH)))
+            order = np.lexsort((w["at"], w["uid"], w["also"], w["key"]))
+            w = w[order]
+            again = np.append(False, (w["key"][1:] == w["key"][:-1]) & (w["also"][1:] == w["also"][:-1]))
+            gone.append(_joined(_gone(w[again], np.full(int(again.sum()), MATCH))))
         many = np.flatnonzero(~one)
         many = many[np.argsort(rec["key"][many], kind="stable")]
         keys = rec["key"][many]
@@ -528,7 +563,7 @@ def remove_repeats(rows: DataFrame, scratch: Scratch, kept: bool = False) -> Dat
     found = rows.select("uid", "text").mapInArrow(_find(n_b, n_b), _PACKED).repartition(parts, "bucket")
     met = scratch.keep(found.mapInArrow(_meet(n_b), _PACKED))
     asked = _texts_and(met.filter(F.col("kind") == K_ASKED), rows, n_b, parts)
-    sent = asked.mapInArrow(_send_strands(n_b), _PACKED).repartition(parts, "bucket")
+    sent = asked.mapInArrow(_send_strands(n_b, n_b), _PACKED).repartition(parts, "bucket")
     compared = sent.mapInArrow(_compare(n_b), _PACKED)
     last = _texts_and(met.filter(F.col("kind") == K_GONE).unionByName(compared), rows, n_b, parts)
     return last.mapInArrow(lambda it: _cut(it, kept), _RESULT + (", kept string" if kept else ""))
