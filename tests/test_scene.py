@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelyard.functions import geometry as G
 from voxelyard.functions import text as T
+from voxelyard.operators import iterative as I
 from voxelyard.operators import relational as R
 from voxelyard.plans.registry import ORACLE, QUERIES, load
 
@@ -45,14 +46,21 @@ def one(spark, expr):
     ("INT__door_handle__000__area3475", ("affordance", "door_handle", "000")),
     ("instance_0007__INT__door_handle__012__area5", ("affordance", "door_handle", "012")),
     ("CTX__doors__1234", ("object", "door", "1234")),
-    ("INT__knob__id000123", ("affordance", "knob", "000")),
+    ("INT__knob__id000123", ("affordance", "knob id000123", "000")),
+    ("CTX__door__handle__000__area1", ("object", "door handle", "000")),
+    ("INT_door_handle_000_area5", ("affordance", "door handle", "000")),
+    ("CTX__door__AREA12", ("object", "door", "000")),
+    ("CTXdoor__001", ("object", "door", "001")),
+    ("ctx__door__7", ("object", "ctx door", "007")),
+    ("INT____door____3", ("affordance", "door", "003")),
+    ("", ("object", "unknown", "000")),
     ("chair", ("object", "chair", "000")),
 ])
 def test_mask_parts(spark, stem, want):
     assert tuple(one(spark, T.mask_parts(F.lit(stem)))) == want
 
 
-@pytest.mark.parametrize("said,want", [("hook_pull door handle", "door handle"), ("rotate door handle", "door handle"), ("push button", "button"), ("drawer handle,drawer front", "drawer handle"), ("socket opening", "socket"), ("drawer", "drawer handle"), ("n/a", "")])
+@pytest.mark.parametrize("said,want", [("hook_pull door handle", "door handle"), ("rotate door handle", "door handle"), ("push button", "button"), ("drawer handle,drawer front", "drawer handle"), ("socket opening", "socket"), ("drawer", "drawer handle"), ("n/a", ""), ("twist knob", "knob"), ("open door", "open door"), ("Rotate Handle", "Handle"), ("pinch pull  ring , x", "ring"), ("", ""), (None, "")])
 def test_interactive_object(spark, said, want):
     assert one(spark, T.interactive_object(F.lit(said))) == want
 
@@ -67,6 +75,43 @@ def test_list_cells(spark):
     assert one(spark, T.list_cell(F.lit("a; b"))) == ["a", "b"]
 
 
+@pytest.mark.parametrize("expr,want", [
+    (lambda: T.list_cell(F.lit("[a, b] c")), ["[a", "b] c"]),
+    (lambda: T.object_cell(F.lit("Door_Handle|x-y")), ["door handle", "x y"]),
+    (lambda: T.single_or_list(F.lit("'a, b'")), ["a, b"]),
+    (lambda: T.single_or_list(F.lit('["a", " "]')), ["a"]),
+    (lambda: T.all_objects(F.lit("['push drawer', 'drawer handle', 'n/a']")), ["drawer handle"]),
+    (lambda: T.prompt_list(F.array(F.lit("A, b"), F.lit(None), F.lit("a"), F.lit("none"))), ["A", "b"]),
+    (lambda: T.split_prompts(F.lit("Wall  switch; pull chain;wall switch")), ["Wall switch", "pull chain"]),
+    (lambda: T.frame_numbers(F.array(F.lit("36"), F.lit("5-3"), F.lit(" "), F.lit("4"))), [3, 4, 5, 36]),
+    (lambda: T.first_object(F.lit('x {"a": {"b": 1}} {"c": 2}')), '{"a": {"b": 1}}'),
+    (lambda: T.first_object(F.lit("{ {")), None),
+    (lambda: T.clamp01(F.lit("1.7")), 1.0),
+    (lambda: T.clamp01(F.lit("x")), None),
+    (lambda: T.whole_id(F.lit(" 12 ")), 12),
+    (lambda: T.whole_id(F.lit("1.5")), None),
+    (lambda: T.handle_group(F.lit("Rotate_door handle")), "door_handle_group"),
+    (lambda: T.video_prompt(F.lit("door handle"), F.lit("CTX")), "door handle"),
+    (lambda: T.second_prompt(F.lit("Door Handle ")), "rotate door handle"),
+    (lambda: T.instance_name(F.lit(7), F.lit("a.png")), "instance_0007__a.png"),
+    (lambda: T.mask_name(F.lit("INT"), F.lit("knob"), F.lit(3), F.lit(9)), "INT__knob__003__area9"),
+    (lambda: T.frame_path(F.lit("/o/x"), F.lit(36)), "/o/x_f0036.jpg"),
+    (lambda: T.slug(F.lit("a" * 79 + " bc")), "a" * 79),
+    (lambda: T.clean_phrase(F.lit("Opening-socket")), "socket"),
+    (lambda: T.normalize_prompt(F.lit(" a \t b ")), "a b"),
+])
+def test_phrases(spark, expr, want):
+    assert one(spark, expr()) == want
+
+
+def test_name_maps():
+    cycle = I.closed_map({"A": "B", "B": "C", "C": "A", "X": "A"})
+    assert cycle == {"A": "B", "B": "C", "C": "A", "X": "A"}
+    assert I.closed_map({"a": "b", "b": "c"}) == {"a": "c", "b": "c"} and I.closed_map({"a": "a"}) == {"a": "a"}
+    assert I.name_map({"groups": [["Door", "gate", "DOORS"]], "map": {"x": "Handles", "": "y"}}) == {"x": "handle", "door": "door", "gate": "door"}
+    assert I.name_map({"Drawers": " big  drawer"}) == {"drawer": "big drawer"}
+
+
 def test_natural_order(spark):
     df = spark.createDataFrame([("f10",), ("f9",), ("F1",)], "n string")
     assert [r["n"] for r in df.orderBy(T.natural_key(F.col("n"))).collect()] == ["F1", "f9", "f10"]

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelyard.functions.text import SYNONYMS
+
 from .relational import grid_pairs
 
 
@@ -191,13 +193,34 @@ def assign_instances(cells: DataFrame, group: str, obs: str, cell: str, least: f
     return cells.select(group, obs, cell).groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, {obs} {kinds[obs]}, first {kinds[obs]}")
 
 
+def name_map(shape: dict) -> dict[str, str]:
+    """A name map from its file's shapes: {map: {name: canon}}, {groups: [[canon, ...]]}, both, or flat."""
+    out: dict[str, str] = {}
+    pairs, groups = shape.get("map"), shape.get("groups")
+    if isinstance(pairs, dict):
+        out.update({plain(k): plain(v) for k, v in pairs.items() if k and v})
+    for group in groups if isinstance(groups, list) else ():
+        if isinstance(group, list) and group:
+            out.update(dict.fromkeys(map(plain, group), plain(group[0])))
+    if "map" not in shape and "groups" not in shape:
+        out.update({plain(k): plain(v) for k, v in shape.items()})
+    return out
+
+
+def plain(name) -> str:
+    """normalize_name() of a text in the driver."""
+    folded = " ".join(str(name).lower().split())
+    return SYNONYMS.get(folded, folded)
+
+
 def closed_map(names: dict[str, str]) -> dict[str, str]:
-    """Each name's last stop; a walk that meets a name again stops before it."""
+    """Each name's last stop: from its value on, steps are taken until a name has none or was a stop
+    before, so on a cycle the walk ends where it came in."""
     out = {}
-    for name in names:
-        seen, at = {name}, name
-        while at in names and names[at] not in seen:
-            at = names[at]
+    for name, at in names.items():
+        seen = set()
+        while at in names and at not in seen:
             seen.add(at)
+            at = names[at]
         out[name] = at
     return out

@@ -75,18 +75,6 @@ def incremental_assign(spark, d):
     return I.assign_instances(cells, "l_suppkey", "l_orderkey", "cell", 0.5)
 
 
-#: A name map with a cycle, as a scene's map file has it.
-NAMES = {"STANDARD": "SMALL", "SMALL": "MEDIUM", "MEDIUM": "LARGE", "ECONOMY": "PROMO", "PROMO": "ECONOMY"}
-
-
-@query("""WITH w AS (SELECT p_partkey, split_part(p_type, ' ', 1) AS name FROM part) SELECT p_partkey, name,
-CASE name WHEN 'STANDARD' THEN 'LARGE' WHEN 'SMALL' THEN 'LARGE' WHEN 'MEDIUM' THEN 'LARGE' WHEN 'ECONOMY' THEN 'PROMO' WHEN 'PROMO' THEN 'ECONOMY' ELSE name END AS canon FROM w""")
-def name_map_closure(spark, d):
-    closed = F.create_map(*[F.lit(x) for pair in I.closed_map(NAMES).items() for x in pair])
-    name = F.split("p_type", " ")[0]
-    return read(spark, d, "part").select("p_partkey", name.alias("name"), F.coalesce(closed[name], name).alias("canon"))
-
-
 @query()
 def pool_support_reject(spark, d):
     e = read(spark, d, "events").select("user_id", "event_id", (F.col("event_type") == "view").cast("int").alias("support"), (F.col("event_type") == "error").cast("int").alias("reject"))

@@ -324,19 +324,6 @@ def name_normalize(spark, d):
     return read(spark, d, "part").select("p_partkey", T.normalize_name(F.col("p_name")).alias("name"), T.normalize_name(F.col("p_name"), False).alias("plain"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'object' ELSE 'affordance' END AS type, replace(lower(p_name), ' ', '_') AS name, lpad((p_size)::VARCHAR, 3, '0') AS inst FROM part""")
-def mask_name_parse(spark, d):
-    tag = F.when(F.col("p_size") % 2 == 0, "CTX").otherwise("INT")
-    stem = F.concat(F.lit("instance_0007__"), tag, F.lit("__"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("__"), F.col("p_size").cast("string"), F.lit("__area12"))
-    return read(spark, d, "part").select("p_partkey", T.mask_parts(stem).alias("m")).select("p_partkey", "m.type", "m.name", "m.inst")
-
-
-@query("SELECT p_partkey, trim(lower(p_name)) AS object FROM part")
-def action_strip(spark, d):
-    said = F.concat(F.lit("hook_pull "), F.col("p_name"), F.lit(", other"))
-    return read(spark, d, "part").select("p_partkey", T.interactive_object(said).alias("object"))
-
-
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def json_props(spark, d):
     return read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
