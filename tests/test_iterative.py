@@ -75,7 +75,8 @@ def test_matching_takes_the_best_free_truth(spark):
 
 def test_folds(spark):
     nodes = spark.createDataFrame([("t", 1, "n", 0.0), ("t", 2, "n", 0.1), ("t", 3, "m", 0.1), ("t", 4, "n", 0.3)], "kind string, k long, name string, x double")
-    got = {r["k"]: r["merged"] for r in I.merge_to_centroids(nodes, "kind", "k", "name", ["x"], 0.2).collect()}
+    nodes = nodes.withColumn("names", F.array("name")).withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
+    got = {r["k"]: r["merged"] for r in I.merge_to_centroids(nodes, "kind", "k", "name", "names", ["x", "y", "z"], {"thr": 0.2}).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}  # 4 is too far from the mean of 1 and 2
     cells = spark.createDataFrame([("g", 1, 1), ("g", 1, 2), ("g", 2, 2), ("g", 3, 9)], "g string, o long, c long")
     assert {r["o"]: r["first"] for r in I.assign_instances(cells, "g", "o", "c", 0.5).collect()} == {1: 1, 2: 1, 3: 3}
@@ -119,7 +120,8 @@ def test_clouds(spark, tmp_path):
     with pytest.raises(ValueError):
         files.decode_ply(b"ply\nformat ascii 1.0\nelement vertex 1\nproperty list uchar int x\nend_header\n")
     files.write_ply(files.read_points(spark, str(tmp_path / "d.ply")), str(tmp_path / "out"))
-    parts = sorted((tmp_path / "out").glob("*/part-*"))
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    assert len(parts) == 1
     again, _ = files.decode_points("x.ply", b"".join(p.read_bytes() for p in parts))
     assert (again == xyz).all()
 
@@ -143,3 +145,259 @@ def test_text_files(spark, tmp_path):
     assert sorted((r["annot_id"], r["point_idx"] or 0) for r in got.collect()) == [("u", 3), ("u", 4), ("v", 0)]
     files.route(got, F.col("point_idx") > 3, str(tmp_path / "kept"), str(tmp_path / "dropped"))
     assert spark.read.parquet(str(tmp_path / "kept")).count() == 1 and spark.read.parquet(str(tmp_path / "dropped")).count() == 2
+
+
+# ------------------------------------------------------------------ folds against plain versions
+def random_boxes(rng, n):
+    rows = []
+    for k in range(n):
+        x, y, w, h = rng.uniform(0, 30, 2).tolist() + rng.uniform(3, 12, 2).tolist()
+        rows.append((int(rng.integers(0, 3)), k, x, y, x + w, y + h, float(rng.integers(0, 20))))
+    return rows
+
+
+def plain_iou(a, b):
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    inter = max(w, 0) * max(h, 0)
+    return inter / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter)
+
+
+BOX = "frame int, k int, x0 double, y0 double, x1 double, y1 double, score double"
+
+
+def test_suppression_against_plain(spark):
+    rows = random_boxes(np.random.default_rng(4), 120)
+    want = set()
+    for f in range(3):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == f), key=lambda r: (-r[6], r[1])):
+            if all(plain_iou(r[2:6], o[2:6]) < 0.3 for o in kept):
+                kept.append(r)
+        want |= {r[1] for r in kept}
+    assert {r["k"] for r in I.suppress(spark.createDataFrame(rows, BOX), "frame", "k", 0.3).collect()} == want
+
+
+def test_cover_against_plain(spark):
+    rng = np.random.default_rng(5)
+    seen = {(int(f), int(n)) for f, n in rng.integers(0, 25, (120, 2))}
+    left, want = {n for _, n in seen}, []
+    while left:
+        gain = {f: len({n for g, n in seen if g == f} & left) for f in {f for f, _ in seen}}
+        best = min(gain, key=lambda f: (-gain[f], f))
+        want.append((len(want), best, gain[best]))
+        left -= {n for g, n in seen if g == best}
+    rows = spark.createDataFrame(sorted(seen), "frame int, node int")
+    assert [tuple(r) for r in I.set_cover(rows, "frame", "node").orderBy("pick").collect()] == want
+    assert [tuple(r) for r in I.set_cover(rows, "frame", "node", 2).orderBy("pick").collect()] == want[:2]
+
+
+@pytest.mark.parametrize("rule", [{"mode": "l2", "thr": 0.4}, {"mode": "l2_xy", "thr": 0.3}, {"mode": "weighted_l2", "thr": 0.5, "scale": (1, 2, 0.5)}, {"mode": "mahalanobis", "thr": 1.0}, {"mode": "axis", "axis_thr": (0.3, 0.3, 0.3), "also_l2": 0.4}, {"mode": "hybrid", "thr_xy": 0.35, "thr_z": 0.2}])
+def test_rollback_against_plain(spark, rule):
+    rng = np.random.default_rng(6)
+    at = rng.uniform(0, 1.5, (90, 3))
+    at[7] = np.nan
+    rows = [("t%d" % (k % 2), k, "n%d" % (k % 4), ["n%d" % (k % 4), "n%d" % (k % 7)], *at[k].tolist()) for k in range(90)]
+    cell = {"hybrid": 0.35, "axis": 0.3}.get(rule["mode"], rule.get("thr"))
+    want = {}
+    for t in ("t0", "t1"):
+        mine = [r for r in rows if r[0] == t and np.isfinite(r[4:]).all()]
+        inverse = np.linalg.inv(np.cov(np.array([r[4:] for r in mine]).T) + np.eye(3) * 1e-6)
+        found = []
+        for _, k, n, names, *p in mine:
+            p = np.array(p)
+            best = None
+            for a in found:
+                d = a["sum"] / a["n"] - p
+                near = all(abs(np.floor(a["at"] / cell) - np.floor(p / cell)) <= 1)
+                far = np.sqrt(d @ inverse @ d) if rule["mode"] == "mahalanobis" else np.linalg.norm(d)
+                ok = {
+                    "l2": far < rule.get("thr", 0), "l2_xy": np.linalg.norm(d[:2]) < rule.get("thr", 0), "mahalanobis": far < rule.get("thr", 0),
+                    "weighted_l2": np.linalg.norm(d / np.array(rule.get("scale", (1, 1, 1)))) < rule.get("thr", 0),
+                    "axis": (abs(d) < 0.3).all() and far < 0.4, "hybrid": np.linalg.norm(d[:2]) < 0.35 and abs(d[2]) < 0.2,
+                }[rule["mode"]]
+                if near and ok and (a["name"] == n or a["names"] & set(names)) and (best is None or far < best[0]):
+                    best = (far, a)
+            if best is None:
+                found.append({"k": k, "name": n, "names": set(names), "sum": p.copy(), "n": 1, "at": p})
+                want[k] = k
+            else:
+                a = best[1]
+                a["names"] |= set(names)
+                a["sum"] = a["sum"] + p
+                a["n"] += 1
+                want[k] = a["k"]
+    nodes = spark.createDataFrame(rows, "kind string, k long, name string, names array<string>, x double, y double, z double")
+    merged = I.merge_to_centroids(nodes, "kind", "k", "name", "names", ["x", "y", "z"], rule)
+    assert {r["k"]: r["merged"] for r in merged.collect()} == want
+    out = {r["node"]: r for r in I.merged_nodes(nodes, merged, "kind", "k", "names", ["x", "y", "z"]).collect()}
+    assert set(out) == set(want.values()) and sum(r["n_merged"] for r in out.values()) == 89 and all(r["name"] == r["names"][0] for r in out.values())
+
+
+@pytest.mark.parametrize("handles", [False, True])
+def test_instances_against_plain(spark, handles):
+    rng = np.random.default_rng(7)
+    obs = {o: (int(rng.integers(0, 2)), set(rng.integers(0, 25, int(rng.integers(2, 9))).tolist()), int(rng.integers(1, 30))) for o in range(80)}
+    want = {}
+    for g in (0, 1):
+        found = []
+        for o, (_, mine, area) in sorted((o, x) for o, x in obs.items() if x[0] == g):
+            best, score = None, -1.0
+            for i in found:
+                s = len(mine & i["rep"]) / min(len(mine), len(i["rep"]))
+                if s > score:
+                    best, score = i, s
+            if best is None or score < 0.5:
+                found.append({"first": o, "rep": mine, "obs": o, "area": area})
+                want[o] = [o, None]
+                continue
+            want[o] = [best["first"], None]
+            if handles and score >= 0.9 and area >= best["area"]:
+                want[o][1] = best["obs"]
+            elif handles and area < best["area"]:
+                if score >= 0.9:
+                    want[best["obs"]][1] = o
+                best.update(rep=mine, obs=o, area=area)
+    rows = [(g, o, c, a) for o, (g, cs, a) in obs.items() for c in cs]
+    cells = spark.createDataFrame(rows, "g int, o long, c int, area int")
+    got = I.assign_instances(cells, "g", "o", "c", 0.5, handles)
+    assert {r["o"]: [r["first"], r["dropped_by"]] for r in got.collect()} == want
+    ids = {r["first"]: r["instance"] for r in I.instance_ids(got).collect()}
+    assert [ids[f] for f in sorted(ids)] == list(range(1, len(ids) + 1))
+    assert {r["first"]: r["instance"] for r in I._ranked(got.select("first").distinct(), "first").collect()} == ids
+
+
+def test_guard_against_plain(spark):
+    rng = np.random.default_rng(8)
+    rows = [("a" if o % 2 else "b", o, p, *(rng.normal(o % 5, 0.02, 3)).tolist()) for o in range(30) for p in range(6)]
+    want = {}
+    for g in "ab":
+        clouds = []
+        for o in sorted({r[1] for r in rows if r[0] == g}):
+            mine = {}
+            for r in sorted(r for r in rows if r[1] == o):
+                mine.setdefault(tuple(np.floor(np.array(r[3:]) / 0.05).astype(int)), np.array(r[3:]))
+            c = np.mean(list(mine.values()), axis=0)
+            far = [np.linalg.norm(np.mean(list(x.values()), axis=0) - c) for x in clouds]
+            k = int(np.argmin(far)) if far and min(far) <= 0.5 else len(clouds)
+            if k == len(clouds):
+                clouds.append({})
+            for v, x in mine.items():
+                clouds[k].setdefault(v, x)
+            want[o] = "000" if k == 0 else f"000__b{k:02d}"
+    df = spark.createDataFrame(rows, "g string, o int, point int, x double, y double, z double")
+    got = I.guarded_instances(df, ["g"], "o", ["x", "y", "z"], 0.05, 0.5)
+    assert {r["o"]: r["id"] for r in got.select("o", I.branch_id(F.lit("000"), F.col("branch")).alias("id")).collect()} == want and len(set(want.values())) == 5
+
+
+@pytest.mark.parametrize("good_share", [0.4, 2.0])
+def test_frames_against_plain(spark, good_share):
+    rng = np.random.default_rng(9)
+    rows = [(f, n, *b[2:6], float(rng.uniform(0, 1)), float(rng.integers(0, 9))) for f in range(8) for n, b in enumerate(random_boxes(rng, 9))]
+    good = [r for r in rows if r[6] >= 0.6]
+    kept = set()
+    for f in range(8):
+        stay = []
+        for r in sorted((r for r in good if r[0] == f), key=lambda r: (-r[7], r[1])):
+            if all(plain_iou(r[2:6], o[2:6]) < 0.1 for o in stay):
+                stay.append(r)
+        kept |= {(f, r[1]) for r in stay}
+    share = {f: np.mean([r[6] >= 0.6 for r in rows if r[0] == f]) for f in range(8)}
+    eligible = {(f, n) for f, n in kept if share[f] >= good_share}
+    first = eligible or kept
+    left, chosen = {n for _, n in first}, {}
+    while left:
+        gain = {f: len({n for g, n in first if g == f} & left) for f, _ in first}
+        best = min(gain, key=lambda f: (-gain[f], f))
+        chosen[best] = 1
+        left -= {n for g, n in first if g == best}
+    nodes = {r[1] for r in good}
+    for n in sorted(nodes - {n for f, n in first if f in chosen}):
+        order = sorted((r for r in good if r[1] == n), key=lambda r: (-r[7], r[0]))
+        best = next((r[0] for r in order if (r[0], n) in kept), order[0][0])
+        chosen.setdefault(best, 2)
+    shown = {n for f, n in eligible if f in chosen} | {n for f, n in kept if f in chosen and f not in {g for g, _ in eligible}}
+    df = spark.createDataFrame(rows, "frame int, node int, x0 double, y0 double, x1 double, y1 double, vis double, score double")
+    got, covered = I.select_frames(df, "frame", "node", 0.1, good_share, 0.6)
+    assert {r["frame"]: r["phase"] for r in got.collect()} == chosen
+    assert {r["node"]: r["covered"] for r in covered.collect()} == {n: n in shown for n in nodes}
+
+
+def test_pool_against_plain(spark):
+    rng = np.random.default_rng(10)
+    rows = [(int(u), e, int(s), 1 - int(s)) for e, (u, s) in enumerate(zip(rng.integers(0, 9, 300), rng.integers(0, 2, 300), strict=True))]
+    want = {}
+    for u, e, s, r in rows:
+        a = want.setdefault(u, [0, 0, -1, True])
+        if a[3]:
+            a[0], a[1], a[2] = a[0] + s, a[1] + r, e
+            a[3] = a[1] - a[0] < pool.LEAD
+    df = spark.createDataFrame(rows, "user_id long, event_id long, support int, reject int")
+    assert {r["user_id"]: list(r)[1:] for r in pool.settle(df).collect()} == want
+
+
+def test_superpixels_against_plain(spark):
+    from voxelyard.operators import images as M
+
+    rng = np.random.default_rng(11)
+    h, w, wanted, compactness = 11, 13, 6, 8.0
+    lab = rng.uniform(0, 100, (h, w, 3)).round(3)
+    grad = np.zeros((h, w))
+    grad[:, 1:-1] += ((lab[:, 2:] - lab[:, :-2]) ** 2).sum(axis=2)
+    grad[1:-1] += ((lab[2:] - lab[:-2]) ** 2).sum(axis=2)
+    step = (h * w / wanted) ** 0.5
+    centres = []
+    for y in range(int(step / 2), h, int(step)):
+        for x in range(int(step / 2), w, int(step)):
+            best = min(((grad[i, j], (i, j) != (y, x), i, j) for i in range(max(0, y - 1), min(h, y + 2)) for j in range(max(0, x - 1), min(w, x + 2))))
+            centres.append([*lab[best[2], best[3]], best[3], best[2]])
+    label = -np.ones((h, w), int)
+    for _ in range(2):
+        far = np.full((h, w), np.inf)
+        for k, (a, b, c, x, y) in enumerate(centres):
+            for i in range(int(max(y - 2 * step, 0)), int(min(y + 2 * step + 1, h))):
+                for j in range(int(max(x - 2 * step, 0)), int(min(x + 2 * step + 1, w))):
+                    d = ((lab[i, j] - [a, b, c]) ** 2).sum() + ((j - x) ** 2 + (i - y) ** 2) * (compactness / step) ** 2
+                    if d ** 0.5 < far[i, j]:
+                        far[i, j], label[i, j] = d ** 0.5, k
+        for k in range(len(centres)):
+            i, j = np.nonzero(label == k)
+            if len(i):
+                centres[k] = [*lab[i, j].mean(axis=0), j.mean(), i.mean()]
+    px = spark.createDataFrame([(0, x, y, *lab[y, x].tolist()) for y in range(h) for x in range(w)], "image int, u int, v int, l double, a double, b double")
+    got = M.superpixels(px, "image", wanted, compactness, 2)
+    assert {(r["u"], r["v"]): r["label"] for r in got.collect()} == {(x, y): int(label[y, x]) for y in range(h) for x in range(w)}
+    grid = spark.createDataFrame([(0, x, y, int(c)) for y, line in enumerate(["00010", "01110", "22200"]) for x, c in enumerate(line)], "image int, u int, v int, label int")
+    regions = {(r["u"], r["v"]): r["region"] for r in M.connected(grid, "image", "label", 3).collect()}
+    assert ["".join(str(regions[x, y]) for x in range(5)) for y in range(3)] == ["00012", "01112", "33322"]
+    small = {(r["u"], r["v"]): r["region"] for r in M.connected(grid, "image", "label", 4).collect()}
+    assert ["".join(str(small[x, y]) for x in range(5)) for y in range(3)] == ["00012", "01112", "11122"]
+
+
+def test_models(spark):
+    from voxelyard.operators import models
+
+    def masks():
+        areas = {"door handle": 50, "rotate door handle": 20, "knob": 7}
+        return lambda b: pd.DataFrame([(k, p, 0, 0.9, areas.get(p.lower(), 0), [1, 2]) for k, p in zip(b["key"], b["prompt"], strict=True)], columns=["key", "prompt", "item", "score", "area", "pixels"])
+
+    prompts = spark.createDataFrame([("a", "Door handle"), ("a", "knob"), ("b", "lamp")], "key string, prompt string")
+    assert {(r["key"], r["prompt"], r["used"], r["area"]) for r in models.segmented(prompts, masks).collect()} == {("a", "Door handle", "rotate door handle", 20), ("a", "knob", "knob", 7), ("b", "lamp", "lamp", 0)}
+
+    def video():
+        return lambda b: pd.DataFrame([(k, s, f, j, 5 if f >= 2 else 0, [j]) for k, s, fs in zip(b["key"], b["seed"], b["frames"], strict=True) for f in fs for j in (0, 1)], columns=["key", "seed", "frame", "k", "area", "pixels"])
+
+    seeds = spark.createDataFrame([("v", 3, "door")], "key string, seed long, prompt string")
+    frames = spark.createDataFrame([("v", f) for f in (2, 1, 4)], "key string, frame long")
+    assert sorted((r["frame"], r["object"]) for r in models.tracked(seeds, frames, video).collect()) == [(2, 3000), (2, 3001), (4, 3000), (4, 3001)]
+
+    def answers():
+        said = {
+            1: 'Sure {"candidates": [{"id": 2, "name": "knob", "type": "a", "score": 3}, {"id": 1, "name": "door", "type": "o", "score": 0.4}, {"id": 9, "name": "x", "type": "o"}]}',
+            2: '{"choice": {"id": "1", "name": "door", "type": "o"}, "score": 0.7}', 3: "nothing", 4: '{"choice": {"id": 1, "name": "gate", "type": "o"}}',
+        }
+        return lambda b: pd.DataFrame({"query": b["query"], "answer": [said[q] for q in b["query"]]})
+
+    asked = spark.createDataFrame([(1, "t", ["x"], False), (2, "t", ["x"], True), (3, "t", ["Red_Door"], False), (4, "t", ["zzz"], True)], "query long, text string, objects array<string>, spatial boolean")
+    nodes = spark.createDataFrame([(1, "door", "o"), (2, "knob", "a")], "id long, name string, type string")
+    got = {(r["query"], r["id"], None if r["score"] is None else round(r["score"], 3), r["rank"], r["source"], r["error"]) for r in models.grounded(asked, nodes, answers).collect()}
+    assert got == {(1, 2, 1.0, 1, "model", None), (1, 1, 0.4, 2, "model", None), (2, 1, 0.7, 1, "model", None), (3, 1, 0.55, 1, "name", "no object"), (4, None, None, None, None, "no valid answer")}

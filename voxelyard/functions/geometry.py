@@ -16,9 +16,9 @@ def wilson_lower(k: Column, n: Column, z: float = 1.96) -> Column:
 
 
 def project(x: Column, y: Column, z: Column, fx, fy, cx, cy) -> tuple[Column, Column]:
-    """Pixel of a point in camera axes; depth is floored in single precision, halves go to even."""
+    """Pixel of a point in camera axes; depth is floored in single precision, halves go to even. Null where it isn't finite."""
     d = F.greatest(z.cast("float").cast("double"), F.lit(1e-6))
-    return F.rint(x * fx / d + cx).cast("long"), F.rint(y * fy / d + cy).cast("long")
+    return F.rint(x * fx / d + cx).try_cast("long"), F.rint(y * fy / d + cy).try_cast("long")
 
 
 def inside(u: Column, v: Column, z: Column, w, h) -> Column:
@@ -43,6 +43,18 @@ def invert_rigid(t: list) -> list:
     return [*out, 0.0, 0.0, 0.0, 1.0]
 
 
+def invert_general(t: list) -> list:
+    """Inverse of an affine 4x4 matrix in row order whose 3x3 part need not be a rotation, by its adjugate."""
+    m = [[t[4 * i + j] for j in range(3)] for i in range(3)]
+    minor = lambda i, j: m[(i + 1) % 3][(j + 1) % 3] * m[(i + 2) % 3][(j + 2) % 3] - m[(i + 1) % 3][(j + 2) % 3] * m[(i + 2) % 3][(j + 1) % 3]
+    det = m[0][0] * minor(0, 0) + m[0][1] * minor(0, 1) + m[0][2] * minor(0, 2)
+    out = []
+    for i in range(3):
+        r = [minor(j, i) / det for j in range(3)]
+        out += [*r, -(r[0] * t[3] + r[1] * t[7] + r[2] * t[11])]
+    return [*out, 0.0, 0.0, 0.0, 1.0]
+
+
 def rodrigues(ax: Column, ay: Column, az: Column) -> list[Column]:
     """Rotation matrix, row by row, of an angle-axis vector; the identity below 1e-12."""
     a = F.sqrt(ax * ax + ay * ay + az * az)

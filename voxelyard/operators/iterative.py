@@ -8,7 +8,7 @@ import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelyard.functions.text import SYNONYMS
@@ -90,12 +90,13 @@ def largest_cluster_centroids(points: DataFrame, key: str, axes: list[str], eps:
     return each.select(*[F.col("group")[x].alias(x) for x in within], *[(centre[x] / centre["n"]).cast("float").alias(x) for x in axes], F.col("whole.n").alias("num_points"), "num_clusters", most.alias("largest_cluster_points"), (most / F.col("whole.n")).alias("largest_cluster_ratio"), "noise_points")
 
 
-def set_cover(seen: DataFrame, frame: str, node: str) -> DataFrame:
-    """(pick, frame, gain) of the greedy cover: most uncovered nodes first, the smallest frame on ties.
+def set_cover(seen: DataFrame, frame: str, node: str, most: int = 0) -> DataFrame:
+    """(pick, frame, gain) of the greedy cover: most uncovered nodes first, the smallest frame on ties; ``most`` picks
+    at most, unless that is 0.
     The driver sees one row a round, and there are at most as many rounds as nodes."""
     left = cut(seen.select(frame, node).distinct())
     spark, kind, picks = seen.sparkSession, seen.schema[frame].dataType.simpleString(), []
-    while best := left.groupBy(frame).agg(F.count(F.lit(1)).alias("gain")).orderBy(F.desc("gain"), frame).first():
+    while not (most and len(picks) >= most) and (best := left.groupBy(frame).agg(F.count(F.lit(1)).alias("gain")).orderBy(F.desc("gain"), frame).first()):
         picks.append((len(picks), best[frame], best["gain"]))
         left = cut(left.join(left.filter(F.col(frame) == F.lit(best[frame])).select(node), node, "left_anti").select(frame, node))
     return spark.createDataFrame(picks, f"pick long, {frame} {kind}, gain long")
@@ -146,51 +147,231 @@ def greedy_match(pairs: DataFrame, group: str, pred: str, gt: str, least: float)
     return pairs.groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, {pred} {kinds[pred]}, {gt} {kinds[gt]}, iou double")
 
 
-def merge_to_centroids(nodes: DataFrame, kind: str, key: str, name: str, axes: list[str], eps: float) -> DataFrame:
-    """(kind, key, merged): nodes of a kind, by key, join the nearest centroid of their name closer than
-    eps, the earliest on ties, or found one; a centroid is the mean of its members. merged is the founder's key."""
+MODES = ("l2", "l2_xy", "weighted_l2", "mahalanobis", "axis", "hybrid")
+
+
+def close_enough(p: np.ndarray, q: np.ndarray, rule: dict, inverse: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Whether points p are near q by a rule {mode, ...}, and the distance by which the nearest is chosen: l2 and l2_xy below
+    thr; weighted_l2 with each axis divided by its scale; mahalanobis with the inverse covariance; axis below
+    axis_thr on each axis and, if also_l2 is set, below that in all; hybrid below thr_xy in the plane and thr_z in height."""
+    d = p - q
+    flat, plane = np.linalg.norm(d, axis=1), np.linalg.norm(d[:, :2], axis=1)
+    mode, thr = rule.get("mode", "l2"), rule.get("thr", 0.5)
+    if mode == "mahalanobis":
+        far = np.sqrt(np.einsum("ij,jk,ik->i", d, inverse, d))
+        return far < thr, far
+    if mode == "l2":
+        return flat < thr, flat
+    if mode == "l2_xy":
+        return plane < thr, flat
+    if mode == "weighted_l2":
+        return np.linalg.norm(d / np.array(rule.get("scale", (1.0, 1.0, 1.0))), axis=1) < thr, flat
+    if mode == "axis":
+        ok = (np.abs(d) < np.array(rule.get("axis_thr", (0.3, 0.3, 0.3)))).all(axis=1)
+        return ok & (flat < rule["also_l2"]) if rule.get("also_l2") is not None else ok, flat
+    if mode == "hybrid":
+        return (plane < rule.get("thr_xy", 0.35)) & (np.abs(d[:, 2]) < rule.get("thr_z", 0.2)), flat
+    raise ValueError(f"an unknown mode: {mode}")
+
+
+def inverse_covariance(points: np.ndarray, eps: float = 1e-6) -> np.ndarray:
+    """Of the sample covariance with eps on its diagonal; the unit matrix for fewer than two points."""
+    return np.linalg.inv(np.cov(points.T) + np.eye(points.shape[1]) * eps) if len(points) > 1 else np.eye(points.shape[1])
+
+
+def merge_to_centroids(nodes: DataFrame, kind: str, key: str, name: str, names: str, axes: list[str], rule: dict) -> DataFrame:
+    """(kind, key, merged): nodes of a kind, by key, join the nearest centroid that close_enough() allows and that has
+    their name, or one of their names among those of its members, the earliest on ties, or found one. A centroid is
+    the mean of its members, and is looked up in the grid cell where it was founded and the cells around. Nodes
+    without a finite position are left out. merged is the founder's key."""
+    cell = rule.get("cell") or max(1e-6, {"hybrid": max(rule.get("thr_xy", 0.35), rule.get("thr_z", 0.2)), "axis": max(rule.get("axis_thr", (0.3, 0.3, 0.3)))}.get(rule.get("mode", "l2"), rule.get("thr", 0.5)))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key, ignore_index=True)
-        centres: dict = {}
-        merged = []
-        for k, n, p in zip(rows[key], rows[name], rows[axes].to_numpy(float), strict=True):
-            mine = centres.setdefault(n, [])
-            far = [float(np.linalg.norm(c - p)) for _, c, _ in mine]
-            best = int(np.argmin(far)) if far else -1
-            if best >= 0 and far[best] < eps:
-                founder, c, size = mine[best]
-                mine[best] = (founder, c + (p - c) / (size + 1), size + 1)
-                merged.append(founder)
-            else:
-                mine.append((k, p, 1))
+        at = rows[axes].to_numpy(float)
+        rows, at = rows[np.isfinite(at).all(axis=1)].reset_index(drop=True), at[np.isfinite(at).all(axis=1)]
+        inverse = inverse_covariance(at, rule.get("maha_eps", 1e-6)) if rule.get("mode") == "mahalanobis" and len(at) else None
+        grid: dict[tuple, list[int]] = {}
+        founder, own, known, total, size, merged = [], [], [], [], [], []
+        for k, n, also, p, c in zip(rows[key], rows[name], rows[names], at, np.floor(at / cell).astype(int).tolist(), strict=True):
+            also = set(also) if also is not None and len(also) else {n}
+            around = [(c[0] + i, c[1] + j, c[2] + h) for i in (-1, 0, 1) for j in (-1, 0, 1) for h in (-1, 0, 1)]
+            near = [g for x in around for g in grid.get(x, ()) if own[g] == n or also & known[g]]
+            best = None
+            if near:
+                ok, far = close_enough(np.array([total[g] / size[g] for g in near]), p, rule, inverse)
+                if ok.any():
+                    best = min((f, g) for o, f, g in zip(ok.tolist(), far.tolist(), near, strict=True) if o)[1]
+            if best is None:
+                grid.setdefault(tuple(c), []).append(len(founder))
+                founder.append(k)
+                own.append(n)
+                known.append(set(also))
+                total.append(p.copy())
+                size.append(1)
                 merged.append(k)
+            else:
+                known[best] |= also
+                total[best] = total[best] + p
+                size[best] += 1
+                merged.append(founder[best])
         return pd.DataFrame({kind: rows[kind], key: rows[key], "merged": merged})
 
     kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
-    return nodes.select(kind, key, name, *axes).groupBy(kind).applyInPandas(fold, f"{kind} {kinds[kind]}, {key} {kinds[key]}, merged {kinds[key]}")
+    return nodes.select(kind, key, name, names, *axes).groupBy(kind).applyInPandas(fold, f"{kind} {kinds[kind]}, {key} {kinds[key]}, merged {kinds[key]}")
+
 
+def merged_nodes(nodes: DataFrame, merged: DataFrame, kind: str, key: str, names: str, axes: list[str]) -> DataFrame:
+    """(kind, node, n_merged, name, names, axes): a row for each founder: all names, sorted, the first as its name, and the
+    mean position of its members."""
+    both = nodes.join(merged.select(kind, key, "merged"), [kind, key])
+    out = both.groupBy(kind, F.col("merged").alias("node")).agg(F.count(F.lit(1)).alias("n_merged"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(names)))).alias(names), *[F.avg(x).alias(x) for x in axes])
+    return out.withColumn("name", out[names][0])
 
-def assign_instances(cells: DataFrame, group: str, obs: str, cell: str, least: float) -> DataFrame:
-    """(group, obs, first): observations of a group, by obs, join the instance whose cells contain most of
-    the smaller set, the earliest on ties, if that share is `least` or more; first is the founder's obs."""
+
+def assign_instances(cells: DataFrame, group: str, obs: str, cell: str, least: float, handles: bool = False, suppress_at: float = 0.9) -> DataFrame:
+    """(group, obs, first, dropped_by): observations of a group, by obs, join the instance whose representative's cells
+    contain most of the smaller set, the earliest on ties, if that share is ``least`` or more; first is the founder's
+    obs. An instance's representative is its founder. With ``handles`` (cells have an ``area``) it is the
+    observation of least area: one that overlaps it by suppress_at drops it if it is smaller, and is dropped
+    itself if not; dropped_by says by which. An index of cells leads to the instances that share any."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        found, out = [], []
-        for o, c in rows.groupby(obs, sort=True)[cell]:
-            mine = set(c)
-            share = [len(mine & have) / min(len(mine), len(have)) for _, have in found]
-            best = int(np.argmax(share)) if share else -1
-            if best >= 0 and share[best] >= least:
-                found[best][1].update(mine)
+        founder, rep, area, mine_of = [], [], [], []
+        index: dict = {}
+        out, by = [], {}
+
+        def stand(i: int, o, cells_: set, size) -> None:
+            for c in mine_of[i]:
+                index[c].discard(i)
+            for c in cells_:
+                index.setdefault(c, set()).add(i)
+            rep[i], area[i], mine_of[i] = o, size, cells_
+
+        for o, part in rows.groupby(obs, sort=True):
+            mine, size = set(part[cell]), part["area"].iloc[0] if handles else 0
+            hits: dict[int, int] = {}
+            for c in mine:
+                for i in index.get(c, ()):
+                    hits[i] = hits.get(i, 0) + 1
+            share, best = max(((n / min(len(mine), len(mine_of[i])), -i) for i, n in hits.items()), default=(0.0, 0))
+            best = -best
+            if not hits and founder and least <= 0:
+                best = 0
+            if founder and share >= least and (hits or least <= 0):
+                if handles and share >= suppress_at:
+                    if size < area[best]:
+                        by[rep[best]] = o
+                        stand(best, o, mine, size)
+                    else:
+                        by[o] = rep[best]
+                elif handles and size < area[best]:
+                    stand(best, o, mine, size)
             else:
-                best = len(found)
-                found.append((o, mine))
-            out.append((rows[group].iloc[0], o, found[best][0]))
-        return pd.DataFrame(out, columns=[group, obs, "first"])
+                best = len(founder)
+                founder.append(o)
+                rep.append(None)
+                area.append(None)
+                mine_of.append(set())
+                stand(best, o, mine, size)
+            out.append((rows[group].iloc[0], o, founder[best]))
+        done = pd.DataFrame(out, columns=[group, obs, "first"])
+        done["dropped_by"] = pd.array([by.get(o) for o in done[obs]], dtype="Int64")
+        return done
 
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
-    return cells.select(group, obs, cell).groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, {obs} {kinds[obs]}, first {kinds[obs]}")
+    return cells.select(group, obs, cell, *(["area"] if handles else [])).groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, {obs} {kinds[obs]}, first {kinds[obs]}, dropped_by {kinds[obs]}")
+
+
+def instance_ids(assigned: DataFrame, first: str = "first") -> DataFrame:
+    """assigned with ``instance`` from 1, in the order in which founders came, over all groups."""
+    ids = assigned.select(first).distinct()
+    n = ids.count()
+    w = Window.orderBy(first)
+    return assigned.join(ids.withColumn("instance", F.row_number().over(w)) if n <= 1_000_000 else _ranked(ids, first), first)
+
+
+def _ranked(ids: DataFrame, key: str) -> DataFrame:
+    """Ranks by ranges: each range is numbered on its own, after the counts of those before."""
+    parts = cut(ids.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
+    counts, before, base = parts.groupBy("_p").count().collect(), {}, 0
+    for r in sorted(counts, key=lambda r: r["_p"]):
+        before[r["_p"]] = base
+        base += r["count"]
+    bases = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
+    return parts.withColumn("instance", F.row_number().over(Window.partitionBy("_p").orderBy(key)) + bases[F.col("_p")]).drop("_p")
+
+
+def guarded_instances(clouds: DataFrame, group: list[str], obs: str, axes: list[str], voxel: float, split: float) -> DataFrame:
+    """(group, obs, branch, distance): observations of a group that reuse one instance id, by obs, join the branch whose
+    centroid is nearest, the earliest on ties, if it is ``split`` away at most, or open the next branch (0 is the
+    id itself). A centroid is the mean of a branch's points, the first of each voxel only."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        branches: list[dict] = []
+        out = []
+        for o, part in rows.sort_values([obs, "point"]).groupby(obs, sort=True):
+            p = part[axes].to_numpy(float)
+            keys = [tuple(k) for k in np.floor(p / voxel).astype(int).tolist()]
+            mine: dict = {}
+            for k, x in zip(keys, p, strict=True):
+                mine.setdefault(k, x)
+            centre = np.mean(list(mine.values()), axis=0)
+            far = [float(np.linalg.norm(np.mean(list(b.values()), axis=0) - centre)) for b in branches]
+            best = int(np.argmin(far)) if far else -1
+            distance = far[best] if far else 0.0
+            if best < 0 or distance > split:
+                best = len(branches)
+                branches.append({})
+            for k, x in mine.items():
+                branches[best].setdefault(k, x)
+            out.append((*(rows[c].iloc[0] for c in group), o, best, distance))
+        return pd.DataFrame(out, columns=[*group, obs, "branch", "distance"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in clouds.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*group, obs]) + ", branch int, distance double"
+    return clouds.select(*group, obs, "point", *axes).groupBy(*group).applyInPandas(fold, schema)
+
+
+def branch_id(base: Column, branch: Column) -> Column:
+    """000 for branch 0, then 000__b01, 000__b02 and so on."""
+    return F.when(branch == 0, base).otherwise(F.concat(base, F.lit("__b"), F.lpad(branch.cast("string"), 2, "0")))
+
+
+def sampled(rows: DataFrame, keys: list[str], unique: str, most: int, seed: int = 0) -> DataFrame:
+    """At most so many rows of each key, chosen by hash, so that a run's choice is every run's."""
+    w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), unique), unique)
+    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
+
+
+def select_frames(seen: DataFrame, frame: str, node: str, overlap: float, good_share: float, least_visible: float, ensure: bool = True, most: int = 0, most_extra: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Frames that show all nodes that can be shown, from rows (frame, node, x0, y0, x1, y1, vis, score) of nodes with enough
+    points in a frame. Returns (frame, phase) and (node, covered): nodes that no frame shows well are in neither.
+
+    Nodes visible by least_visible are good; a frame is eligible if good_share of its nodes are. Of a frame's good boxes
+    those that survive suppression cover their nodes. Phase 1 is the greedy cover by eligible frames, or by any
+    if none is; phase 2 takes, for each node still uncovered and in their order, its best frame in which it
+    survives, or its best frame."""
+    good = cut(seen.filter(F.col("vis") >= least_visible))
+    share = seen.groupBy(frame).agg(F.avg((F.col("vis") >= least_visible).cast("int")).alias("share"))
+    kept = cut(suppress(good.select(frame, node, "x0", "y0", "x1", "y1", "score"), frame, node, overlap).select(frame, node))
+    eligible = cut(kept.join(share.filter(F.col("share") >= good_share).select(frame), frame, "left_semi"))
+    first = eligible if eligible.limit(1).count() else kept
+    phase1 = set_cover(first, frame, node, most).select(frame).withColumn("phase", F.lit(1))
+    nodes = good.select(node).distinct()
+    covered = first.join(phase1.select(frame), frame, "left_semi").select(node).distinct()
+    chosen = phase1
+    if ensure:
+        alive = kept.withColumn("alive", F.lit(1))
+        left = good.join(nodes.join(covered, node, "left_anti"), node, "left_semi").join(alive, [frame, node], "left").withColumn("alive", F.coalesce("alive", F.lit(0)))
+        best = left.withColumn("_r", F.row_number().over(Window.partitionBy(node).orderBy(F.col("alive").desc(), F.col("score").desc(), F.col(frame).asc()))).filter("_r = 1")
+        new = best.join(phase1.select(frame), frame, "left_anti").groupBy(frame).agg(F.min(node).alias(node))  # a frame counts for its first node
+        if most_extra > 0:
+            new = new.orderBy(node).limit(most_extra)
+        chosen = cut(phase1.unionByName(new.select(frame, F.lit(2).alias("phase"))))
+        shown = eligible.unionByName(kept.join(eligible.select(frame).distinct(), frame, "left_anti"))
+        covered = shown.join(chosen.select(frame), frame, "left_semi").select(node).distinct()
+    return chosen, nodes.join(covered.withColumn("covered", F.lit(True)), node, "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
 
 
 def name_map(shape: dict) -> dict[str, str]:

@@ -16,6 +16,11 @@ def merge(nodes: DataFrame, node: str, edges: DataFrame, *aggregates: Column) ->
     return with_components(nodes, node, edges).groupBy(F.col("component").alias(node)).agg(F.count(F.lit(1)).alias("members"), *aggregates)
 
 
+def all_names(names: str) -> Column:
+    """The distinct names of merged nodes, sorted; a node has a few."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(names))))
+
+
 def union_points(sets: DataFrame, node: str, point: str, edges: DataFrame) -> DataFrame:
     """(node, members, n_points, observations) of merged nodes; sets has a row for each observation of a
     point. Points are made distinct by the shuffle that counts them; a component's are never in one row."""

@@ -30,7 +30,8 @@ def overlap_components(spark, d):
 e AS (SELECT s.vec_id AS a, t.vec_id AS b FROM p s JOIN p t ON s.label = t.label AND (s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2 < {EPS} * {EPS}),
 k AS (SELECT a FROM e GROUP BY 1 HAVING count(*) >= {LEAST}), c AS (SELECT a, b FROM e WHERE a IN (FROM k) AND b IN (FROM k)),
 r AS (SELECT a, a AS seen FROM k UNION SELECT r.a, c.b FROM r JOIN c ON c.a = r.seen), n AS (SELECT a, min(seen) AS cluster FROM r GROUP BY 1)
-SELECT a AS vec_id, TRUE AS core, cluster FROM n UNION ALL SELECT e.a, FALSE, min(cluster) FROM e JOIN n ON n.a = e.b WHERE e.a NOT IN (FROM k) GROUP BY 1""")
+SELECT a AS vec_id, TRUE AS core, cluster FROM n UNION ALL SELECT e.a, FALSE, min(cluster) FROM e JOIN n ON n.a = e.b WHERE e.a NOT IN (FROM k) GROUP BY 1
+UNION ALL SELECT vec_id, FALSE, min(vec_id) OVER (PARTITION BY label) FROM p WHERE label NOT IN (SELECT label FROM p JOIN k ON k.a = vec_id)""")
 def dbscan_clusters(spark, d):
     return I.instances(_points(spark, d), "vec_id", XYZ, EPS, LEAST, ("label",))
 
@@ -58,15 +59,20 @@ def _match_pairs(spark, d):
     return pair.join(score, "node").select((F.col("gt") % 5).alias("scene"), "node", "gt", "score", (F.col("inter") / (F.col("n_gt") + F.col("n_node") - F.col("inter"))).alias("iou"))
 
 
-@query()
-def coco_greedy_match(spark, d):
-    return I.greedy_match(_match_pairs(spark, d), "scene", "node", "gt", 0.1).withColumn("iou", F.round("iou", 6))
+RULE = {"mode": "hybrid", "thr_xy": 0.15, "thr_z": 0.1}
+
+
+def _named(spark, d):
+    n = F.col("vec_id") % 5
+    return _points(spark, d).withColumns({"name": F.concat(F.lit("n"), n.cast("string")), "names": F.array(F.concat(F.lit("n"), n.cast("string")), F.concat(F.lit("n"), (n * 2 % 7).cast("string")))})
 
 
 @query()
 def rollback_merge(spark, d):
-    nodes = _points(spark, d).withColumn("name", F.concat(F.lit("n"), (F.col("vec_id") % 3).cast("string")))
-    return I.merge_to_centroids(nodes, "label", "vec_id", "name", XYZ, 0.2)
+    nodes = _named(spark, d)
+    merged = I.merge_to_centroids(nodes, "label", "vec_id", "name", "names", XYZ, RULE)
+    out = I.merged_nodes(nodes, merged, "label", "vec_id", "names", XYZ)
+    return out.select("label", "node", "n_merged", "name", F.array_join("names", ",").alias("names"), *[F.round(x, 6).alias(x) for x in XYZ])
 
 
 @query()
@@ -75,6 +81,39 @@ def incremental_assign(spark, d):
     return I.assign_instances(cells, "l_suppkey", "l_orderkey", "cell", 0.5)
 
 
+@query()
+def handle_instances(spark, d):
+    cells = read(spark, d, "lineitem").select("l_suppkey", "l_orderkey", (F.col("l_partkey") % 200).alias("cell"), (F.col("l_orderkey") * 7 % 50).alias("area")).distinct()
+    return I.instance_ids(I.assign_instances(cells, "l_suppkey", "l_orderkey", "cell", 0.4, True))
+
+
+@query()
+def instance_guard(spark, d):
+    clouds = _points(spark, d).select("label", (F.col("vec_id") % 40).alias("obs"), F.col("vec_id").alias("point"), *XYZ)
+    g = I.guarded_instances(clouds, ["label"], "obs", XYZ, 0.05, 0.25)
+    return g.select("label", "obs", I.branch_id(F.lit("000"), F.col("branch")).alias("inst_id"), F.round("distance", 6).alias("distance"))
+
+
+def _seen(spark, d):
+    li = read(spark, d, "lineitem").select((F.col("l_orderkey") % 60).alias("frame"), (F.col("l_suppkey") % 40).alias("node"), F.col("l_partkey"), "l_quantity", "l_discount")
+    box = li.groupBy("frame", "node").agg(F.min(F.col("l_partkey") % 100).cast("double").alias("x0"), F.min(F.col("l_partkey") % 70).cast("double").alias("y0"), F.max("l_quantity").alias("w"), F.max("l_discount").alias("v"), F.sum("l_quantity").alias("score"))
+    return box.select("frame", "node", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("w")).alias("y1"), (F.col("v") * 10).alias("vis"), "score")
+
+
+@query()
+def selected_frames(spark, d):
+    chosen, nodes = I.select_frames(_seen(spark, d), "frame", "node", 0.3, 0.8, 0.9)
+    return chosen.select(F.col("frame").alias("id"), F.concat(F.lit("frame "), F.col("phase").cast("string")).alias("what")).unionByName(nodes.select(F.col("node").alias("id"), F.when(F.col("covered"), "covered").otherwise("uncovered").alias("what")))
+
+
+_SAMPLE = 3
+
+
+@query()
+def sampled_points(spark, d):
+    return I.sampled(_points(spark, d), ["label"], "vec_id", _SAMPLE).select("label", "vec_id")
+
+
 @query()
 def pool_support_reject(spark, d):
     e = read(spark, d, "events").select("user_id", "event_id", (F.col("event_type") == "view").cast("int").alias("support"), (F.col("event_type") == "error").cast("int").alias("reject"))

@@ -78,15 +78,6 @@ def oracle_micro_macro(spark, d):
     return out(m, "micro").unionByName(out(s, "macro"))
 
 
-@query(f"WITH {_BEST}, o AS (SELECT node, max(inter / n_node) AS share FROM q GROUP BY 1), a AS (SELECT node, coalesce(share, 0) AS share FROM nn LEFT JOIN o USING (node)) SELECT count(*) AS valid, count(*) FILTER (WHERE share >= 0.25) AS success, round(avg(share), 6) AS mean_share FROM a")
-def node_overlap_success(spark, d):
-    gt, node = _gt_and_nodes(spark, d)
-    sizes = R.set_sizes(node, "node", "n_node")
-    best = R.shared_points(gt, node, "l_partkey", "gt", "node").groupBy("node").agg(F.max("inter").alias("inter"))
-    a = sizes.join(best, "node", "left").select((F.coalesce("inter", F.lit(0)) / F.col("n_node")).alias("share"))
-    return a.agg(F.count(F.lit(1)).alias("valid"), F.count_if(F.col("share") >= 0.25).alias("success"), F.round(F.avg("share"), 6).alias("mean_share"))
-
-
 _EDGES = """s AS (SELECT DISTINCT l_suppkey AS n, l_partkey AS p FROM lineitem), z AS (SELECT n, count(*) c FROM s GROUP BY 1),
 e AS (SELECT x.n AS a, y.n AS b, count(*) AS inter FROM s x JOIN s y ON x.p = y.p AND x.n < y.n GROUP BY 1, 2 HAVING count(*) >= 160),
 edges AS (SELECT a, b, inter, inter / least(u.c, v.c) AS ratio FROM e JOIN z u ON u.n = a JOIN z v ON v.n = b WHERE inter / least(u.c, v.c) >= 0.30)"""
@@ -221,12 +212,6 @@ def grid_neighbors(spark, d):
     return R.grid_pairs(p, "vec_id", ["x0", "x1", "x2"], 0.05).select("a", "b", six(F.col("d2"), "d2"))
 
 
-@query("SELECT label, " + ", ".join(f"round(covar_samp(embedding[{i}]::DOUBLE, embedding[{j}]::DOUBLE), 6) AS c{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j) + " FROM embeddings GROUP BY 1")
-def covariance_mahalanobis(spark, d):
-    x = [F.col("embedding")[i].cast("double") for i in range(3)]
-    return read(spark, d, "embeddings").groupBy("label").agg(*[F.round(F.covar_samp(x[i], x[j]), 6).alias(f"c{i + 1}{j + 1}") for i in range(3) for j in range(i, 3)])
-
-
 # ------------------------------------------------------------------ joins of nodes and frames
 @query("SELECT c_custkey, s_suppkey, round(dist, 2) AS dist FROM (SELECT c_custkey, s_suppkey, abs(c_acctbal - s_acctbal) AS dist, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) r FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey) WHERE r = 1")
 def nearest_parent(spark, d):
@@ -332,12 +317,3 @@ def json_props(spark, d):
 @query("SELECT p_partkey, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(p_brand || '|' || p_type, ''), lambda c: ord(c)::BIGINT)), lambda h, x: ((xor(h, x)::HUGEINT * 16777619) % 4294967296)::BIGINT) AS hash FROM part")
 def fnv_color(spark, d):
     return read(spark, d, "part").select("p_partkey", T.fnv1a(F.concat_ws("|", "p_brand", "p_type")).alias("hash"))
-
-
-@query("WITH q AS (SELECT DISTINCT split_part(p_type, ' ', 1) AS word FROM part), s AS (SELECT word, p_partkey, CASE WHEN lower(p_name) = lower(word) THEN 1.0 WHEN contains(lower(p_name), lower(substr(word, 1, 3))) THEN 0.85 ELSE 0.0 END::DOUBLE AS score FROM q, part) SELECT word, p_partkey, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, p_partkey) AS rank FROM s WHERE score > 0) WHERE rank <= 3")
-def topk_candidates(spark, d):
-    part = read(spark, d, "part")
-    words = part.select(F.split("p_type", " ")[0].alias("word")).distinct()  # a handful: the vocabulary of types
-    name, word = F.lower("p_name"), F.lower("word")
-    s = part.select("p_partkey", "p_name").join(words, F.contains(F.lower("p_name"), F.lower(F.substring("word", 1, 3)))).withColumn("score", F.when(name == word, 1.0).otherwise(0.85))
-    return R.top_k(s, ["word"], [F.col("score").desc(), F.col("p_partkey").asc()], 3).select("word", "p_partkey", "score", F.col("rank").cast("long").alias("rank"))
