@@ -1,5 +1,8 @@
 """Scene queries against their SQL, and literal cases of the functions."""
 
+import itertools
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +136,43 @@ def test_zbuffer_has_one_winner_whatever_the_partitions(spark):
     for n in (1, 3):
         got = R.nearest(df.repartition(n), ["f", "px"], [F.col("z").asc(), F.col("p").asc()])
         assert sorted((r["px"], r["p"]) for r in got.collect()) == [(1, 3), (2, 9)]
+
+
+@pytest.mark.parametrize("dense,block,tile", [(3000, 400_000, 1 << 22), (3000, 50, 100), (5, 60, 40), (0, 400_000, 1 << 22)])
+def test_pair_counts_by_matrix_and_one_by_one(spark, monkeypatch, dense, block, tile):
+    """The limits change how pairs are counted, not what is counted."""
+    rng = random.Random(3)
+    sets = sorted({(rng.randrange(30), min(rng.randrange(40), rng.randrange(40))) for _ in range(500)})
+    want = {}
+    for p in range(40):
+        nodes = [n for n, q in sets if q == p]
+        for a, b in itertools.combinations(nodes, 2):
+            want[a, b] = want.get((a, b), 0) + 1
+    for name, value in (("DENSE", dense), ("BLOCK", block), ("TILE", tile)):
+        monkeypatch.setattr(R, name, value)
+    rows = spark.createDataFrame(sets, "n long, p int")
+    for point in (F.col("p"), F.struct("p", (F.col("p") * 2).alias("q"))):
+        got = R.pair_counts(rows.select("n", point.alias("x")), "n", "x").collect()
+        assert {(r["a"], r["b"]): r["inter"] for r in got} == want
+    assert R.pair_counts(rows.filter("n < 0"), "n", "p").count() == 0
+
+
+def test_nearest_on_axis_against_plain(spark):
+    rng = random.Random(4)
+    left = [(k, rng.randrange(3), float(rng.randrange(30))) for k in range(60)]
+    right = [(k, rng.randrange(2), float(rng.randrange(30))) for k in range(25)]
+    want = {k: min(((abs(x - y), j) for j, h, y in right if h == g), default=(None, None)) for k, g, x in left}
+    got = R.nearest_on_axis(spark.createDataFrame(left, "row int, g int, x double"), spark.createDataFrame(right, "item int, g int, x double"), "g", "x", "item", "row")
+    assert {r["row"]: (r["dist"], r["item"]) for r in got.collect()} == want
+
+
+def test_box_pairs_and_ranks(spark):
+    rng = random.Random(5)
+    rows = [(k, k % 3, x := rng.uniform(-9, 9), x + rng.uniform(0, 4)) for k in range(70)]
+    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3]}
+    boxes = spark.createDataFrame(rows, "k int, name int, l double, h double")
+    got = [(r["a_k"], r["b_k"]) for r in R.box_pairs(boxes, "k", "name", ["l"], ["h"]).collect()]
+    assert set(got) == want and len(got) == len(want)
+    order = [F.col("name").desc(), F.col("l").asc()]
+    places = [r["k"] for r in R.ranked(boxes, order, "place").orderBy("place").collect()]
+    assert places == [r[0] for r in sorted(rows, key=lambda r: (-r[1], r[2]))]

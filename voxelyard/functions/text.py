@@ -260,7 +260,7 @@ def first_object(c: Column) -> Column:
 def clamp01(c: Column) -> Column:
     """A number within [0, 1], from a number or its text; null where there is none."""
     v = c.try_cast("double")
-    return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
 
 
 def whole_id(c: Column) -> Column:

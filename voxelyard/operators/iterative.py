@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxelyard.functions.text import SYNONYMS
 
-from .relational import grid_pairs
+from .relational import grid_pairs, ranked
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -285,21 +285,8 @@ def assign_instances(cells: DataFrame, group: str, obs: str, cell: str, least: f
 
 def instance_ids(assigned: DataFrame, first: str = "first") -> DataFrame:
     """assigned with ``instance`` from 1, in the order in which founders came, over all groups."""
-    ids = assigned.select(first).distinct()
-    n = ids.count()
-    w = Window.orderBy(first)
-    return assigned.join(ids.withColumn("instance", F.row_number().over(w)) if n <= 1_000_000 else _ranked(ids, first), first)
-
-
-def _ranked(ids: DataFrame, key: str) -> DataFrame:
-    """Ranks by ranges: each range is numbered on its own, after the counts of those before."""
-    parts = cut(ids.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
-    counts, before, base = parts.groupBy("_p").count().collect(), {}, 0
-    for r in sorted(counts, key=lambda r: r["_p"]):
-        before[r["_p"]] = base
-        base += r["count"]
-    bases = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    return parts.withColumn("instance", F.row_number().over(Window.partitionBy("_p").orderBy(key)) + bases[F.col("_p")]).drop("_p")
+    assigned = cut(assigned)
+    return assigned.join(ranked(assigned.select(first).distinct(), [F.col(first).asc()], "instance"), first)
 
 
 def guarded_instances(clouds: DataFrame, group: list[str], obs: str, axes: list[str], voxel: float, split: float) -> DataFrame:

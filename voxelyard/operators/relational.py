@@ -3,6 +3,9 @@ every ranking has a total order, so results don't depend on partitioning."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,15 +30,135 @@ def shared_points(left: DataFrame, right: DataFrame, point: str, a: str, b: str)
     return left.join(right, point).groupBy(a, b).agg(F.count(F.lit(1)).alias("inter"))
 
 
+DENSE = 3000  # nodes whose pairs a task counts in one matrix: 36 MB
+BLOCK = 400_000  # (node, point) rows that are counted together
+TILE = 1 << 22  # pairs or cells that are made at a time
+
+
+def pair_counts(sets: DataFrame, node: str, point: str) -> DataFrame:
+    """(a, b, inter) of nodes a < b that share points, from distinct (node, point) rows; nodes are whole numbers. Points are
+    dealt to tasks, and each task adds up its points' pairs before they are exchanged: as products of 0/1
+    matrices while it has up to DENSE nodes, else pair by pair, some TILE at a time."""
+
+    def out(a, b, n):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "inter"])
+
+    def sparse(nodes, group):
+        order = np.lexsort((nodes, group))
+        nodes, group = nodes[order], group[order]
+        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        after = np.repeat(np.append(heads[1:], len(group)), np.diff(np.append(heads, len(group)))) - np.arange(len(group)) - 1
+        i = 0
+        while i < len(nodes):  # each row meets those after it in its point
+            j = i + max(1, int(np.searchsorted(np.cumsum(after[i:]), TILE)))
+            n = after[i:j]
+            left = np.repeat(np.arange(i, i + len(n)), n)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+            pairs, count = np.unique(np.stack([nodes[left], nodes[right]]), axis=1, return_counts=True)
+            yield out(pairs[0], pairs[1], count.astype(np.int64))
+            i = j
+
+    def run(batches):
+        known, total = np.zeros(0, np.int64), np.zeros((0, 0), np.int32)
+        keep_n, keep_p, held = [], [], 0
+
+        def count(nodes, points):
+            nonlocal known, total
+            group = points.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            every = np.union1d(known, nodes)
+            if len(every) > DENSE:
+                yield from sparse(nodes, group)
+                return
+            if len(every) > len(known):
+                wide = np.zeros((len(every), len(every)), np.int32)
+                at = np.searchsorted(every, known)
+                wide[np.ix_(at, at)] = total
+                known, total = every, wide
+            col = np.searchsorted(known, nodes)
+            step = max(1, TILE // max(1, len(known)))
+            for lo in range(0, int(group.max()) + 1, step):
+                some = (group >= lo) & (group < lo + step)
+                x = np.zeros((min(step, int(group.max()) + 1 - lo), len(known)), np.float32)
+                x[group[some] - lo, col[some]] = 1
+                total += (x.T @ x).astype(np.int32)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            nodes, points = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            keep_n.append(nodes)
+            keep_p.append(points)
+            held += len(nodes)
+            if held >= BLOCK:  # all but the last point, which may go on
+                nodes, points = np.concatenate(keep_n), pa.chunked_array(keep_p).combine_chunks()
+                cut = int(np.flatnonzero(pc.equal(points, points[len(points) - 1]).to_numpy(zero_copy_only=False))[0])
+                if cut:
+                    yield from count(nodes[:cut], points[:cut])
+                keep_n, keep_p, held = [nodes[cut:]], [points[cut:]], len(nodes) - cut
+        if held:
+            yield from count(np.concatenate(keep_n), pa.chunked_array(keep_p).combine_chunks())
+        if len(known):
+            for lo in range(0, len(known), 256):
+                i, j = np.nonzero(np.triu(total[lo : lo + 256], lo + 1))
+                yield out(known[i + lo], known[j], total[i + lo, j].astype(np.int64))
+
+    kind = sets.schema[point].dataType.simpleString()
+    key = F.to_json(F.struct(point)) if kind.startswith("struct") else F.col(point)
+    dealt = sets.select(F.col(node).cast("long").alias("n"), key.alias("p")).repartition("p").sortWithinPartitions("p")
+    return dealt.mapInArrow(run, "a long, b long, inter long").groupBy("a", "b").agg(F.sum("inter").alias("inter"))
+
+
 def overlap_pairs(sets: DataFrame, node: str, point: str, min_common: int, min_ratio: float) -> DataFrame:
-    """Pairs a < b of distinct (node, point) rows with enough points in common."""
-    size = set_sizes(sets, node, "size")
-    other = sets.select(F.col(node).alias("b"), F.col(point))
-    both = sets.select(F.col(node).alias("a"), point).join(other, point).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("inter")).filter(F.col("inter") >= min_common)
+    """Pairs a < b of distinct (node, point) rows with enough points in common. Nodes of fewer points than min_common are left
+    out first."""
+    size = set_sizes(sets, node, "size").filter(F.col("size") >= min_common)
+    if min_common > 1:
+        sets = sets.join(size.select(node), node, "left_semi")
+    both = pair_counts(sets, node, point).filter(F.col("inter") >= min_common)
     sized = both.join(size.select(F.col(node).alias("a"), F.col("size").alias("size_a")), "a").join(size.select(F.col(node).alias("b"), F.col("size").alias("size_b")), "b")
     return sized.withColumn("ratio", F.col("inter") / F.least("size_a", "size_b")).filter(F.col("ratio") >= min_ratio)
 
 
+def nearest_on_axis(left: DataFrame, right: DataFrame, key: str, axis: str, item: str, row: str) -> DataFrame:
+    """left with the item of right that is nearest on an axis within a key, the smaller on ties, and ``dist``; nulls where the
+    key has none. One sort of both sides: a row's candidates are the last before it and the first after it."""
+    best = right.groupBy(key, axis).agg(F.min(item).alias(item))
+    both = left.select(key, axis, row, F.lit(None).cast(right.schema[item].dataType).alias(item)).unionByName(best.select(key, axis, F.lit(None).cast(left.schema[row].dataType).alias(row), item))
+    told = F.when(F.col(item).isNotNull(), F.struct(axis, item))
+    up = Window.partitionBy(key).orderBy(axis).rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(key).orderBy(axis).rangeBetween(0, Window.unboundedFollowing)
+    seen = both.withColumns({"_lo": F.last(told, True).over(up), "_hi": F.first(told, True).over(down)}).filter(F.col(row).isNotNull())
+    near = F.least(*[F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(axis) - F.col(c)[axis]).alias("dist"), F.col(c)[item].alias(item))) for c in ("_lo", "_hi")])
+    return seen.withColumn("_m", near).select(row, key, axis, F.col(f"_m.{item}").alias(item), F.col("_m.dist").alias("dist"))
+
+
+def box_pairs(boxes: DataFrame, key: str, name: str, low: list[str], high: list[str]) -> DataFrame:
+    """Pairs (a_..., b_...) of boxes of one name whose first axes touch, a's key below b's. Boxes meet in cells as wide as the widest
+    box, of which each lies in two at most; a pair is taken in the first cell that both share."""
+    side = boxes.agg(F.max(F.col(high[0]) - F.col(low[0])).alias("m")).first()["m"] or 0.0
+    width = max(float(side), 1e-9)
+    cells = F.explode(F.sequence(F.floor(F.col(low[0]) / width).cast("long"), F.floor(F.col(high[0]) / width).cast("long")))
+    spread = boxes.withColumn("_c", cells).withColumn("_f", F.floor(F.col(low[0]) / width).cast("long"))
+    a, b = (spread.select(F.col(name).alias("_n"), "_c", *[F.col(c).alias(f"{s}_{c}") for c in [*boxes.columns, "_f"]]) for s in "ab")
+    both = a.join(b, ["_n", "_c"]).filter((F.col(f"a_{key}") < F.col(f"b_{key}")) & (F.col("_c") == F.greatest("a__f", "b__f")))
+    return both.filter((F.col(f"a_{low[0]}") <= F.col(f"b_{high[0]}")) & (F.col(f"b_{low[0]}") <= F.col(f"a_{high[0]}"))).drop("_n", "_c", "a__f", "b__f")
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with the place of each row in a total order over all, from 1: ranges are numbered on their own, after the counts of
+    those before."""
+    from .iterative import cut
+
+    parts = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    before, base = [], 0
+    for r in sorted(parts.groupBy("_p").count().collect(), key=lambda r: r["_p"]):  # a number for each range
+        before.append((r["_p"], base))
+        base += r["count"]
+    bases = df.sparkSession.createDataFrame(before or [(-1, 0)], "_p int, _b long")
+    w = Window.partitionBy("_p").orderBy(*order)
+    return parts.join(F.broadcast(bases), "_p").withColumn(name, F.row_number().over(w) + F.col("_b")).drop("_p", "_b")
+
+
 def votes(df: DataFrame, keys: list[str], fg: Column) -> DataFrame:
     """Visible and foreground counts for each key."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("vis"), F.sum(fg.cast("long")).alias("fg"))

@@ -196,13 +196,11 @@ _I = " * ".join(f"greatest(least(a.h{i}, b.h{i}) - greatest(a.l{i}, b.l{i}), 0)"
 _V = {s: " * ".join(f"greatest({s}.h{i} - {s}.l{i}, 0)" for i in (1, 2, 3)) for s in "ab"}
 
 
-@query(f"WITH x AS ({_BOX}), p AS (SELECT a.label AS a, b.label AS b, {_I} AS w, {_V['a']} AS va, {_V['b']} AS vb FROM x a JOIN x b ON a.label < b.label) SELECT a, b, round(w / greatest(va + vb - w, 1e-12), 6) AS iou, round(w / greatest(least(va, vb), 1e-12), 6) AS contain FROM p WHERE w / greatest(va + vb - w, 1e-12) >= 0.25 OR w / greatest(least(va, vb), 1e-12) >= 0.8")
+@query(f"WITH x AS ({_BOX}), p AS (SELECT a.label AS a, b.label AS b, {_I} AS w, {_V['a']} AS va, {_V['b']} AS vb FROM x a JOIN x b ON a.label < b.label AND a.label % 2 = b.label % 2) SELECT a, b, round(w / greatest(va + vb - w, 1e-12), 6) AS iou, round(w / greatest(least(va, vb), 1e-12), 6) AS contain FROM p WHERE w / greatest(va + vb - w, 1e-12) >= 0.25 OR w / greatest(least(va, vb), 1e-12) >= 0.8")
 def aabb_iou_pairs(spark, d):
-    box = _boxes(spark, d)
-    a, b = (box.select(*[F.col(c).alias(f"{s}_{c}") for c in box.columns]) for s in "ab")
-    side = lambda s: ([F.col(f"{s}_l{i}") for i in (1, 2, 3)], [F.col(f"{s}_h{i}") for i in (1, 2, 3)])
-    iou, contain = G.box_overlap(side("a"), side("b"))
-    near = a.join(b, (F.col("a_label") < F.col("b_label")) & (F.col("a_l1") <= F.col("b_h1")) & (F.col("b_l1") <= F.col("a_h1")))
+    low, high = ([f"{s}{i}" for i in (1, 2, 3)] for s in "lh")
+    near = R.box_pairs(_boxes(spark, d).withColumn("name", F.col("label") % 2), "label", "name", low, high)
+    iou, contain = G.box_overlap(*[([F.col(f"{s}_{c}") for c in low], [F.col(f"{s}_{c}") for c in high]) for s in "ab"])
     return near.withColumns({"iou": iou, "contain": contain}).filter("iou >= 0.25 or contain >= 0.8").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"), six(F.col("iou"), "iou"), six(F.col("contain"), "contain"))
 
 
@@ -215,10 +213,9 @@ def grid_neighbors(spark, d):
 # ------------------------------------------------------------------ joins of nodes and frames
 @query("SELECT c_custkey, s_suppkey, round(dist, 2) AS dist FROM (SELECT c_custkey, s_suppkey, abs(c_acctbal - s_acctbal) AS dist, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) r FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey) WHERE r = 1")
 def nearest_parent(spark, d):
-    c = read(spark, d, "customer").join(read(spark, d, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"), "left")
-    c = c.withColumn("dist", F.abs(F.col("c_acctbal") - F.col("s_acctbal")))
-    best = c.groupBy("c_custkey").agg(F.min(F.when(F.col("s_suppkey").isNotNull(), F.struct("dist", "s_suppkey"))).alias("m"))
-    return best.select("c_custkey", F.col("m.s_suppkey").alias("s_suppkey"), F.round("m.dist", 2).alias("dist"))
+    c = read(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("at"), "c_custkey")
+    o = read(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("at"), "s_suppkey")
+    return R.nearest_on_axis(c, o, "nation", "at", "s_suppkey", "c_custkey").select("c_custkey", "s_suppkey", F.round("dist", 2).alias("dist"))
 
 
 @query("SELECT DISTINCT l_suppkey, l_partkey FROM lineitem a WHERE l_returnflag = 'A' AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_returnflag = 'R' AND b.l_partkey = a.l_partkey AND b.l_suppkey % 10 = a.l_suppkey % 10)")
@@ -254,9 +251,7 @@ def best_per_key(spark, d):
 @query("SELECT p_name, n, row_number() OVER (ORDER BY n DESC, first) AS rank FROM (SELECT p_name, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1)")
 def prompt_frequency(spark, d):
     n = read(spark, d, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first"))
-    from pyspark.sql import Window
-
-    return n.select("p_name", "n", F.row_number().over(Window.orderBy(F.col("n").desc(), "first")).cast("long").alias("rank"))
+    return R.ranked(n, [F.col("n").desc(), F.col("first").asc()], "rank").select("p_name", "n", "rank")
 
 
 @query("SELECT user_id, string_agg(event_type, '; ' ORDER BY first) AS prompts FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2) GROUP BY 1")

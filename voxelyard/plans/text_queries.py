@@ -111,7 +111,7 @@ _ANSWER = _cases("event_id", ["concat('Sure: ', props, ' and }')", "concat('{\"a
 w AS (SELECT event_id, t, a, a AS pos, 1 AS depth FROM p WHERE a > 0 UNION ALL SELECT event_id, t, a, pos + 1, depth + CASE substr(t, (pos + 1)::INT, 1) WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END FROM w WHERE depth > 0 AND pos < length(t)),
 e AS (SELECT event_id, max(CASE WHEN depth = 0 THEN substr(t, a::INT, (pos - a + 1)::INT) END) AS obj FROM w GROUP BY 1),
 f AS (SELECT event_id, obj, CASE event_id % 5 WHEN 1 THEN json_extract_string(obj, '$.id') WHEN 4 THEN json_extract_string(obj, '$.id') END AS id, CASE WHEN event_id % 5 IN (1, 4) THEN json_extract_string(obj, '$.score')::DOUBLE END AS score FROM p LEFT JOIN e USING (event_id))
-SELECT event_id, obj, CASE WHEN regexp_full_match(trim(id), '[0-9]+') THEN trim(id)::BIGINT END AS id, round(least(greatest(score, 0), 1), 6) AS score FROM f""")
+SELECT event_id, obj, CASE WHEN regexp_full_match(trim(id), '[0-9]+') THEN trim(id)::BIGINT END AS id, CASE WHEN score IS NOT NULL THEN round(least(greatest(score, 0), 1), 6) END AS score FROM f""")
 def model_answers(spark, d):
     obj = T.first_object(F.expr(_ANSWER))
     said = read(spark, d, "events").select("event_id", obj.alias("obj"))
