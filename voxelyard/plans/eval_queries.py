@@ -145,7 +145,7 @@ def checked_answers(spark, d):
     return E.answers_checked(said, nodes, 3).withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
 
 
-_TOKENS = """tk AS (SELECT DISTINCT p_brand AS query, unnest([lower(substr(p_name, 1 + p_size % 3, 5)), lower(split_part(p_name, ' ', 1)) || ' ' || p_size::VARCHAR, CASE WHEN p_size = 7 THEN lower(p_name) ELSE '' END, CASE WHEN p_brand LIKE '%3' AND p_size = 9 THEN 'the socket opening' ELSE lower(substr(p_name, 2, 2)) END]) AS token FROM part WHERE p_partkey % 3 <> 0),
+_TOKENS = """tk AS (SELECT DISTINCT p_brand AS query, unnest([lower(substr(p_name, 1 + p_size % 3, 5)), lower(split_part(p_name, ' ', 1)) || ' ' || p_size::VARCHAR, CASE WHEN p_size = 7 THEN lower(p_name) ELSE '' END, CASE WHEN p_brand LIKE '%3' AND p_size = 9 THEN 'the socket opening' ELSE lower(substr(p_name, 2, 2)) END]) AS token FROM part),
 nm AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 40 = 1 THEN 'socket ' ELSE '' END || lower(p_name) AS name FROM part)"""
 
 
@@ -159,6 +159,6 @@ def topk_candidates(spark, d):
     part = read(spark, d, "part")
     name, size = F.col("p_name"), F.col("p_size")
     tokens = F.array(F.lower(F.substring(name, 1 + size % 3, F.lit(5))), F.concat(F.lower(F.split(name, " ")[0]), F.lit(" "), size.cast("string")), F.when(size == 7, F.lower(name)).otherwise(""), F.when(F.col("p_brand").like("%3") & (size == 9), "the socket opening").otherwise(F.lower(F.substring(name, 2, 2))))
-    queries = part.filter("p_partkey % 3 <> 0").select(F.col("p_brand").alias("query"), F.explode(tokens).alias("token")).distinct()
+    queries = part.select(F.col("p_brand").alias("query"), F.explode(tokens).alias("token")).distinct()
     nodes = part.select(F.col("p_partkey").alias("id"), F.concat(F.when(F.col("p_partkey") % 40 == 1, "socket ").otherwise(""), F.lower(name)).alias("name"))
     return E.best_names(queries, nodes, 3).withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})

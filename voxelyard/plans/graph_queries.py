@@ -68,9 +68,10 @@ def region_centroids(spark, d):
 
 @query()
 def superpixel_regions(spark, d):
-    px = _grid(spark, d).filter(f"v < {_WIDE}").select("image", "u", "v", F.col("value").alias("l"), (F.col("value") / 2).alias("a"), F.lit(0.0).alias("b"))
+    image = F.floor(F.col("v") / _WIDE).cast("int")
+    px = _grid(spark, d).select(image.alias("image"), "u", (F.col("v") % _WIDE).alias("v"), F.col("value").alias("l"), (F.col("value") / 2).alias("a"), F.lit(0.0).alias("b"))
     labels = M.superpixels(px, "image", 20, 10.0, 2)
-    return M.connected(labels, "image", "label", 4).select("u", "v", "region")
+    return M.connected(labels, "image", "label", 4).select("image", "u", "v", "region")
 
 
 _BOX = "b AS (SELECT l_orderkey, l_linenumber, l_partkey % 900 AS x0, l_suppkey % 600 AS y0, l_partkey % 900 + l_quantity AS x1, l_suppkey % 600 + l_quantity AS y1 FROM lineitem)"

@@ -85,19 +85,19 @@ def mask_quality(spark, d):
     return q.select("frame", "n", *[six(F.col(c), c) for c in ("coverage", "cx", "cy", "sx", "sy")], "colours", F.round("compactness", 4).alias("compactness"))
 
 
-@query(f"""WITH {_IMG}, p AS (SELECT DISTINCT frame, u, v FROM im WHERE (u + v) % 9 = 0), x AS (SELECT s.frame, avg(sqrt((s.u - t.u) ** 2 + (s.v - t.v) ** 2)) AS far, count(DISTINCT (s.u, s.v)) AS k FROM p s JOIN p t ON s.frame = t.frame AND (s.u, s.v) < (t.u, t.v) GROUP BY 1), n AS (SELECT frame, count(*) AS n FROM p GROUP BY 1)
+@query(f"""WITH {_IMG}, p AS (SELECT DISTINCT frame, u, v FROM im), x AS (SELECT s.frame, avg(sqrt((s.u - t.u) ** 2 + (s.v - t.v) ** 2)) AS far, count(DISTINCT (s.u, s.v)) AS k FROM p s JOIN p t ON s.frame = t.frame AND (s.u, s.v) < (t.u, t.v) GROUP BY 1), n AS (SELECT frame, count(*) AS n FROM p GROUP BY 1)
 SELECT frame, round(CASE WHEN n > 30 AND far IS NOT NULL THEN 1 / greatest(far, 1) ELSE 0 END, 6) AS density FROM n LEFT JOIN x USING (frame)""")
 def mask_density(spark, d):
-    px = _image(spark, d).filter("(u + v) % 9 = 0").select("frame", "u", "v").distinct()
+    px = _image(spark, d).select("frame", "u", "v").distinct()
     return M.density(px, ["frame"], 1000, 30).select("frame", six(F.col("density"), "density"))
 
 
-@query(f"""WITH {_IMG}, o AS (SELECT DISTINCT frame, u, v FROM im WHERE colour[1] = 'O'), e AS (SELECT DISTINCT frame, u + du AS u, v + dv AS v FROM im, range(-1, 2) a(du), range(-1, 2) b(dv) WHERE colour[1] = 'F' AND (u * v) % 7 = 0 AND u + du BETWEEN 0 AND 63 AND v + dv BETWEEN 0 AND 47),
+@query(f"""WITH {_IMG}, o AS (SELECT DISTINCT frame, u, v FROM im WHERE colour[1] = 'O'), e AS (SELECT DISTINCT frame, u + du AS u, v + dv AS v FROM im, range(-1, 2) a(du), range(-1, 2) b(dv) WHERE colour[1] = 'F' AND u + du BETWEEN 0 AND 63 AND v + dv BETWEEN 0 AND 47),
 j AS (SELECT coalesce(o.frame, e.frame) AS frame, o.u IS NOT NULL AS a, e.u IS NOT NULL AS b FROM o FULL JOIN e ON o.frame = e.frame AND o.u = e.u AND o.v = e.v)
 SELECT frame, count(*) FILTER (WHERE a) AS n_observed, count(*) FILTER (WHERE b) AS n_expected, count(*) FILTER (WHERE a AND b) AS n_both, round(count(*) FILTER (WHERE a AND b) / greatest(count(*) FILTER (WHERE a), 1), 6) AS coverage FROM j GROUP BY 1""")
 def self_coverage(spark, d):
     im = _image(spark, d)
-    got = M.self_coverage(im.filter("colour like 'O%'"), im.filter("colour like 'F%' and (u * v) % 7 = 0"), ["frame"], 64, 48)
+    got = M.self_coverage(im.filter("colour like 'O%'"), im.filter("colour like 'F%'"), ["frame"], 64, 48)
     return got.withColumn("coverage", F.round("coverage", 6))
 
 
