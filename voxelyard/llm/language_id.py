@@ -9,23 +9,26 @@ the set's most frequent language, the score its proportion.
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is everything
 where nothing was learned; repeated rows are each answered; ties go to the name that sorts first;
 a null doc_id is outside the held-out fold; an empty table gives an empty result; further columns
-are ignored."""
+are ignored. A very long text is read whole, as one slice of its own: the memory of a task follows
+the longest text, some 60 bytes and 16 a language for each of its bytes."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, slices, small_batches, string_buffers, table
+from .common import GROUP, SPACE, slices, small_batches, string_buffers, table
 
 FOLDS, HELD = 4, 2
 BINS = 1 << 16
+PARTS = BINS >> 12  # ranges of bins that are added apart
 SMOOTH = 0.5
 ITERATIONS = 15
 CAP = 30.0  # a word's log-likelihood ratios are cut here, so exp() stays in range
-_REC = np.dtype([("bin", "<u2"), ("n", "<u4")])
+_REC = np.dtype([("bin", "<u2"), ("n", "<i8")])
 _NORMAL = np.arange(256, dtype=np.uint8)
 _NORMAL[65:91] += 32
 _NORMAL[48:58] = 48
@@ -54,8 +57,9 @@ def grams(data: np.ndarray, off: np.ndarray):
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities by bin, from rows (text, lang). Counts are summed
-    on the executors by (language, range of bins); the driver gets BINS numbers a language."""
+    """Languages and their log-probabilities by bin, from rows (text, lang). Counts are summed on the
+    executors by (language, range of bins): those of GROUP tasks, then of GROUP such groups, then of all,
+    so that no task meets the counts of every task. The driver gets BINS numbers a language."""
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -71,37 +75,48 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                         sums[lang] += np.bincount(g, minlength=BINS)
                     else:
                         np.add.at(sums[lang], g, 1)
-        out = [(lang, int(p), sums[lang]) for lang in sums for p in range(16)]
-        rows = []
-        for lang, p, c in out:
-            part = c[p << 12 : (p + 1) << 12]
-            at = np.flatnonzero(part)
-            rec = np.zeros(len(at), _REC)
-            rec["bin"], rec["n"] = at, part[at]
-            rows.append((lang, p, rec.tobytes()))
-        yield _counts(rows)
+        group = TaskContext.get().partitionId() // GROUP
+        for lang, c in sums.items():
+            yield _counts([(group, lang, p, _packed(c[p << 12 : (p + 1) << 12])) for p in range(PARTS)])
 
     def add(batches):
-        sums: dict[tuple, np.ndarray] = {}
+        key, held = None, None  # counts come in the order of their keys
         for b in batches:
-            for lang, p, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for *now, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != now:
+                    if key is not None:
+                        yield _counts([(key[0] // GROUP, *key[1:], _packed(held))])
+                    key, held = now, np.zeros(1 << 12, np.int64)
                 rec = np.frombuffer(x, _REC)
-                sums.setdefault((lang, p), np.zeros(1 << 12, np.int64))[rec["bin"]] += rec["n"]
-        yield _counts([(lang, p, c.astype("<i8").tobytes()) for (lang, p), c in sums.items()])
-
-    schema = "lang string, part int, counts binary"
-    got = docs.mapInArrow(count, schema).repartition("lang", "part").mapInArrow(add, schema).collect()
+                held[rec["bin"].astype(np.int64)] += rec["n"]
+        if key is not None:
+            yield _counts([(key[0] // GROUP, *key[1:], _packed(held))])
+
+    schema = "g int, lang string, part int, counts binary"
+    some = docs.mapInArrow(count, schema)
+    for _ in range(2):
+        some = some.repartition("g", "lang", "part").sortWithinPartitions("g", "lang", "part").mapInArrow(add, schema)
+    got = some.select("lang", "part", "counts").collect()  # PARTS rows a language, for each GROUP ** 2 tasks
     langs = sorted({r["lang"] for r in got})
     table_ = np.zeros((len(langs), BINS))
     for r in got:
-        table_[langs.index(r["lang"]), r["part"] << 12 : (r["part"] + 1) << 12] += np.frombuffer(r["counts"], "<i8")
+        rec = np.frombuffer(r["counts"], _REC)
+        table_[langs.index(r["lang"]), (r["part"] << 12) + rec["bin"].astype(np.int64)] += rec["n"]
     table_ = (table_ + SMOOTH) / (table_.sum(axis=1, keepdims=True) + SMOOTH * BINS)
     return langs, np.log(table_).astype(np.float32)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """The bins that have a count, with it."""
+    at = np.flatnonzero(counts)
+    rec = np.zeros(len(at), _REC)
+    rec["bin"], rec["n"] = at, counts[at]
+    return rec.tobytes()
+
+
 def _counts(rows):
-    cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["lang", "part", "counts"])
+    g, lang, part, counts = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(lang, pa.string()), pa.array(part, pa.int32()), pa.array(counts, pa.binary())], names=["g", "lang", "part", "counts"])
 
 
 def mixture(like: np.ndarray, first: np.ndarray):
