@@ -295,6 +295,48 @@ def test_language(spark, docs, empty):
     assert language_id.language_id(empty).count() == 0
 
 
+def plain_bins(text):
+    """Bins of a text's grams, in a list for each word."""
+    flat = bytes(32 if c in b" \t\n\v\f\r" else c + 32 if 65 <= c < 91 else 48 if 48 <= c < 58 else c for c in text.encode())
+    out, side = [], b" " + flat + b" "
+    for i, c in enumerate(flat):
+        if c != 32:
+            if side[i] == 32:
+                out.append([])
+            out[-1].append(((side[i] << 16 | c << 8 | side[i + 2]) * 2654435761 % 2**32) >> 16)
+    return out
+
+
+def test_language_against_plain(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "GROUP", 2)  # counts are added in a tree of several levels
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").repartition(7)
+    rows = table.collect()
+    held = {r["doc_id"] for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2}
+    train = [r for r in rows if r["doc_id"] not in held and r["lang"] is not None and r["text"] is not None]
+    counts = defaultdict(lambda: np.zeros(language_id.BINS))
+    for r in train:
+        for word in plain_bins(r["text"]):
+            np.add.at(counts[r["lang"]], word, 1)
+    langs = sorted(counts)
+    want = np.array([np.log((counts[x] + 0.5) / (counts[x].sum() + 0.5 * language_id.BINS)) for x in langs])
+    got_langs, logp = language_id.learn(table.filter("lang is not null and text is not null").filter(~language_id.held_out("doc_id")))
+    assert got_langs == langs and np.allclose(logp, want, atol=1e-4)
+    got = {r["doc_id"]: r for r in language_id.language_id(table).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        answer = got[r["doc_id"]]
+        assert answer["held_out"] == (r["doc_id"] in held)
+        if not r["text"] or not any(c.isalpha() for c in r["text"]):
+            assert (answer["lang_pred"], answer["score"]) == ("und", 0)
+            continue
+        like = np.array([[sum(logp[x][g] for g in word) for word in plain_bins(r["text"])] for x in range(len(langs))])
+        p = np.exp(np.maximum(like - like.max(axis=0), -language_id.CAP))
+        share = np.full(len(langs), 1 / len(langs))
+        for _ in range(language_id.ITERATIONS):
+            share = (p * share[:, None] / (p * share[:, None]).sum(axis=0)).mean(axis=1)
+        assert answer["lang_pred"] in [langs[x] for x in np.flatnonzero(share > share.max() - 1e-3)] and abs(answer["score"] - share.max()) < 1e-3
+
+
 def test_mixture_finds_both():
     like = np.array([[0.0] * 6 + [-20.0] * 4, [-20.0] * 6 + [0.0] * 4, [-20.0] * 10])
     pi, size, order = language_id.mixture(like, np.array([0]))
@@ -402,6 +444,33 @@ def test_chat_parts(spark):
     assert back[None]["loss_chars"] == 1
 
 
+def test_chat_mask_and_edges(spark):
+    long = "Ab [x] <y> 100% é " * 60_000
+    rows = [(1, 0, "user", "hi", "c"), (1, 1, "assistant", "a%b[", "c"), (1, 1, "assistant", "a%b[", "c"), (1, None, None, None, None), (2, 5, "assistant", "", "c"), (3, 0, "assistant", long, "c"), (3, 1, "<|turn|>", "<|text|>x<|end|>", "c"), (None, 2, "assistant", "n", "c")]
+    schema = "conv_id long, turn long, role string, text string, formatted string"
+    made = chat_format.format_chat(chat_format.text_parts(spark.createDataFrame(rows, schema)))
+    groups = defaultdict(list)
+    for c, t, r, x, _ in rows:
+        groups[c].append((t is not None, t or 0, r or "", x or ""))
+    for r in made.collect():
+        at, covered = 0, []
+        for m in r["loss_mask"]:
+            covered.append(r["formatted"][at + m["before"] : at + m["before"] + m["under"]])
+            at += m["before"] + m["under"] + m["after"]
+        assert at == len(r["formatted"])
+        plain = "".join(covered).replace("%5B", "[").replace("%3C", "<").replace("%25", "%")
+        assert plain == "".join(x for _, _, role, x in sorted(groups[r["conv_id"]]) if role == "assistant")
+    back = {r["conv_id"]: r for r in chat_format.read_back(made).collect()}
+    assert back.keys() == groups.keys()
+    for c, turns in groups.items():
+        turns = sorted(turns)
+        loss = "".join(x for _, _, role, x in turns if role == "assistant")
+        assert back[c]["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{x}\n" for _, _, role, x in turns).encode()).hexdigest()
+        assert (back[c]["n_turns"], back[c]["loss_chars"], back[c]["loss_sha256"]) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    nothing = spark.createDataFrame([], schema)
+    assert chat_format.read_back(chat_format.format_chat(chat_format.text_parts(nothing))).count() == 0
+
+
 def test_leaks(spark, empty):
     sf = "/root/testdata/sf0.01"
     docs, bench = (duckdb.sql(f"SELECT * FROM '{sf}/{t}.parquet'").fetchall() for t in ("documents", "benchmark"))

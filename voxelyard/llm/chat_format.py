@@ -5,12 +5,15 @@ A conversation's turns are laid in order into one string. Each turn is
 escaped (``%`` as %25, ``<`` as %3C, ``[`` as %5B, so no marker of this or of other templates can
 come out of a text), and any other part as an ordered placeholder ``<|image|>``, ``<|audio|>``,
 ``<|document|>``, while its reference, place and expanded token count go to ``attachments``.
-``read_back`` parses the string again and undoes the escapes.
+``loss_mask`` says for each turn how many code points of the string come before the text under the
+loss, are under it, and come after it. ``read_back`` parses the string again, takes what the mask
+covers and undoes the escapes.
 
 Defined results: null roles and texts are empty; turns are ordered by (turn, role, text), nulls
 first, so ties and repeated rows are kept in a fixed order; rows of a null conv_id form one
 conversation; a part of an unknown or null type is read as text; an empty table gives no
-conversations; further columns are ignored."""
+conversations; further columns are ignored. Texts of any length go through whole; a conversation is
+one row of the result, so its texts must fit in one row (2 GB), once as they come and once formatted."""
 
 from __future__ import annotations
 
@@ -61,26 +64,36 @@ def text_parts(rows: DataFrame) -> DataFrame:
 
 
 def format_chat(rows: DataFrame) -> DataFrame:
-    """(conv_id, formatted, attachments) of rows (conv_id, turn, role, parts array<PART>). One
-    shuffle on conv_id; the escapes run before it, row by row."""
+    """(conv_id, formatted, attachments, loss_mask) of rows (conv_id, turn, role, parts array<PART>). One
+    shuffle on conv_id, which carries a text once: as it is where a turn has no attachment."""
     flat = rows.select(
         "conv_id",
         F.struct(
             F.col("turn").cast("long").alias("turn"),
             F.coalesce("role", F.lit("")).alias("role"),
-            F.array_join(F.transform(F.coalesce("parts", F.array().cast(f"array<{PART}>")), visit), "").alias("content"),
+            F.when(
+                F.exists(F.coalesce("parts", F.array().cast(f"array<{PART}>")), lambda p: p["type"].isin(*KINDS)),
+                F.array_join(F.transform(F.coalesce("parts", F.array().cast(f"array<{PART}>")), visit), ""),
+            ).alias("content"),
             F.transform(F.filter(F.coalesce("parts", F.array().cast(f"array<{PART}>")), lambda p: p["type"].isin(*KINDS)), lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), expanded(p).alias("tokens"))).alias("files"),
             F.array_join(F.transform(F.coalesce("parts", F.array().cast(f"array<{PART}>")), lambda p: F.coalesce(p["text"], F.lit(""))), "").alias("raw"),
         ).alias("t"),
     )
     key = lambda t: F.struct(t["turn"].alias("a"), t["role"].alias("b"), t["raw"].alias("c"), t["content"].alias("d"), t["files"].alias("e"))
     turns = flat.groupBy("conv_id").agg(F.sort_array(F.collect_list(key(F.col("t")))).alias("turns"))
-    one = F.transform("turns", lambda t: F.concat(F.lit(TURN), escape(t["b"]), F.lit(TEXT), t["d"], F.lit(END)))
-    return turns.select("conv_id", F.array_join(one, "").alias("formatted"), F.flatten(F.transform("turns", lambda t: t["e"])).alias("attachments"))
+    laid = F.transform("turns", lambda t: F.struct(t["b"].alias("role"), F.concat(F.lit(TURN), escape(t["b"]), F.lit(TEXT)).alias("head"), F.coalesce(t["d"], escape(t["c"])).alias("content")))
+    turns = turns.select("conv_id", F.flatten(F.transform("turns", lambda t: t["e"])).alias("attachments"), laid.alias("laid"))
+
+    def mask(t: Column) -> Column:
+        under = F.when(t["role"] == "assistant", F.length(t["content"])).otherwise(0)
+        return F.struct((F.length(t["head"]) + F.length(t["content"]) - under).alias("before"), under.alias("under"), F.lit(len(END)).alias("after"))
+
+    formatted = F.array_join(F.transform("laid", lambda t: F.concat(t["head"], t["content"], F.lit(END))), "")
+    return turns.select("conv_id", formatted.alias("formatted"), "attachments", F.transform("laid", mask).alias("loss_mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Turns, digests and the loss mask's text, parsed from ``formatted`` alone."""
+    """Turns and digests, parsed from ``formatted`` alone, and the text that ``loss_mask`` covers there."""
     places = "|".join(rf"<\|{k}\|>" for k in KINDS)
     turns = F.slice(F.split("formatted", r"<\|turn\|>"), F.lit(2), F.greatest(F.size(F.split("formatted", r"<\|turn\|>")) - 1, F.lit(0)))
     parsed = formatted.withColumn(
@@ -94,7 +107,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         ),
     )
     all_text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    covered = F.zip_with(turns, "loss_mask", lambda x, m: F.substring(x, m["before"] - len(TURN) + 1, m["under"]))
+    loss = F.array_join(F.transform(covered, lambda x: unescape(F.regexp_replace(x, places, ""))), "")
     return parsed.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
