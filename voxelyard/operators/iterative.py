@@ -8,23 +8,36 @@ import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelyard.functions.text import SYNONYMS
 
 from .relational import grid_pairs, ranked
 
+_OWN_FOLDER: dict[str, str] = {}
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the shared folder that the session names; a temporary one only where
-    none is named."""
+    """df from a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="voxelyard-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all run on one machine."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDER:
+        _OWN_FOLDER[app] = "file://" + tempfile.mkdtemp(prefix="voxelyard-")
+    return _OWN_FOLDER[app]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component) of undirected edges; the component is its smallest node. Labels pass to
     neighbours and jump to their label's label, so rounds grow with the logarithm of a chain."""

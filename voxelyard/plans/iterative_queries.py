@@ -114,7 +114,11 @@ def sampled_points(spark, d):
     return I.sampled(_points(spark, d), ["label"], "vec_id", _SAMPLE).select("label", "vec_id")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, event_id, (event_type = 'view')::INT AS s, (event_type = 'error')::INT AS r FROM events),
+c AS (SELECT *, sum(r - s) OVER (PARTITION BY user_id ORDER BY event_id) AS lead FROM e),
+m AS (SELECT user_id, min(event_id) FILTER (WHERE lead >= 3) AS stop FROM c GROUP BY 1)
+SELECT e.user_id, sum(s)::BIGINT AS support, sum(r)::BIGINT AS reject, max(event_id) AS last_seen, bool_and(stop IS NULL) AS alive
+FROM e JOIN m ON e.user_id IS NOT DISTINCT FROM m.user_id WHERE stop IS NULL OR event_id <= stop GROUP BY 1""")
 def pool_support_reject(spark, d):
     e = read(spark, d, "events").select("user_id", "event_id", (F.col("event_type") == "view").cast("int").alias("support"), (F.col("event_type") == "error").cast("int").alias("reject"))
     return pool.settle(e)

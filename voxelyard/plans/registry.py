@@ -12,4 +12,4 @@ ORACLE: dict[str, str] = {}
 
 def load() -> None:
     """Register all scene queries."""
-    from . import iterative_queries, merge_queries, scene_queries, text_queries, frame_queries, mask_queries, eval_queries, graph_queries  # noqa: F401
+    from . import iterative_queries, merge_queries, scene_queries, text_queries, frame_queries, mask_queries, eval_queries, graph_queries, source_queries  # noqa: F401

@@ -6,7 +6,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 LEAD = 3
 OUT = "user_id long, support long, reject long, last_seen long, alive boolean"
@@ -26,12 +27,17 @@ def step(state: tuple, rows: pd.DataFrame, lead: int = LEAD) -> tuple:
 
 
 def settle(events: DataFrame) -> DataFrame:
-    """Last state of each key of a whole table."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(rows["user_id"].iloc[0], *step(START, rows))], columns=["user_id", "support", "reject", "last_seen", "alive"])
-
-    return events.groupBy("user_id").applyInPandas(fold, OUT)
+    """Last state of each key of a whole table, by running sums: a key's events count up to the first where rejections
+    lead by LEAD. One shuffle; a key with very many events is sorted with spilling and read as a stream of rows.
+    Nulls count as 0; events of equal id are taken in the order of their reject, then support; a null key is a key, a null
+    id comes first."""
+    order = Window.partitionBy("user_id").orderBy("event_id", "reject", "support").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up, down = F.coalesce("support", F.lit(0)).cast("long"), F.coalesce("reject", F.lit(0)).cast("long")
+    rows = events.select("user_id", F.col("event_id").cast("long").alias("event_id"), up.alias("support"), down.alias("reject"))
+    led = rows.withColumn("lead", F.sum(F.col("reject") - F.col("support")).over(order))
+    ended = led.withColumn("ends", F.sum((F.col("lead") >= LEAD).cast("long")).over(order))
+    counted = ended.filter((F.col("ends") == 0) | ((F.col("ends") == 1) & (F.col("lead") >= LEAD)))
+    return counted.groupBy("user_id").agg(F.sum("support").alias("support"), F.sum("reject").alias("reject"), F.max("event_id").alias("last_seen"), (F.max("ends") == 0).alias("alive"))
 
 
 def settle_stream(events: DataFrame) -> DataFrame:
