@@ -122,3 +122,20 @@ FROM e JOIN m ON e.user_id IS NOT DISTINCT FROM m.user_id WHERE stop IS NULL OR
 def pool_support_reject(spark, d):
     e = read(spark, d, "events").select("user_id", "event_id", (F.col("event_type") == "view").cast("int").alias("support"), (F.col("event_type") == "error").cast("int").alias("reject"))
     return pool.settle(e)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id AS frame, (event_type = 'purchase')::BIGINT AS added, (event_type = 'view')::BIGINT AS s, (event_type IN ('error', 'click'))::BIGINT AS r,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS k, false AS there, 0::BIGINT AS support, 0::BIGINT AS reject, -1::BIGINT AS last_seen, 0::BIGINT AS pruned FROM events
+  UNION ALL SELECT user_id, k, there AND NOT goes, support, reject, last_seen, pruned + goes::BIGINT FROM (
+    SELECT *, there AND reject >= 4 AND frame - last_seen >= 20 AND NOT (support >= 3 OR support / greatest(support + reject, 1) >= 0.6) AS goes FROM (
+      SELECT f.user_id, e.k, e.frame, f.pruned, f.there OR e.added > 0 AS there,
+        CASE WHEN NOT f.there AND e.added > 0 THEN 1 + e.s WHEN f.there THEN f.support + e.s ELSE f.support END AS support,
+        CASE WHEN NOT f.there AND e.added > 0 THEN e.r WHEN f.there THEN f.reject + e.r ELSE f.reject END AS reject,
+        CASE WHEN (NOT f.there AND e.added > 0) OR (f.there AND e.s > 0) THEN e.frame ELSE f.last_seen END AS last_seen
+      FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)))
+SELECT user_id, arg_max(there, k) AS there, arg_max(support, k) AS support, arg_max(reject, k) AS reject, arg_max(last_seen, k) AS last_seen, arg_max(pruned, k) AS pruned FROM f GROUP BY 1""")
+def pool_hysteresis(spark, d):
+    said = {"added": ["purchase"], "support": ["view"], "reject": ["error", "click"]}
+    e = read(spark, d, "events").select("user_id", F.col("event_id").alias("frame"), *[F.col("event_type").isin(kinds).cast("int").alias(c) for c, kinds in said.items()])
+    return pool.hysteresis(e, ["user_id"])
