@@ -157,6 +157,33 @@ def test_pair_counts_by_matrix_and_one_by_one(spark, monkeypatch, dense, block,
     assert R.pair_counts(rows.filter("n < 0"), "n", "p").count() == 0
 
 
+@pytest.mark.parametrize("side", [4, 1024])
+def test_few_points_are_counted_as_bits(spark, monkeypatch, side):
+    """Blocks of nodes meet pairwise; a forest of the pairs connects what the pairs connect."""
+    rng = random.Random(6)
+    sets = sorted({(rng.randrange(40), rng.randrange(12)) for _ in range(160)})
+    of = {n: {p for m, p in sets if m == n} for n, _ in sets}
+    at = {n: rng.uniform(0, 3) for n in of}
+    monkeypatch.setattr(R, "SIDE", side)
+    rows = spark.createDataFrame(sets, "n long, p int")
+    assert R.few_points(rows, "n", "p")
+    every = {(a, b): len(of[a] & of[b]) for a, b in itertools.combinations(sorted(of), 2) if of[a] & of[b]}
+    got = R.overlap_pairs(rows, "n", "p", 1, 0.0).collect()
+    assert len(got) == len(every) and {(r["a"], r["b"]): (r["inter"], r["size_a"], r["size_b"]) for r in got} == {(a, b): (k, len(of[a]), len(of[b])) for (a, b), k in every.items()}
+    linked = {(a, b) for (a, b), k in every.items() if a % 2 == b % 2 and abs(at[a] - at[b]) < 1 and k / len(of[a] | of[b]) >= 0.3}
+    near = (spark.createDataFrame(list(at.items()), "n long, at double"), 1.0)
+    some = {(r["a"], r["b"]) for r in R.bit_pairs(rows, "n", "p", min_iou=0.3, within=lambda n: n % 2, near=near, forest=True).collect()}
+
+    def groups(pairs):
+        label = {n: n for n in of}
+        for _ in of:
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert some <= linked and groups(some) == groups(linked)
+
+
 def test_nearest_on_axis_against_plain(spark):
     rng = random.Random(4)
     left = [(k, rng.randrange(3), float(rng.randrange(30))) for k in range(60)]
