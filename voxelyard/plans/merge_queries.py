@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from voxelyard.functions import boxes as B
 from voxelyard.operators import merging as M
+from voxelyard.operators import relational as R
 
 from .registry import ORACLE
-from .scene_queries import _BOX, _EDGES, _boxes, _edges, aabb_iou_pairs, query, read, six, voxel_iou_pairs
+from .scene_queries import _BOX, _EDGES, _boxes, _cells, _edges, aabb_iou_pairs, query, read, six
 
 #: Components of (a, b) in edges over the nodes in n.
 _COMPONENTS = "u AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), r AS (SELECT node, node AS seen FROM n UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen), c AS (SELECT node, min(seen) AS component FROM r GROUP BY 1)"
@@ -39,8 +40,9 @@ n AS (SELECT node FROM x), {_COMPONENTS}
 SELECT component, node, n_obs FROM (SELECT component, x.node, n_obs, row_number() OVER (PARTITION BY component ORDER BY n_obs DESC, x.node) AS k FROM x JOIN c ON c.node = x.node) WHERE k = 1""")
 def merge_same_name_groups(spark, d):
     x = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("node")).agg(F.count(F.lit(1)).alias("n_obs"), F.avg("l_quantity").alias("centre"))
-    s, t = (x.select(F.col("node").alias(k), F.col("centre").alias(f"c{k}")) for k in "ab")
-    pairs = voxel_iou_pairs(spark, d).filter(F.col("iou") >= VOXEL_IOU).filter("a % 5 = b % 5").join(s, "a").join(t, "b").filter(F.abs(F.col("ca") - F.col("cb")) < CENTRE)
+    cells, centres = _cells(spark, d), x.select(F.col("node").alias("l_suppkey"), F.col("centre").alias("at"))
+    # 0.45 after rounding to six places; of two blocks' pairs a forest is enough
+    pairs = R.bit_pairs(cells, "l_suppkey", "cell", min_iou=VOXEL_IOU - 5e-7, within=lambda n: n % 5, near=(centres, CENTRE), forest=True)
     return M.strongest(x, "node", pairs.select("a", "b"), [F.col("n_obs").desc(), F.col("node").asc()]).select("component", "node", "n_obs")
 
 
