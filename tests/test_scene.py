@@ -73,6 +73,32 @@ def test_fnv_of_abc(spark):
     assert one(spark, T.fnv1a(F.lit(""))) == 2166136261
 
 
+def test_numbers_as_text(spark):
+    """As Python and SQL write them: 6.0E-4 is 0.0006."""
+    values = [0.0006, 0.0001, 0.00012345, 0.0009999, 0.00001234, 1e-5, 1.5e-12, 0.0, 0.001, 11.2, -0.0004, -3.0, 1e7, 123456789.5, 12345678.0, 1e15, 9.5e15, 1e16, 1.25e17, float("inf"), float("-inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", T.number_text(F.col("v")).alias("t"))
+    assert [r["t"] for r in df.collect()] == [repr(v) for v in values]
+    assert spark.sql("SELECT CAST(null AS double) AS v").select(T.number_text(F.col("v"))).first()[0] is None
+
+
+def test_model_answers_of_small_values(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [(k, datetime(2024, 1, 1), k, "view", v, '{"k": 1}') for k, v in ((1, 0.03), (6, 0.005), (11, 0.0004), (16, 560.0))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    want = duckdb.connect().execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'").execute(ORACLE["model_answers"]).fetchall()
+    got = QUERIES["model_answers"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["nearest_on_axis", "precision_curve"])
+def test_windows_run_from_the_start(spark, name):
+    """No frame reaches from a row to the end: each row would read all rows after it."""
+    df = spark.createDataFrame([(0, 1, 1.0)], "g int, k int, x double")
+    out = R.nearest_on_axis(df, df.withColumnRenamed("k", "i"), "g", "x", "i", "k") if name == "nearest_on_axis" else R.precision_curve(df, ["g"], [F.col("x").desc()], F.col("k") == 1, "k")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString().lower().replace("$", "")
+
+
 def test_list_cells(spark):
     assert one(spark, T.list_cell(F.lit("['a', 'b']"))) == ["a", "b"]
     assert one(spark, T.list_cell(F.lit("a; b"))) == ["a", "b"]

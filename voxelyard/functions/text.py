@@ -269,6 +269,21 @@ def whole_id(c: Column) -> Column:
     return F.when(F.regexp_like(t, F.lit("^-?[0-9]+$")), t.try_cast("long"))
 
 
+def number_text(c: Column) -> Column:
+    """A double as the shortest text that reads back as it, in plain digits from 0.0001 to below 1e16 and as 1.5e-05 beyond."""
+    t = c.cast("double").cast("string")
+    sign, bare = F.when(t.startswith("-"), "-").otherwise(""), F.ltrim(t, F.lit("-"))
+    power = F.substring_index(bare, "E", -1).try_cast("int")
+    digits = F.regexp_replace(F.regexp_replace(F.substring_index(bare, "E", 1), r"\.0$", ""), r"\.", "")
+    short = F.regexp_replace(F.substring_index(bare, "E", 1), r"\.0$", "")
+    shown = F.concat(short, F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    wide = F.rpad(digits, F.greatest(F.length(digits), power + 2), "0")
+    large = F.concat(F.substring(wide, F.lit(1), power + 1), F.lit("."), F.substring(wide, power + 2, F.length(wide)))
+    plain = F.when(power.between(-4, -1), small).when(power.between(0, 15), large).otherwise(shown)
+    return F.when(F.contains(t, F.lit("E")), F.concat(sign, plain)).when(t == "NaN", "nan").when(F.contains(t, F.lit("Inf")), F.lower(F.regexp_replace(t, "inity", ""))).otherwise(t)
+
+
 # ------------------------------------------------------------------ colours by name
 def fnv1a(c: Column) -> Column:
     """FNV-1a of the UTF-8 bytes, 32 bits, as a long."""

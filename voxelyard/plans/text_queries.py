@@ -113,8 +113,9 @@ e AS (SELECT event_id, max(CASE WHEN depth = 0 THEN substr(t, a::INT, (pos - a +
 f AS (SELECT event_id, obj, CASE event_id % 5 WHEN 1 THEN json_extract_string(obj, '$.id') WHEN 4 THEN json_extract_string(obj, '$.id') END AS id, CASE WHEN event_id % 5 IN (1, 4) THEN json_extract_string(obj, '$.score')::DOUBLE END AS score FROM p LEFT JOIN e USING (event_id))
 SELECT event_id, obj, CASE WHEN regexp_full_match(trim(id), '[0-9]+') THEN trim(id)::BIGINT END AS id, CASE WHEN score IS NOT NULL THEN round(least(greatest(score, 0), 1), 6) END AS score FROM f""")
 def model_answers(spark, d):
-    obj = T.first_object(F.expr(_ANSWER))
-    said = read(spark, d, "events").select("event_id", obj.alias("obj"))
+    answer = F.expr(_ANSWER.replace("value / 50", "share"))
+    events = read(spark, d, "events").withColumn("share", T.number_text(F.col("value") / 50))
+    said = events.select("event_id", T.first_object(answer).alias("obj"))
     parts = F.when(F.col("event_id") % 5 != 3, F.col("obj"))
     return said.select("event_id", "obj", T.whole_id(F.get_json_object(parts, "$.id")).alias("id"), F.round(T.clamp01(F.get_json_object(parts, "$.score")), 6).alias("score"))
 
