@@ -296,7 +296,7 @@ def with_ordinal(df: DataFrame, scene: str, order: list[Column]) -> DataFrame:
 def precision_curve(df: DataFrame, keys: list[str], order: list[Column], hit: Column, total: str) -> DataFrame:
     """Cumulative hits along a ranking, precision, recall and the precision envelope."""
     up = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*keys).orderBy(F.col("rank").asc()).rowsBetween(0, Window.unboundedFollowing)
+    down = Window.partitionBy(*keys).orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0)  # a frame that starts at the row is evaluated anew for each
     ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).withColumn("tp", F.sum(hit.cast("long")).over(up))
     shaped = ranked.withColumn("precision", F.col("tp") / F.col("rank")).withColumn("recall", F.col("tp") / F.greatest(F.col(total), F.lit(1)))
     return shaped.withColumn("envelope", F.max("precision").over(down))
