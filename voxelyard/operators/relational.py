@@ -237,8 +237,8 @@ def nearest_on_axis(left: DataFrame, right: DataFrame, key: str, axis: str, item
     both = left.select(key, axis, row, F.lit(None).cast(right.schema[item].dataType).alias(item)).unionByName(best.select(key, axis, F.lit(None).cast(left.schema[row].dataType).alias(row), item))
     told = F.when(F.col(item).isNotNull(), F.struct(axis, item))
     up = Window.partitionBy(key).orderBy(axis).rangeBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(key).orderBy(axis).rangeBetween(0, Window.unboundedFollowing)
-    seen = both.withColumns({"_lo": F.last(told, True).over(up), "_hi": F.first(told, True).over(down)}).filter(F.col(row).isNotNull())
+    down = Window.partitionBy(key).orderBy(F.col(axis).desc()).rangeBetween(Window.unboundedPreceding, 0)  # a frame that starts at the row is evaluated anew for each
+    seen = both.withColumns({"_lo": F.last(told, True).over(up), "_hi": F.last(told, True).over(down)}).filter(F.col(row).isNotNull())
     near = F.least(*[F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(axis) - F.col(c)[axis]).alias("dist"), F.col(c)[item].alias(item))) for c in ("_lo", "_hi")])
     return seen.withColumn("_m", near).select(row, key, axis, F.col(f"_m.{item}").alias(item), F.col("_m.dist").alias("dist"))
 
