@@ -210,6 +210,25 @@ def test_few_points_are_counted_as_bits(spark, monkeypatch, side):
     assert some <= linked and groups(some) == groups(linked)
 
 
+@pytest.mark.parametrize("masks,cells", [(2048, 1 << 22), (3, 12)])
+def test_overlaps_leave_the_task_only_if_asked_for(spark, monkeypatch, masks, cells):
+    from voxelyard.operators import masks as M
+
+    rng = random.Random(8)
+    px = sorted({(f"f{rng.randrange(3)}", rng.randrange(2), rng.randrange(9), rng.randrange(14)) for _ in range(220)})
+    of = {}
+    for s, f, i, p in px:
+        of.setdefault((s, f), {}).setdefault(i, set()).add(p)
+    want = {(s, f, a, b): (len(x[a] & x[b]), len(x[a]), len(x[b]), a % 2, b % 2) for (s, f), x in of.items() for a, b in itertools.combinations(sorted(x), 2) if len(x[a] & x[b]) / min(len(x[a]), len(x[b])) >= 0.5}
+    monkeypatch.setattr(M, "MASKS", masks)
+    monkeypatch.setattr(M, "CELLS", cells)
+    rows = spark.createDataFrame(px, "s string, f int, item long, pixel int").withColumn("odd", F.col("item") % 2)
+    got = M.overlaps(rows, ["s", "f"], "item", least=0.5, carry="odd")
+    assert {(r["s"], r["f"], r["a"], r["b"]): (r["inter"], r["area_a"], r["area_b"], r["odd_a"], r["odd_b"]) for r in got.collect()} == want
+    assert "Join" not in str(got._jdf.queryExecution().executedPlan())  # sizes come with the pairs
+    assert M.overlaps(rows.filter("f < 0"), ["s", "f"], "item").count() == 0
+
+
 def test_nearest_on_axis_against_plain(spark):
     rng = random.Random(4)
     left = [(k, rng.randrange(3), float(rng.randrange(30))) for k in range(60)]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +18,77 @@ def areas(mask_px: DataFrame, keys: list[str]) -> DataFrame:
     return mask_px.groupBy(*keys).agg(F.count(F.lit(1)).alias("area"))
 
 
-def overlaps(mask_px: DataFrame, frame: list[str], item: str, pixel: str = "pixel") -> DataFrame:
-    """(frame, a, b, inter, area_a, area_b, iou, on_smaller) of masks a < b of one frame that share a pixel: an
-    equi-join on the pixel, counted before the shuffle. Rows are distinct."""
-    size = areas(mask_px, [*frame, item])
-    other = mask_px.select(*frame, pixel, F.col(item).alias("b"))
-    both = mask_px.select(*frame, pixel, F.col(item).alias("a")).join(other, [*frame, pixel]).filter("a < b").groupBy(*frame, "a", "b").agg(F.count(F.lit(1)).alias("inter"))
-    for side in "ab":
-        both = both.join(size.select(*frame, F.col(item).alias(side), F.col("area").alias(f"area_{side}")), [*frame, side])
+MASKS = 2048  # masks of a frame that are counted at a time
+CELLS = 1 << 22  # cells of a 0/1 matrix of masks and pixels
+
+
+def overlaps(mask_px: DataFrame, frame: list[str], item: str, pixel: str = "pixel", least: float = 0.0, carry: str | None = None) -> DataFrame:
+    """(frame, a, b, inter, area_a, area_b, iou, on_smaller) of masks a < b of one frame that share a pixel, and ``least`` of the
+    smaller one. Rows are distinct. A frame's pixels come to one task, which counts pairs as products of 0/1 matrices,
+    MASKS by MASKS; only the pairs that are asked for leave it. ``carry``, an int of a mask, is kept as carry_a and carry_b."""
+    kinds = {f.name: f.dataType.simpleString() for f in mask_px.schema}
+
+    def pairs(t):
+        names, m = np.unique(t.column("i").to_numpy(), return_inverse=True)
+        px = pc.dictionary_encode(t.column("p")).combine_chunks().indices.to_numpy(zero_copy_only=False)
+        area, told = np.bincount(m, minlength=len(names)), np.zeros(len(names), np.int32)
+        told[m] = t.column("c").to_numpy()
+        order = np.argsort(px, kind="stable")
+        m, px = m[order], px[order]
+        for at in range(0, len(names), MASKS):
+            n_left = min(MASKS, len(names) - at)
+            for to in range(at, len(names), MASKS):
+                n_right = min(MASKS, len(names) - to)
+                inter = np.zeros((n_left, n_right), np.int32)
+                step = min(int(px[-1]) + 1, max(1, CELLS // max(n_left, n_right)))
+                for lo in range(0, int(px[-1]) + 1, step):
+                    i, j = np.searchsorted(px, [lo, lo + step])
+                    x, y = np.zeros((n_left, step), np.float32), np.zeros((n_right, step), np.float32)
+                    for z, low, n in ((x, at, n_left), (y, to, n_right)):
+                        mine = (m[i:j] >= low) & (m[i:j] < low + n)
+                        z[m[i:j][mine] - low, px[i:j][mine] - lo] = 1
+                    inter += (x @ y.T).astype(np.int32)
+                for lo in range(0, n_left, 256):
+                    some = inter[lo : lo + 256]
+                    ok = (some > 0) & (some / np.minimum(area[at + lo : at + lo + len(some), None], area[None, to : to + n_right]) >= least)
+                    i, j = np.nonzero(ok)
+                    up = i + lo + at < j + to
+                    i, j = i[up], j[up]
+                    a, b = i + lo + at, j + to
+                    first = t.slice(0, 1)
+                    same = [pa.DictionaryArray.from_arrays(np.zeros(len(a), np.int32), first.column(c).combine_chunks()).cast(first.schema.field(c).type) for c in frame]
+                    cols = [*same, *map(pa.array, (names[a], names[b], some[i, j].astype(np.int64), area[a].astype(np.int64), area[b].astype(np.int64), told[a], told[b]))]
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays(cols, names=out)
+
+    def run(batches):
+        held, key = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            differs = np.zeros(b.num_rows - 1, bool)
+            for c in range(len(frame)):
+                differs |= pc.not_equal(b.column(c)[1:], b.column(c)[:-1]).to_numpy(zero_copy_only=False)
+            heads = [0, *(np.flatnonzero(differs) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(heads[:-1], heads[1:], strict=True):
+                now = tuple(b.column(c)[lo].as_py() for c in range(len(frame)))
+                if held and now != key:
+                    yield from pairs(pa.Table.from_batches(held))
+                    held = []
+                key = now
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    out = [*frame, "a", "b", "inter", "area_a", "area_b", "carry_a", "carry_b"]
+    known = mask_px
+    for c in frame:
+        known = known.filter(F.col(c).isNotNull())
+    known = known.filter(F.col(item).isNotNull() & F.col(pixel).isNotNull())
+    dealt = known.select(*frame, F.col(item).alias("i"), F.col(pixel).alias("p"), (F.lit(0) if carry is None else F.col(carry).cast("int")).alias("c")).repartition(*frame).sortWithinPartitions(*frame)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in frame) + f", a {kinds[item]}, b {kinds[item]}, inter long, area_a long, area_b long, carry_a int, carry_b int"
+    both = dealt.mapInArrow(run, schema)
+    both = both.drop("carry_a", "carry_b") if carry is None else both.withColumnsRenamed({"carry_a": f"{carry}_a", "carry_b": f"{carry}_b"})
     return both.withColumns({"iou": F.col("inter") / (F.col("area_a") + F.col("area_b") - F.col("inter")), "on_smaller": F.col("inter") / F.least("area_a", "area_b")})
 
 
