@@ -229,6 +229,23 @@ def test_overlaps_leave_the_task_only_if_asked_for(spark, monkeypatch, masks, ce
     assert M.overlaps(rows.filter("f < 0"), ["s", "f"], "item").count() == 0
 
 
+@pytest.mark.parametrize("tile,block", [(1 << 22, 400_000), (30, 7)])
+def test_sized_pairs_against_plain(spark, monkeypatch, tile, block):
+    rng = random.Random(9)
+    left, right = (sorted({(rng.randrange(15), rng.randrange(20)) for _ in range(110)}) for _ in "lr")
+    a, b = ({n: {p for m, p in x if m == n} for n, _ in x} for x in (left, right))
+    every = {(i, j, len(x & y), len(x), len(y)) for i, x in a.items() for j, y in b.items() if x & y}
+    monkeypatch.setattr(R, "TILE", tile)
+    monkeypatch.setattr(R, "BLOCK", block)
+    pair = lambda **how: R.sized_pairs(spark.createDataFrame(left, "g int, p int"), spark.createDataFrame(right, "n long, p int"), "p", "g", "n", **how)
+    of = lambda df: sorted((r["g"], r["n"], r["inter"], r["n_g"], r["n_n"]) for r in df.collect())
+    assert of(pair()) == sorted(every)
+    assert of(pair(same=3)) == sorted(r for r in every if r[0] % 3 == r[1] % 3)
+    top = [min((r for r in every if r[0] == i), key=lambda r: (-r[2] / (r[3] + r[4] - r[2]), r[1])) for i in sorted({r[0] for r in every})]
+    assert of(pair(best=True)) == top
+    assert "Window" not in str(pair(best=True)._jdf.queryExecution().executedPlan())  # the best is found where pairs are counted
+
+
 def test_nearest_on_axis_against_plain(spark):
     rng = random.Random(4)
     left = [(k, rng.randrange(3), float(rng.randrange(30))) for k in range(60)]

@@ -30,6 +30,52 @@ def shared_points(left: DataFrame, right: DataFrame, point: str, a: str, b: str)
     return left.join(right, point).groupBy(a, b).agg(F.count(F.lit(1)).alias("inter"))
 
 
+def sized_pairs(left: DataFrame, right: DataFrame, point: str, a: str, b: str, best: bool = False, same: int = 0) -> DataFrame:
+    """(a, b, inter, n_a, n_b) for distinct rows (a, point) and (b, point) that share a point; ids are whole numbers. The b of a
+    point travel to each of its a as one row of two arrays, and the rows of an a come to one task, which counts them, so a pair
+    is exchanged once, as numbers. With ``best`` only the pair of greatest intersection over union of each a, the smallest b on
+    ties; with ``same`` only pairs that are equal modulo it."""
+    sized = lambda df, c, n: df.join(df.groupBy(c).agg(F.count(F.lit(1)).cast("int").alias(n)), c)
+    group = lambda c: F.col(c) % same if same else F.lit(0)
+    held = sized(right, b, "_n").groupBy(point, group(b).alias("_g")).agg(F.collect_list(F.struct(F.col(b).cast("long").alias("b"), "_n")).alias("s"))
+    met = sized(left, a, "n_a").withColumn("_g", group(a)).join(held, [point, "_g"] if same else [point])
+    dealt = met.select(F.col(a).cast("long").alias("a"), "n_a", F.col("s.b").alias("b"), F.col("s._n").alias("n")).repartition("a").sortWithinPartitions("a")
+
+    def count(keep):
+        nodes, own, others, sizes = (np.concatenate(x) for x in zip(*keep, strict=True))
+        order = np.lexsort((others, nodes))
+        nodes, own, others, sizes = nodes[order], own[order], others[order], sizes[order]
+        at = np.flatnonzero(np.append(True, (nodes[1:] != nodes[:-1]) | (others[1:] != others[:-1])))
+        inter = np.diff(np.append(at, len(nodes)))
+        nodes, own, others, sizes = nodes[at], own[at].astype(np.int64), others[at], sizes[at].astype(np.int64)
+        if best:
+            order = np.lexsort((others, -(inter / (own + sizes - inter)), nodes))
+            some = order[np.append(True, nodes[order][1:] != nodes[order][:-1])]
+            nodes, own, others, sizes, inter = nodes[some], own[some], others[some], sizes[some], inter[some]
+        for lo in range(0, len(nodes), BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + BLOCK]) for x in (nodes, others, inter.astype(np.int64), own, sizes)], names=["a", "b", "inter", "n_a", "n_b"])
+
+    def run(batches):
+        keep, held = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(2)
+            often = np.diff(lists.offsets.to_numpy())
+            keep.append((np.repeat(batch.column(0).to_numpy(), often), np.repeat(batch.column(1).to_numpy(), often), lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy()))
+            held += len(keep[-1][0])
+            if held >= TILE:  # all but the last node, which may go on
+                every = [np.concatenate(x) for x in zip(*keep, strict=True)]
+                cut = int(np.searchsorted(every[0], every[0][-1]))
+                if cut:
+                    yield from count([[x[:cut] for x in every]])
+                keep, held = [[x[cut:] for x in every]], held - cut
+        if held:
+            yield from count(keep)
+
+    return dealt.mapInArrow(run, "a long, b long, inter long, n_a long, n_b long").withColumnsRenamed({"a": a, "b": b, "n_a": f"n_{a}", "n_b": f"n_{b}"})
+
+
 DENSE = 3000  # nodes whose pairs a task counts in one matrix: 36 MB
 BLOCK = 400_000  # (node, point) rows that are counted together
 TILE = 1 << 22  # pairs or cells that are made at a time

@@ -39,9 +39,8 @@ def _gt_and_nodes(spark, d):
 
 def _best(spark, d):
     gt, node = _gt_and_nodes(spark, d)
-    pair = R.shared_points(gt, node, "l_partkey", "gt", "node").join(R.set_sizes(gt, "gt", "n_gt"), "gt").join(R.set_sizes(node, "node", "n_node"), "node")
-    pair = pair.withColumn("iou", F.col("inter") / (F.col("n_gt") + F.col("n_node") - F.col("inter")))
-    return R.nearest(pair, ["gt"], [F.col("iou").desc(), F.col("node").asc()]), R.set_sizes(gt, "gt", "n_gt")
+    best = R.sized_pairs(gt, node, "l_partkey", "gt", "node", best=True)
+    return best.withColumn("iou", F.col("inter") / (F.col("n_gt") + F.col("n_node") - F.col("inter"))), R.set_sizes(gt, "gt", "n_gt")
 
 
 _BEST = """gt AS (SELECT DISTINCT l_suppkey AS gt, l_partkey FROM lineitem WHERE l_quantity <= 5 + (l_suppkey % 10) * 5),
