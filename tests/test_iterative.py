@@ -73,6 +73,12 @@ def test_matching_takes_the_best_free_truth(spark):
     assert sorted((r["pred"], r["gt"]) for r in I.greedy_match(pairs, "g", "pred", "gt", 0.3).collect()) == [("p", 1), ("q", 2)]
 
 
+def test_only_pairs_of_enough_overlap_reach_the_matching(spark):
+    pairs = spark.range(100).selectExpr("'s' AS g", "id AS pred", "id AS gt", "1.0D AS score", "id / 100 AS iou")
+    plan = str(I.greedy_match(pairs, "g", "pred", "gt", 0.5)._jdf.queryExecution().optimizedPlan())
+    assert "Filter" in plan and I.greedy_match(pairs, "g", "pred", "gt", 0.5).count() == 50
+
+
 def test_folds(spark):
     nodes = spark.createDataFrame([("t", 1, "n", 0.0), ("t", 2, "n", 0.1), ("t", 3, "m", 0.1), ("t", 4, "n", 0.3)], "kind string, k long, name string, x double")
     nodes = nodes.withColumn("names", F.array("name")).withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})

@@ -54,7 +54,7 @@ def _match_pairs(spark, d):
     li = read(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_quantity", "l_extendedprice")
     node = li.filter(F.col("l_quantity") > (F.col("l_suppkey") % 7) * 6).select(F.col("l_suppkey").alias("node"), "l_partkey").distinct()
     gt = li.filter(F.col("l_quantity") <= 5 + (F.col("l_suppkey") % 10) * 5).select(F.col("l_suppkey").alias("gt"), "l_partkey").distinct()
-    pair = R.shared_points(gt, node, "l_partkey", "gt", "node").filter("gt % 5 = node % 5").join(R.set_sizes(gt, "gt", "n_gt"), "gt").join(R.set_sizes(node, "node", "n_node"), "node")
+    pair = R.sized_pairs(gt, node, "l_partkey", "gt", "node", same=5)
     score = li.groupBy(F.col("l_suppkey").alias("node")).agg(F.max("l_extendedprice").alias("score"))
     return pair.join(score, "node").select((F.col("gt") % 5).alias("scene"), "node", "gt", "score", (F.col("inter") / (F.col("n_gt") + F.col("n_node") - F.col("inter"))).alias("iou"))
 
