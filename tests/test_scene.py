@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import duckdb
 import pytest
@@ -246,6 +247,19 @@ def test_sized_pairs_against_plain(spark, monkeypatch, tile, block):
     assert "Window" not in str(pair(best=True)._jdf.queryExecution().executedPlan())  # the best is found where pairs are counted
 
 
+def test_overlap_pairs_of_many_points(spark, monkeypatch):
+    """Pairs of too little overlap don't leave the task that counts them: no row of theirs is grouped by a pair."""
+    rng = random.Random(10)
+    sets = sorted({(rng.randrange(25), rng.randrange(2000) ** 2 // 2000) for _ in range(700)})
+    of = {n: {p for m, p in sets if m == n} for n, _ in sets}
+    want = {(a, b): len(of[a] & of[b]) for a, b in itertools.combinations(sorted(of), 2) if len(of[a] & of[b]) >= 2 and len(of[a] & of[b]) / min(len(of[a]), len(of[b])) >= 0.1}
+    rows = spark.createDataFrame(sets, "n long, p int")
+    monkeypatch.setattr(R, "few_points", lambda *_: False)
+    got = R.overlap_pairs(rows, "n", "p", 2, 0.1)
+    assert {(r["a"], r["b"]): r["inter"] for r in got.collect()} == want
+    assert not re.search(r"Aggregate \[a#\d+L?, b#", str(got._jdf.queryExecution().optimizedPlan()))
+
+
 def test_nearest_on_axis_against_plain(spark):
     rng = random.Random(4)
     left = [(k, rng.randrange(3), float(rng.randrange(30))) for k in range(60)]

@@ -30,15 +30,18 @@ def shared_points(left: DataFrame, right: DataFrame, point: str, a: str, b: str)
     return left.join(right, point).groupBy(a, b).agg(F.count(F.lit(1)).alias("inter"))
 
 
-def sized_pairs(left: DataFrame, right: DataFrame, point: str, a: str, b: str, best: bool = False, same: int = 0) -> DataFrame:
+def sized_pairs(left: DataFrame, right: DataFrame, point: str, a: str, b: str, best: bool = False, same: int = 0, ordered: bool = False, least: int = 1, share: float = 0.0) -> DataFrame:
     """(a, b, inter, n_a, n_b) for distinct rows (a, point) and (b, point) that share a point; ids are whole numbers. The b of a
     point travel to each of its a as one row of two arrays, and the rows of an a come to one task, which counts them, so a pair
     is exchanged once, as numbers. With ``best`` only the pair of greatest intersection over union of each a, the smallest b on
-    ties; with ``same`` only pairs that are equal modulo it."""
+    ties; with ``same`` only pairs that are equal modulo it; with ``ordered`` only a < b. ``least`` points are in common at
+    least, and a ``share`` of the smaller set."""
     sized = lambda df, c, n: df.join(df.groupBy(c).agg(F.count(F.lit(1)).cast("int").alias(n)), c)
     group = lambda c: F.col(c) % same if same else F.lit(0)
     held = sized(right, b, "_n").groupBy(point, group(b).alias("_g")).agg(F.collect_list(F.struct(F.col(b).cast("long").alias("b"), "_n")).alias("s"))
     met = sized(left, a, "n_a").withColumn("_g", group(a)).join(held, [point, "_g"] if same else [point])
+    if ordered:
+        met = met.withColumn("s", F.filter("s", lambda x: x["b"] > F.col(a))).filter(F.size("s") > 0)
     dealt = met.select(F.col(a).cast("long").alias("a"), "n_a", F.col("s.b").alias("b"), F.col("s._n").alias("n")).repartition("a").sortWithinPartitions("a")
 
     def count(keep):
@@ -48,7 +51,9 @@ def sized_pairs(left: DataFrame, right: DataFrame, point: str, a: str, b: str, b
         at = np.flatnonzero(np.append(True, (nodes[1:] != nodes[:-1]) | (others[1:] != others[:-1])))
         inter = np.diff(np.append(at, len(nodes)))
         nodes, own, others, sizes = nodes[at], own[at].astype(np.int64), others[at], sizes[at].astype(np.int64)
-        if best:
+        ok = np.flatnonzero((inter >= least) & (inter / np.minimum(own, sizes) >= share))
+        nodes, own, others, sizes, inter = nodes[ok], own[ok], others[ok], sizes[ok], inter[ok]
+        if best and len(nodes):
             order = np.lexsort((others, -(inter / (own + sizes - inter)), nodes))
             some = order[np.append(True, nodes[order][1:] != nodes[order][:-1])]
             nodes, own, others, sizes, inter = nodes[some], own[some], others[some], sizes[some], inter[some]
@@ -268,12 +273,13 @@ def overlap_pairs(sets: DataFrame, node: str, point: str, min_common: int, min_r
     out first. Few points that are in nearly all pairs are counted as bits."""
     if few_points(sets, node, point):
         return bit_pairs(sets, node, point, min_common, min_ratio).withColumn("ratio", F.col("inter") / F.least("size_a", "size_b"))
-    size = set_sizes(sets, node, "size").filter(F.col("size") >= min_common)
     if min_common > 1:
-        sets = sets.join(size.select(node), node, "left_semi")
-    both = pair_counts(sets, node, point).filter(F.col("inter") >= min_common)
-    sized = both.join(size.select(F.col(node).alias("a"), F.col("size").alias("size_a")), "a").join(size.select(F.col(node).alias("b"), F.col("size").alias("size_b")), "b")
-    return sized.withColumn("ratio", F.col("inter") / F.least("size_a", "size_b")).filter(F.col("ratio") >= min_ratio)
+        sets = sets.join(set_sizes(sets, node, "size").filter(F.col("size") >= min_common).select(node), node, "left_semi")
+    left, right = (sets.select(F.col(node).alias(k), point) for k in "ab")
+    if sets.schema[point].dataType.simpleString().startswith("struct"):
+        left, right = (s.withColumn(point, F.to_json(point)) for s in (left, right))
+    both = sized_pairs(left, right, point, "a", "b", ordered=True, least=max(1, min_common), share=min_ratio).withColumnsRenamed({"n_a": "size_a", "n_b": "size_b"})
+    return both.withColumn("ratio", F.col("inter") / F.least("size_a", "size_b"))
 
 
 def nearest_on_axis(left: DataFrame, right: DataFrame, key: str, axis: str, item: str, row: str) -> DataFrame:
