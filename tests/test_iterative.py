@@ -129,6 +129,33 @@ def test_query_keeps_a_label_without_core_points(spark, tmp_path):
     assert sorted((r["vec_id"], r["cluster"]) for r in dbscan_clusters(spark, str(tmp_path)).collect()) == [(k, 0 if k < 3 else 3) for k in range(8)]
 
 
+def dense_labels(spark, path):
+    """A table of two labels, dense each, of which one is two clusters; its points and labels."""
+    rng = np.random.default_rng(11)
+    p = np.concatenate([rng.normal(0, 0.03, (300, 3)), rng.normal(0.05, 0.03, (200, 3)), rng.normal(1, 0.03, (90, 3)), rng.uniform(3, 9, (9, 3))]).astype("f4")
+    label = np.repeat([1, 2, 2, 2], [300, 200, 90, 9])
+    order = rng.permutation(len(p))
+    p, label = p[order], label[order]
+    spark.createDataFrame([(i, x, int(g)) for i, (x, g) in enumerate(zip(p.tolist(), label, strict=True))], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return p.astype(float), label
+
+
+def wanted_clusters(p, label):
+    return {int(at[i]): (core, int(at[c])) for g in (1, 2) for at in [np.flatnonzero(label == g)] for i, (core, c) in plain_dbscan(p[at], 0.1, 4).items()}
+
+
+def test_ranks_exchange_no_pairs_of_points(spark, tmp_path, monkeypatch):
+    from voxelyard.plans.graph_queries import cluster_ranks
+
+    p, label = dense_labels(spark, tmp_path)
+    seen = written_rows(monkeypatch)
+    got = [tuple(r) for r in cluster_ranks(spark, str(tmp_path)).orderBy("label", "rank").collect()]
+    n = pd.Series([(int(label[i]), c) for i, (_, c) in wanted_clusters(p, label).items()]).value_counts()
+    want = sorted((g, -k, c) for (g, c), k in n.items())
+    assert [(g, c, k) for g, c, k, _ in got] == [(g, c, -k) for g, k, c in want] and [r for *_, r in got] == [1, 1, 2]
+    assert max(seen) <= 2 * len(p)
+
+
 def test_cover_takes_the_first_of_ties(spark):
     seen = spark.createDataFrame([("b", 1), ("b", 2), ("a", 2), ("a", 3), ("c", 4)], "frame string, node int")
     assert [tuple(r) for r in I.set_cover(seen, "frame", "node").orderBy("pick").collect()] == [(0, "a", 2), (1, "b", 1), (2, "c", 1)]
