@@ -156,6 +156,16 @@ def test_ranks_exchange_no_pairs_of_points(spark, tmp_path, monkeypatch):
     assert max(seen) <= 2 * len(p)
 
 
+def test_clusters_exchange_no_pairs_of_points(spark, tmp_path, monkeypatch):
+    from voxelyard.plans.iterative_queries import dbscan_clusters
+
+    p, label = dense_labels(spark, tmp_path)
+    seen = written_rows(monkeypatch)
+    got = {r["vec_id"]: (r["core"], r["cluster"]) for r in dbscan_clusters(spark, str(tmp_path)).collect()}
+    assert got == wanted_clusters(p, label) and len(got) > 500
+    assert max(seen) <= 2 * len(p)
+
+
 def test_cover_takes_the_first_of_ties(spark):
     seen = spark.createDataFrame([("b", 1), ("b", 2), ("a", 2), ("a", 3), ("c", 4)], "frame string, node int")
     assert [tuple(r) for r in I.set_cover(seen, "frame", "node").orderBy("pick").collect()] == [(0, "a", 2), (1, "b", 1), (2, "c", 1)]
